@@ -81,6 +81,15 @@ def batches_by_id(docs: DataFrame, n: int, key: str = "doc_id") -> list[DataFram
     return out
 
 
+#: Rows of a per-source (or similarly small) table that may be broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def if_small(df: DataFrame, n: int) -> DataFrame:
+    """Marked for broadcast if its row count, n, is within the bound."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[str], salts: int = 64) -> DataFrame:
     """Add ``rank``, a number from 0 that is unique and gapless within each combination of keys.
 

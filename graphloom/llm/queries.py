@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, sharding, tokens
+from . import exact_dedup, mixing, packing, quality, sharding, tokens, warc
 
 QUERIES = {
     "op2_token_counts": tokens.op2,
     "op3_best_fit_packing": packing.op3,
+    "op4_warc": warc.op4,
     "op5_sharding": sharding.op5,
     "op6_quality_rules": quality.op6,
+    "op7_source_mixing": mixing.op7,
     "op10_exact_dedup": exact_dedup.op10,
 }
 
 ORACLES = {
+    "op4_warc": warc.SQL,
     "op5_sharding": sharding.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
