@@ -8,6 +8,7 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 #: One word, as every contract of this package has it.
@@ -62,6 +63,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def with_rid(df: DataFrame, name: str = "rid") -> DataFrame:
+    """Add a 64-bit row number that is the same in every scan of the same files, however Spark splits them.
+
+    It is a hash of the file and the row's place in it. monotonically_increasing_id() depends on the split, and so on
+    the executors there are. A frame that isn't a plain scan is written to the shared folder first. Joins
+    on it should also compare the row's id where the input may exceed a few billion rows.
+    """
+    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    try:
+        out = df.withColumn(name, place)
+        out.schema  # noqa: B018  resolves the columns
+        return out
+    except AnalysisException:
+        return materialize(df, "rows").withColumn(name, place)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 

@@ -14,11 +14,11 @@ and text, exactly one stays; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_id, delete, documents, materialize, scratch, whole_text
+from .common import batches_by_id, delete, documents, materialize, scratch, whole_text, with_rid
 
 #: Keys that one part holds at most, on average: bounds the memory of a task.
 KEYS_PER_PART = 150_000
@@ -106,9 +106,9 @@ class CuckooFilter:
         return False
 
 
-def _keys64(digests: pd.Series) -> np.ndarray:
+def _keys64(digests: list[bytes]) -> np.ndarray:
     """Bits 64..127 of each digest; the part is taken from the leading bits, so they are independent."""
-    raw = b"".join(bytes(d)[8:16] for d in digests)
+    raw = b"".join([d[8:16] for d in digests])
     return np.frombuffer(raw, "<u8").astype(np.uint64)
 
 
@@ -124,55 +124,58 @@ def _grown(keys: np.ndarray, log2: int) -> CuckooFilter:
 STATE = "part int, digest binary, keep_id long, keep_rid long, n long, filter binary, hits long, false_hits long"
 
 
-def _apply(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+def _apply(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
     """One part: probe, verify, insert, delete; sign -1 takes rows out, +1 puts them in."""
-    part = int(key[0])
-    stored = old[old["digest"].notna()]
-    head = old[old["filter"].notna()]
-    digests = [bytes(d) for d in stored["digest"]]
+    part = key[0].as_py()
+    digests: list[bytes | None] = []
+    keep: list[tuple[int | None, int]] = []
+    n: list[int] = []
+    flt, hits, false_hits = None, 0, 0
+    for r in old.to_pylist():
+        if r["filter"] is not None:
+            flt, hits, false_hits = CuckooFilter.load(r["filter"]), r["hits"], r["false_hits"]
+        else:
+            digests.append(r["digest"])
+            keep.append((r["keep_id"], r["keep_rid"]))
+            n.append(r["n"])
+    flt = flt or CuckooFilter.for_keys(len(digests) + new.num_rows)
     live = {d: i for i, d in enumerate(digests)}
-    keep = [(None if pd.isna(a) else int(a), int(b)) for a, b in zip(stored["keep_id"], stored["keep_rid"], strict=True)]
-    n = [int(x) for x in stored["n"]]
-    flt = CuckooFilter.load(bytes(head["filter"].iloc[0])) if len(head) else CuckooFilter.for_keys(len(digests) + len(new))
-    hits = int(head["hits"].iloc[0]) if len(head) else 0
-    false_hits = int(head["false_hits"].iloc[0]) if len(head) else 0
-    if len(new):
-        k64 = _keys64(new["digest"])
-        maybe = flt.contains(k64)
-        fresh = []
-        for i, (d, a, b, c, sign, hit) in enumerate(zip(new["digest"], new["keep_id"], new["keep_rid"], new["n"], new["sign"], maybe, strict=True)):
-            d, row = bytes(d), (None if pd.isna(a) else int(a), int(b))
-            at = live.get(d) if hit else None
-            hits += bool(hit)
-            false_hits += bool(hit) and at is None
-            if sign < 0:
-                if at is not None:
-                    n[at] -= int(c)
-                    if n[at] <= 0:
-                        flt.remove(int(k64[i]))
-                        digests[at] = None
-                        del live[d]
-                continue
-            if at is None:
-                live[d] = len(digests)
-                digests.append(d)
-                keep.append(row)
-                n.append(int(c))
-                fresh.append(i)
-            else:
-                n[at] += int(c)
-                rank = lambda r: (r[0] is not None, r[0] or 0, r[1])
-                if rank(row) > rank(keep[at]):
+    rank = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    grown = lambda: _grown(_keys64([d for d in digests if d is not None]), flt.log2 + 1)
+    rows = new.to_pylist()
+    k64 = _keys64([r["digest"] for r in rows])
+    maybe = flt.contains(k64).tolist()
+    fresh = []
+    for i, (r, hit) in enumerate(zip(rows, maybe, strict=True)):
+        d, row = r["digest"], (r["keep_id"], r["keep_rid"])
+        at = live.get(d) if hit else None
+        hits += hit
+        false_hits += hit and at is None
+        if r["sign"] < 0:
+            if at is not None:
+                n[at] -= r["n"]
+                if n[at] <= 0:
                     flt.remove(int(k64[i]))
-                    keep[at] = row
-                    if not flt.insert(int(k64[i])):
-                        flt = _grown(_keys64(pd.Series([x for x in digests if x is not None])), flt.log2 + 1)
-        if fresh and len(flt.insert_many(k64[fresh])):
-            flt = _grown(_keys64(pd.Series([x for x in digests if x is not None])), flt.log2 + 1)
-    rows = [(part, d, a, b, c, None, None, None) for d, (a, b), c in zip(digests, keep, n, strict=True) if d is not None]
-    rows.append((part, None, None, None, None, flt.dump(), hits, false_hits))
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in STATE.split(", ")])
-    return out.astype({c: "Int64" for c in ("keep_id", "keep_rid", "n", "hits", "false_hits")})
+                    digests[at] = None
+                    del live[d]
+        elif at is None:
+            live[d] = len(digests)
+            digests.append(d)
+            keep.append(row)
+            n.append(r["n"])
+            fresh.append(i)
+        else:
+            n[at] += r["n"]
+            if rank(row) > rank(keep[at]):
+                flt.remove(int(k64[i]))
+                keep[at] = row
+                if not flt.insert(int(k64[i])):
+                    flt = grown()
+    if fresh and len(flt.insert_many(k64[fresh])):
+        flt = grown()
+    out = [{"part": part, "digest": d, "keep_id": a, "keep_rid": b, "n": c} for d, (a, b), c in zip(digests, keep, n, strict=True) if d is not None]
+    out.append({"part": part, "filter": flt.dump(), "hits": hits, "false_hits": false_hits})
+    return pa.Table.from_pylist(out, pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in STATE.split(", ")]))
 
 
 class CuckooIndex:
@@ -199,7 +202,7 @@ class CuckooIndex:
             F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(self.parts)).cast("int").alias("part"),
             "digest", F.col("m.doc_id").alias("keep_id"), F.col("m.rid").alias("keep_rid"), "n", F.lit(sign).alias("sign"),
         )
-        out = new.groupBy("part").cogroup(self.state().groupBy("part")).applyInPandas(_apply, STATE)
+        out = new.groupBy("part").cogroup(self.state().groupBy("part")).applyInArrow(_apply, STATE)
         path = scratch(self.spark, "cuckoo")
         out.write.option("compression", "zstd").parquet(path)
         was, self.path = self.path, path
@@ -217,7 +220,7 @@ class CuckooIndex:
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rid, digest) of every row; rid tells rows of equal id apart."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.unhex(F.sha2(whole_text(text_col), 256)).alias("digest"))
+    return with_rid(docs, "_rid").select(F.col(id_col).cast("long").alias("doc_id"), F.col("_rid").alias("rid"), F.unhex(F.sha2(whole_text(text_col), 256)).alias("digest"))
 
 
 def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
@@ -236,9 +239,9 @@ def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that repeat another row's text; columns as they were."""
-    rid = F.monotonically_increasing_id()
-    kept = exact_dedup(docs).where("kept").select(F.col("rid").alias("_rid"))
-    return docs.withColumn("_rid", rid).join(kept.hint("shuffle_hash"), "_rid", "left_semi").drop("_rid")
+    rows = with_rid(docs, "_rid")
+    kept = exact_dedup(docs).where("kept").select(F.col("rid").alias("_rid"), F.col("doc_id").alias("_id")).hint("shuffle_hash")
+    return rows.join(kept, (rows["_rid"] == kept["_rid"]) & rows["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

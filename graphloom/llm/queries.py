@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, sharding, tokens, warc
+from . import exact_dedup, mixing, packing, quality, sharding, substring, tokens, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1,
     "op2_token_counts": tokens.op2,
     "op3_best_fit_packing": packing.op3,
     "op4_warc": warc.op4,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_substring_dedup": substring.SQL,
     "op4_warc": warc.SQL,
     "op5_sharding": sharding.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
