@@ -13,8 +13,11 @@ counted alike; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import documents, whole_text
 
 #: Bytes that one call of the library gets, and distinct pieces that a worker remembers per generation.
-CALL_BYTES, MEMO_PIECES = 1 << 18, 200_000
+CALL_BYTES, MEMO_PIECES = 1 << 18, 600_000
 
 _workers: dict[str, Encoder] = {}
 
@@ -48,7 +51,11 @@ def pieces(text: str) -> list[str]:
 
 
 class Encoder:
-    """ids(texts): the ids of each text as little-endian unsigned 32-bit bytes."""
+    """ids(texts): the ids of each text as little-endian unsigned 32-bit bytes.
+
+    The memo's keys are what follows a space, up to the next space; its values are the ids of the space and the key.
+    A key that begins with a blank, or is empty, is never stored: its text goes through pieces() instead.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,13 +63,31 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        # ids whose token begins with a space (written as U+0120): in a run of pieces, each begins one piece
+        self.spaced = np.zeros(self.lib.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.lib.get_vocab().items() if t.startswith("\u0120")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _encode_spaced(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of " " + p for each p, encoded in long runs and told apart by the tokens that begin with a space."""
+        step = 512
+        runs = [parts[i : i + step] for i in range(0, len(parts), step)]
+        at = 0
+        while at < len(runs):
+            group = runs[at : at + 64]
+            at += 64
+            for run, e in zip(group, self.lib.encode_batch_fast([" " + " ".join(r) for r in group], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                begin = np.flatnonzero(self.spaced[ids])
+                if len(begin) != len(run):
+                    yield from self._encode([" " + p for p in run])
+                    continue
+                raw, cut = ids.tobytes(), [*(4 * begin).tolist(), 4 * len(ids)]
+                yield from map(raw.__getitem__, map(slice, cut, cut[1:]))
+
     def _encode(self, items: list[str]) -> Iterator[bytes]:
         """In calls of about CALL_BYTES."""
-        import numpy as np
-
         at = 0
         while at < len(items):
             size, to = 0, at
@@ -70,48 +95,49 @@ class Encoder:
                 size += len(items[to])
                 to += 1
             for e in self.lib.encode_batch_fast(items[at:to], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+                yield array("I", e.ids).tobytes()
             at = to
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         old = self.old
         found = {p: old[p] for p in new if p in old}
         rest = [p for p in new if p not in found]
         self.young.update(found)
-        self.young.update(zip(rest, self._encode(rest), strict=True))
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if any(s in text for s in self.special):
-                yield b"".join(self._encode([text]))
-                continue
-            cut = pieces(text)
-            young = self.young
-            try:
-                yield b"".join(map(young.__getitem__, cut))
-            except KeyError:
-                self._learn(set(cut) - young.keys())
-                yield b"".join(map(young.__getitem__, cut))
-            if len(young) > MEMO_PIECES:
-                self.old, self.young = young, {}
+        self.young.update(zip(rest, self._encode_spaced(rest), strict=True))
+
+    def _run(self, texts: list[str]) -> Iterator[bytes]:
+        """Texts of a few hundred kilobytes together, so that the library's calls are large."""
+        young = self.young
+        cut = [[t] if any(s in t for s in self.special) else t.split(" ") for t in texts]
+        flat = list(chain.from_iterable(p[1:] for p in cut))
+        ids = list(map(young.get, flat))
+        odd: set[str] = set()
+        if None in ids:
+            missed = [i for i, v in enumerate(ids) if v is None]
+            new = {flat[i] for i in missed}
+            odd = {p for p in new if not p or p[0].isspace()}
+            self._learn(list(new - odd))
+            for i in missed:
+                ids[i] = young.get(flat[i], b"")
+        at = 0
+        for t, parts, head in zip(texts, cut, self._encode([p[0] for p in cut]), strict=True):
+            to = at + len(parts) - 1
+            if odd and not odd.isdisjoint(parts[1:]):
+                yield b"".join(self._encode(pieces(t)))
+            else:
+                yield head + b"".join(ids[at:to])
+            at = to
+        if len(young) > MEMO_PIECES:
+            self.old, self.young = young, {}
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        """As ids(), learning the unseen pieces of a run of texts together, so that calls are large."""
         at = 0
         while at < len(texts):
             size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to]) < 2 * CALL_BYTES):
+            while to < len(texts) and (to == at or size + len(texts[to]) < 4 * CALL_BYTES):
                 size += len(texts[to])
                 to += 1
-            run = texts[at:to]
-            new: set[str] = set()
-            for t in run:
-                if not any(s in t for s in self.special):
-                    new.update(pieces(t))
-            new -= self.young.keys()
-            if new:
-                self._learn(new)
-            yield from self.ids(run)
+            yield from self._run(texts[at:to])
             at = to
 
 
