@@ -38,6 +38,8 @@ from .common import documents, materialize, union_all, whole_text, with_rid
 from .graph import components
 
 _NULL_ID = -(1 << 63)
+#: Shingles and similarity of near duplicates where no contract says otherwise.
+NEAR_K, NEAR_THRESHOLD = 5, Fraction(4, 5)
 #: Slots of the frequency sketch and slots of a chunk of it: its size is fixed, whatever the corpus.
 SKETCH_BITS, CHUNK = 20, 4096
 #: Members of a leader that meet in one cell, at most about twice this.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing, quality, sharding, substring, tokens, warc
+from . import exact_dedup, licenses, mixing, ngram_join, packing, quality, sharding, substring, tokens, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sharding": sharding.op5,
     "op6_quality_rules": quality.op6,
     "op7_source_mixing": mixing.op7,
+    "op8_license_scan": licenses.op8,
     "op9_ngram_jaccard_join": ngram_join.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }

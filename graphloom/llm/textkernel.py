@@ -87,9 +87,9 @@ class Slice:
         return np.repeat(np.arange(self.n), np.diff(self.ptr))
 
 
-def _slice(first: int, buf: np.ndarray, offsets: np.ndarray) -> Slice:
+def _slice(first: int, buf: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> Slice:
     off = offsets - offsets[0]
-    sp = _SPACE[buf]
+    sp = blank[buf]
     if len(buf) == 0:
         none = np.empty(0, np.int64)
         return Slice(first, buf, off, none, none, np.zeros(len(off), np.int64))
@@ -103,8 +103,11 @@ def _slice(first: int, buf: np.ndarray, offsets: np.ndarray) -> Slice:
     return Slice(first, buf, off, starts, ends, np.searchsorted(starts, off))
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cut a string column into slices of whole documents; a null text counts as empty."""
+def slices(texts: pa.Array | pa.ChunkedArray, slice_bytes: int = SLICE_BYTES, blank: np.ndarray = _SPACE) -> Iterator[Slice]:
+    """Cut a string column into slices of whole documents; a null text counts as empty.
+
+    ``blank`` tells for each byte whether it is between words.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not pa.types.is_large_string(texts.type):
@@ -120,7 +123,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, slice_bytes: int = SLICE_BYTES) ->
     while at < len(texts):
         to = int(np.searchsorted(offsets, offsets[at] + slice_bytes, "right")) - 1
         to = min(max(to, at + 1), len(texts))
-        yield _slice(at, raw[offsets[at] : offsets[to]], offsets[at : to + 1])
+        yield _slice(at, raw[offsets[at] : offsets[to]], offsets[at : to + 1], blank)
         at = to
 
 
