@@ -34,7 +34,7 @@ class Rules:
     max_repeat_percent: int = 30  # words in repeated 8-word windows
     ngram_limits: tuple[tuple[int, float], ...] = ((3, 0.45), (5, 0.35), (10, 0.25))
     max_dup_line_chars: float = 0.30
-    max_symbol_chars: float = 0.10
+    max_symbol_chars: float = 0.05
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_chars long, ngram_chars array<long>, base_failed boolean, kept boolean"
