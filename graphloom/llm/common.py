@@ -63,20 +63,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def with_rid(df: DataFrame, name: str = "rid") -> DataFrame:
+#: The name of the row number in frames whose columns are the caller's.
+RID = "__graphloom_rid"
+
+
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether each row of df is a row of a file: projections and filters over one file relation."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation")
+
+
+def with_rid(df: DataFrame, name: str = RID) -> DataFrame:
     """Add a 64-bit row number that is the same in every scan of the same files, however Spark splits them.
 
     It is a hash of the file and the row's place in it. monotonically_increasing_id() depends on the split, and so on
     the executors there are. A frame that isn't a plain scan is written to the shared folder first. Joins
-    on it should also compare the row's id where the input may exceed a few billion rows.
+    on it should also compare the row's id where the input may exceed a few billion rows. A frame that has the
+    column keeps it.
     """
+    if name in df.columns:
+        return df
     place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    try:
-        out = df.withColumn(name, place)
-        out.schema  # noqa: B018  resolves the columns
-        return out
-    except AnalysisException:
-        return materialize(df, "rows").withColumn(name, place)
+    if _plain_scan(df):
+        try:
+            return df.withColumn(name, place)
+        except AnalysisException:  # a source without row numbers
+            pass
+    return materialize(df, "rows").withColumn(name, place)
+
+
+def of_rows(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+    """Join rows, from with_rid(), with (rid, doc_id, ...), by both columns; chosen is the build side of a hash join."""
+    right = chosen.withColumnsRenamed({"rid": f"{RID}_2", "doc_id": f"{RID}_id"}).hint("shuffle_hash")
+    return rows.join(right, (rows[RID] == right[f"{RID}_2"]) & rows["doc_id"].eqNullSafe(right[f"{RID}_id"]), how)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_id, delete, documents, materialize, scratch, whole_text, with_rid
+from .common import RID, batches_by_id, delete, documents, materialize, of_rows, scratch, whole_text, with_rid
 
 #: Keys that one part holds at most, on average: bounds the memory of a task.
 KEYS_PER_PART = 150_000
@@ -220,7 +220,7 @@ class CuckooIndex:
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rid, digest) of every row; rid tells rows of equal id apart."""
-    return with_rid(docs, "_rid").select(F.col(id_col).cast("long").alias("doc_id"), F.col("_rid").alias("rid"), F.unhex(F.sha2(whole_text(text_col), 256)).alias("digest"))
+    return with_rid(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(RID).alias("rid"), F.unhex(F.sha2(whole_text(text_col), 256)).alias("digest"))
 
 
 def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
@@ -239,9 +239,9 @@ def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that repeat another row's text; columns as they were."""
-    rows = with_rid(docs, "_rid")
-    kept = exact_dedup(docs).where("kept").select(F.col("rid").alias("_rid"), F.col("doc_id").alias("_id")).hint("shuffle_hash")
-    return rows.join(kept, (rows["_rid"] == kept["_rid"]) & rows["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*docs.columns)
+    rows = with_rid(docs)
+    kept = exact_dedup(rows).where("kept").select("rid", "doc_id")
+    return of_rows(rows, kept, "left_semi").select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, if_small, materialize, salted_rank, whole_text, with_rid
+from .common import RID, WORD, documents, if_small, materialize, of_rows, salted_rank, whole_text, with_rid
 
 MAX_RATE = 2
 #: Fixed-point scale of the distributed sums.
@@ -62,8 +62,8 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (5
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, rid, source, size): size in words."""
-    return with_rid(docs, "_rid").select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col("_rid").alias("rid"), F.col(source_col).cast("string").alias("source"),
+    return with_rid(docs).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(RID).alias("rid"), F.col(source_col).cast("string").alias("source"),
         F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long").alias("size"),
     )
 
@@ -170,10 +170,10 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; columns as they were."""
-    plan = mix_plan(docs).where("copies > 0").select(F.col("rid").alias("_rid"), F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).hint("shuffle_hash")
-    rows = with_rid(docs, "_rid")
-    joined = rows.join(plan, (rows["_rid"] == plan["_rid"]) & rows["doc_id"].eqNullSafe(plan["_id"]))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    rows = with_rid(docs)
+    plan = mix_plan(rows).where("copies > 0").select("rid", "doc_id", F.col("copies").alias(f"{RID}_copies"))
+    joined = of_rows(rows, plan, "inner")
+    return joined.withColumn(f"{RID}_k", F.explode(F.sequence(F.lit(1), f"{RID}_copies"))).select(*docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

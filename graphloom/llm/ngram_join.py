@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import documents, materialize, union_all, whole_text, with_rid
+from .common import RID, documents, materialize, of_rows, union_all, whole_text, with_rid
 from .graph import components
 
 _NULL_ID = -(1 << 63)
@@ -274,8 +274,8 @@ def _derived(found: DataFrame, t: Fraction) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rid, n_shingles, component_id of every row of docs: documents linked at the threshold, directly or not."""
     t = threshold
-    rows = with_rid(docs, "_rid").select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col("_rid").alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("ord"), whole_text(text_col).alias("text")
+    rows = with_rid(docs).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(RID).alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("ord"), whole_text(text_col).alias("text")
     )
     scanned = materialize(scan(rows, k), "sets")
     sets = scanned.where("kind = 0")
@@ -317,12 +317,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
 
 def keep_first(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """docs with one document of each component, the one with the smallest id; columns as they were."""
-    found = jaccard_components(docs, k, threshold)
+    rows = with_rid(docs)
+    found = jaccard_components(rows, k, threshold)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # rows that repeat an id: one of them
-    kept = first.groupBy("doc_id", "component_id").agg(F.min("rid").alias("_rid")).select("_rid", F.col("doc_id").alias("_id")).hint("shuffle_hash")
-    rows = with_rid(docs, "_rid")
-    return rows.join(kept, (rows["_rid"] == kept["_rid"]) & rows["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*docs.columns)
+    kept = first.groupBy("doc_id", "component_id").agg(F.min("rid").alias("rid")).select("rid", "doc_id")
+    return of_rows(rows, kept, "left_semi").select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

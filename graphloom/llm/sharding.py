@@ -6,7 +6,7 @@ one, and removing a shard moves few keys besides its own. The table has a fixed
 data's, and a row's shard is one lookup by the slot of its key's hash.
 
 Defined results: a null key goes to the slot of the empty string; equal keys go to one shard; an empty table gives
-an empty result; other columns are kept by assign(), which refuses names it would overwrite.
+an empty result; other columns are kept by assign(), but for ``slot`` and ``shard``, which it replaces.
 """
 
 from __future__ import annotations
@@ -51,10 +51,9 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 def assign(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """df with ``slot`` and ``shard``."""
-    if taken := {"slot", "shard"} & set(df.columns):
-        raise ValueError(f"columns would be overwritten: {sorted(taken)}")
+    df = df.drop(*({"slot", "shard"} - {key}))
     table = df.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, slots))), "slot int, shard string")
-    return df.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(table), "slot").select(*df.columns, "slot", "shard")
+    return df.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(table), "slot").select(*[c for c in df.columns if c != "slot"], "slot", "shard")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import batches_by_id, delete, documents, materialize, scratch, union_all, whole_text, with_rid
+from .common import RID, batches_by_id, delete, documents, materialize, scratch, union_all, whole_text, with_rid
 
 WINDOW, GRAM = 50, 32
 _NULL_ID = -(1 << 63)
@@ -182,8 +182,8 @@ def remove(candidates: DataFrame, window: int = WINDOW) -> DataFrame:
 def substring_dedup(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rid, n_words, n_removed, kept_sha256 and the removed spans (in words) of every row of docs."""
     spark = docs.sparkSession
-    rows = with_rid(docs, "_rid").select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col("_rid").alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("ord"), whole_text(text_col).alias("text")
+    rows = with_rid(docs).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(RID).alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("ord"), whole_text(text_col).alias("text")
     )
     index, hits, scans = FingerprintIndex(spark), [], []
     for batch in batches_by_id(rows, batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, whole_text, with_rid
+from .common import RID, materialize, scratch, whole_text, with_rid
 
 DICTIONARY_FRAME = 0x184D2A5D
 #: Raw bytes of an archive, of a dictionary, and of the records that it is trained on.
@@ -166,7 +166,7 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "pa
     from pyspark import TaskContext
 
     payload = whole_text(payload_col)
-    src = with_rid(pages, "_rid").select(F.col(id_col).cast("long").alias("page_id"), F.col("_rid").alias("rid"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    src = with_rid(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(RID).alias("rid"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     keys = materialize(src.select("page_id", "rid", F.unhex(F.sha1("payload")).alias("sha"), F.octet_length("payload").cast("long").alias("n")), "payloads")
     total, rows = keys.agg(F.sum("n"), F.count(F.lit(1))).first()
     parts = max(1, -(-((total or 0) + 600 * rows) // PARTITION_BYTES))
