@@ -196,14 +196,15 @@ def substring_dedup(docs: DataFrame, batches: int = 2, window: int = WINDOW, gra
         hits.append(index.ingest(own.select(F.explode("anchors").alias("anchor"), "ord")))
     index.close()
     scanned = union_all(scans)
-    firsts = scanned.groupBy("seq").agg(F.min("ord").alias("first"))
+    # written tables, not aggregates, are what the joins below read, so that a hot key's rows can be split there
+    firsts = materialize(scanned.groupBy("seq").agg(F.min("ord").alias("first")), "firsts")
     base = materialize(scanned.join(firsts, "seq").select("doc_id", "rid", "ord", "n_words", "kept_sha256", "first", "anchors"), "base")
     reps = base.where(F.col("ord") == F.col("first"))
-    known = union_all(hits).distinct() if len(hits) > 1 else hits[0]
+    known = materialize(union_all(hits).distinct(), "hits") if len(hits) > 1 else hits[0]
     held = reps.select("rid", F.explode("anchors").alias("anchor")).join(known, "anchor").groupBy("rid").agg(F.collect_list("anchor").alias("hits"))
     candidates = materialize(rows.select("rid", "ord", "text").join(held.hint("shuffle_hash"), "rid"), "candidates")
     found = windows(candidates, window, gram)
-    first = found.groupBy("digest").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("digest", "lo")
+    first = materialize(found.groupBy("digest").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("digest", "lo"), "first")
     covered = found.join(first, "digest").where("ord > lo").groupBy("rid").agg(F.collect_list("pos").alias("pos"))
     cut = remove(candidates.select("rid", "text").join(covered.hint("shuffle_hash"), "rid"), window)
     out = base.drop("anchors").join(cut.withColumnRenamed("kept_sha256", "cut_sha256"), "rid", "left")
