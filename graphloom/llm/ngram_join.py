@@ -6,12 +6,13 @@
    its prefix is indexed: two sets at the threshold share a prefix shingle, and at their first one the positions i and j
    satisfy i + j <= (|x| + |y|) (1 - t) / (1 + t). Lists are split into blocks by size, so that sets too different in
    size never meet, and a block whose positions are all too large for that bound is skipped whole.
-3. *Leaders*: each block's smallest node leads it. Every other member is verified against its leader only, and what is
-   kept of it is how it differs from the leader (the shingles it lacks and adds).
+3. *Leaders*: each block's smallest node leads it. Every other member is compared with its leader only: first by parities, which
+   bound the overlap from above, then by the texts, and what is kept of it is how it differs from the leader (the
+   shingles it lacks and adds).
 4. *Derived answers*: sets of one leader that are at least half similar to it get their mutual overlaps from these
    differences: |x & y| = |L| - |lack x| - |lack y| + |lack x & lack y| + |add x & add y|, in cells of bounded size. Pairs that the
    leader links already are not looked at. By the triangle inequality a set less similar to the leader can only be linked to one of
-   similarity under ``HALF_REACH`` to it; such pairs are listed from the blocks by size and position and verified directly.
+   similarity at most HALF + (1 - t) to it; such pairs are listed from the blocks by size and position and verified directly.
 5. Links make components.
 
 No list's pairs are all emitted: a block gives a row a member, cells give a spanning forest.
@@ -118,15 +119,15 @@ def prefix_length(n: int, t: Fraction) -> int:
 
 
 def prefixes(rows: DataFrame, classes: np.ndarray, k: int, t: Fraction) -> DataFrame:
-    """(rid, n, tokens) of the sets that can have a different partner."""
+    """(rid, n, tokens, bits) of the sets that can have a different partner; bits as from parity()."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)
-    schema = "rid long, n int, tokens array<long>"
+    schema = "rid long, n int, tokens array<long>, bits binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls = shared.value
         for b in batches:
             for s in tk.slices(b.column(1)):
-                rids, ns, lists, ends = [], [], [], [0]
+                rids, ns, lists, ends, bits = [], [], [], [0], []
                 for i, x in enumerate(shingles(s, k)):
                     n = len(x)
                     if n * t.denominator < t.numerator * (n + 1):  # not even all of it and one more are enough
@@ -136,13 +137,55 @@ def prefixes(rows: DataFrame, classes: np.ndarray, k: int, t: Fraction) -> DataF
                     ns.append(n)
                     lists.append(head)
                     ends.append(ends[-1] + len(head))
+                    bits.append(parity(x))
                 if rids:
                     flat = pa.array(np.concatenate(lists).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["rid", "n", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(bits, pa.binary())], names=["rid", "n", "tokens", "bits"])
 
     return rows.select("rid", "text").mapInArrow(run, schema)
 
 
+def parity(x: np.ndarray) -> bytes:
+    """A bit per hash value modulo about twice the set's size: whether an odd number of shingles falls there.
+
+    Each shingle that only one of two sets has flips one bit, so the bits that differ are a lower bound of the sets'
+    symmetric difference. Parities of unequal length are compared after folding the longer one.
+    """
+    size = 1 << max(6, int(2 * len(x) - 1).bit_length())
+    return np.packbits((np.bincount((x & tk.U(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """The number of bits in which two parities differ."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+BOUNDS = "leader long, node long, n_leader long, n long, overlap long"
+
+
+def bounds(pairs: DataFrame) -> DataFrame:
+    """An upper bound of the overlap of each pair; pairs: (leader, node, nl, n, bl, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nl, n = b.column(2).to_numpy(), b.column(3).to_numpy()
+            most = [(x + y - apart(p, q)) // 2 for x, y, p, q in zip(nl.tolist(), n.tolist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            cols = [b.column(0), b.column(1), pa.array(nl, pa.int64()), pa.array(n, pa.int64()), pa.array(np.minimum(most, np.minimum(nl, n)) if most else [], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in BOUNDS.split(", ")])
+
+    return pairs.select("leader", "node", "nl", "n", "bl", "b").mapInArrow(run, BOUNDS)
+
+
+def _reaches(t: Fraction):
+    """Whether an overlap (or its bound) is enough for similarity t."""
+    return F.col("overlap") * t.denominator >= (F.col("n_leader") + F.col("n") - F.col("overlap")) * t.numerator
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """(rid, z): texts compressed, as they travel in shuffles."""
 
@@ -256,7 +299,7 @@ def _cell(t: Fraction):
 
 
 def _links(found: DataFrame, t: Fraction) -> DataFrame:
-    return found.where(F.col("overlap") * t.denominator >= (F.col("n_leader") + F.col("n") - F.col("overlap")) * t.numerator).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    return found.where(_reaches(t)).select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
 
 def _derived(found: DataFrame, t: Fraction) -> DataFrame:
@@ -289,15 +332,24 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     blocks = entries.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("leader"), F.min("pos").alias("near"), F.max("n").alias("most"))
     blocks = blocks.where((F.col("c") > 1) & (F.col("near") * reach[1] <= F.col("most") * reach[0])).select("token", "band", "leader")
     live = entries.join(blocks, ["token", "band"])
-    stars = materialize(live.where("node <> leader").select("leader", "node").distinct(), "stars")
-    ids = stars.select(F.col("leader").alias("rid")).union(stars.select(F.col("node").alias("rid"))).distinct()
-    texts = materialize(packed(rows).join(ids.hint("shuffle_hash"), "rid"), "texts")
-
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("rid").alias("node"), "z"), "node")
-        return one.join(texts.select(F.col("rid").alias("leader"), F.col("z").alias("zl")), "leader").sortWithinPartitions("leader")
-
-    found = materialize(differences(with_texts(stars), k), "differences")
+    stars = live.where("node <> leader").select("leader", "node").distinct()
+    bits = heads.select(F.col("rid").alias("node"), "n", F.col("bits").alias("b"))
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(bits, "node")
+        return bounds(one.join(bits.select(F.col("node").alias("leader"), F.col("n").alias("nl"), F.col("b").alias("bl")), "leader"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """pairs whose bound is enough, by their texts."""
+        ids = pairs.select(F.col("leader").alias("rid")).union(pairs.select(F.col("node").alias("rid"))).distinct()
+        texts = materialize(packed(rows).join(ids.hint("shuffle_hash"), "rid"), "texts")
+        one = pairs.select("leader", "node").join(texts.select(F.col("rid").alias("node"), "z"), "node")
+        two = one.join(texts.select(F.col("rid").alias("leader"), F.col("z").alias("zl")), "leader").sortWithinPartitions("leader")
+        return materialize(differences(two, k), "differences")
+
+    stars = materialize(bounded(stars), "stars")
+    none = F.lit(None).cast("binary")
+    found = verified(stars.where(_reaches(HALF))).unionByName(stars.where(~_reaches(HALF)).withColumn("lacks", none).withColumn("adds", none))
     # sets far from a leader can only be linked to sets that are not close to it either
     far_reach = float(HALF) + (1 - float(t))
     sim = F.col("overlap") / (F.col("n_leader") + F.col("n") - F.col("overlap"))
@@ -306,8 +358,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     other = rest.select("token", "band", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "far")))
     close = (F.least("n", "n2") * t.denominator >= F.greatest("n", "n2") * t.numerator) & ((F.col("pos") + F.col("pos2")) * reach[1] <= (F.col("n") + F.col("n2")) * reach[0])
     direct = rest.join(other, ["token", "band"]).where((F.col("node") < F.col("node2")) & (F.col("far") | F.col("far2")) & close)
-    pairs = materialize(direct.select(F.col("node").alias("leader"), F.col("node2").alias("node")).distinct(), "pairs")
-    edges = union_all([_links(found, t), _derived(found, t), _links(differences(with_texts(pairs), k), t)])
+    pairs = materialize(bounded(direct.select(F.col("node").alias("leader"), F.col("node2").alias("node")).distinct()).where(_reaches(t)), "pairs")
+    edges = union_all([_links(found, t), _derived(found, t), _links(verified(pairs), t)])
     labels = components(edges)
     least = labels.join(nodes, "node").groupBy("label").agg(F.min("ord").alias("component"))
     named = nodes.join(labels, "node", "left").join(least, "label", "left").select("digest", F.coalesce("component", "ord").alias("component"))
