@@ -80,7 +80,10 @@ class CuckooFilter:
         return False
 
     def insert_many(self, keys: np.ndarray) -> np.ndarray:
-        """Indices of the keys that found no place. Keys whose first bucket has room are placed together."""
+        """Place all keys, or return the index of the first that found no place (and those after it are not tried).
+
+        Keys whose first bucket has room are placed together.
+        """
         fp, a, _ = self._places(keys)
         order = np.argsort(a, kind="stable")
         sa = a[order]
@@ -94,7 +97,10 @@ class CuckooFilter:
         self.table[touched] = np.take_along_axis(rows, np.argsort(rows == 0, axis=1, kind="stable"), axis=1)
         fits = slot < SLOTS
         self.table[sa[fits], slot[fits]] = fp[order[fits]]
-        return np.array([i for i in order[~fits] if not self.insert(int(keys[i]))], np.int64)
+        for i in order[~fits]:
+            if not self.insert(int(keys[i])):
+                return np.array([i], np.int64)
+        return np.empty(0, np.int64)
 
     def remove(self, key: int) -> bool:
         fp, a, b = (int(x[0]) for x in self._places(np.array([key], np.uint64)))
