@@ -8,7 +8,8 @@ from dataclasses import dataclass
 
 from .base import Facts, closing, mask
 
-_CONTROL = {"if", "for", "while", "switch", "catch", "return", "func", "new", "else", "sizeof", "match", "loop", "fn", "def", "class", "synchronized", "defer", "go", "select", "range", "throw", "when", "super", "this"}
+_NO_NAME = {"if", "for", "while", "switch", "catch", "return", "new", "else", "sizeof", "synchronized", "throw", "super", "this"}
+_CONTROL = _NO_NAME | {"func", "match", "loop", "fn", "def", "when"}
 
 
 def _calls(code: str, source: str, lo: int, hi: int, joiner: str = r"(?:\.|::|->)") -> list[str]:
@@ -154,7 +155,7 @@ def extract_generic(path: str, source: str, language: str, complete: bool = Fals
             for n in range(len(parts), 1, -1):
                 facts.refer(facts.file, f.separator.join(parts[:n]), "imports")
             continue
-        if m["name"] in _CONTROL:
+        if m["name"] in _NO_NAME:
             continue
         start = m.start() + len(m[0]) - len(m[0].lstrip())
         v = facts.add(m["name"], kind, facts.line(start))

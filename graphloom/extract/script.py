@@ -100,7 +100,7 @@ def extract_script(path: str, source: str, resolve: Callable[[str, str], str | N
         doc = None if exported else _doc(facts, comments, start)
         if kind == "function" and name:
             par = code.find("(", at)
-            body = re.compile(r"\s*(?::[^;{]*(?:\{[^{}]*\}[^;{]*)?)?\{").match(code, closing(code, par)) if par >= 0 else None
+            body = re.compile(r"\s*(?::\s*(?:\{[^{}]*\}\s*)?[^;{]*)?\{").match(code, closing(code, par)) if par >= 0 else None
             if not body:  # an overload
                 continue
             end = closing(code, body.end() - 1)
