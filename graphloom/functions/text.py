@@ -11,7 +11,7 @@ CHARS_PER_TOKEN = 4
 def tokenize(text: Column) -> Column:
     """Split camelCase, acronym boundaries and anything but ASCII letters and digits; lower-cased, longer than one character."""
     split = F.regexp_replace(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")
-    return F.filter(F.transform(F.split(split, "[^a-zA-Z0-9]+"), F.lower), lambda t: F.length(t) > 1)
+    return F.transform(F.regexp_extract_all(split, F.lit("[a-zA-Z0-9]{2,}"), F.lit(0)), F.lower)
 
 
 def utf16_length(text: Column) -> Column:

@@ -40,13 +40,20 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _weighted(links: DataFrame) -> DataFrame:
+    """Links with their source's degree, dealt by source once and kept, so that iterations move ranks only."""
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    return links.join(degree, "src").repartition(parts, "src").persist()
+
+
 def pagerank_iterations(ids: DataFrame, links: DataFrame, iterations: int, alpha: float = ALPHA) -> DataFrame:
     """A fixed number of power iterations by joins. ids: (id); links: distinct (src, dst). Nodes without links leak."""
     n = ids.count()
-    weighted = links.join(links.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "src").persist()
+    weighted = _weighted(links)
     ranks = ids.withColumn("rank", F.lit(1.0 / n if n else 0.0))
     for k in range(iterations):
-        given = weighted.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.lit(alpha) * F.col("rank") / F.col("deg")).alias("given"))
+        given = weighted.join(ranks.hint("shuffle_hash"), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.lit(alpha) * F.col("rank") / F.col("deg")).alias("given"))
         ranks = ids.join(given, F.col("id") == F.col("dst"), "left").select("id", (F.lit((1 - alpha) / n) + F.coalesce("given", F.lit(0.0))).alias("rank"))
         if k % 5 == 4 and k + 1 < iterations:
             ranks = _checkpointed(ranks)
@@ -56,10 +63,10 @@ def pagerank_iterations(ids: DataFrame, links: DataFrame, iterations: int, alpha
 def pagerank_joined(ids: DataFrame, links: DataFrame, alpha: float = ALPHA, epsilon: float = EPSILON, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
     """Iterate until the L1 change is below N * epsilon; for graphs beyond one task."""
     n = ids.count()
-    weighted = links.join(links.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "src").persist()
+    weighted = _weighted(links)
     ranks = ids.withColumn("rank", F.lit(1.0 / n if n else 0.0))
     for _ in range(max_iterations):
-        given = weighted.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.lit(alpha) * F.col("rank") / F.col("deg")).alias("given"))
+        given = weighted.join(ranks.hint("shuffle_hash"), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.lit(alpha) * F.col("rank") / F.col("deg")).alias("given"))
         both = ranks.join(given, F.col("id") == F.col("dst"), "left").select("id", F.col("rank").alias("was"), (F.lit((1 - alpha) / n) + F.coalesce("given", F.lit(0.0))).alias("rank"))
         both = _checkpointed(both)
         change = both.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def tokens_of(text: str) -> list[str]:
 
 @dataclass
 class TextIndex:
-    """Question-independent statistics, built once: terms (ord, id, term, tf), idf (term, df, idf), norms (ord, norm), texts (ord, id, joined)."""
+    """Question-independent statistics, built once: terms (ord, term, tf), idf (term, df, idf), norms (ord, norm), texts (ord, id, joined)."""
 
     terms: DataFrame
     idf: DataFrame
@@ -34,14 +35,21 @@ class TextIndex:
 
     @classmethod
     def build(cls, nodes: DataFrame) -> TextIndex:
-        texts = nodes.select("ord", "id", tokenize(node_text()).alias("tokens")).where("size(tokens) > 0")
-        terms = texts.select("ord", "id", F.explode("tokens").alias("term")).groupBy("ord", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        """Tokens are cut once; all later steps read what is kept of them (memory, then disk; recomputed if lost)."""
+        keep = StorageLevel.MEMORY_AND_DISK
+        texts = nodes.select("ord", "id", tokenize(node_text()).alias("tokens")).where("size(tokens) > 0").persist(keep)
+        terms = texts.select("ord", F.explode("tokens").alias("term")).groupBy("ord", "term").agg(F.count(F.lit(1)).alias("tf")).persist(keep)
         df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         n = texts.agg(F.count(F.lit(1)).alias("n_docs"))
-        idf = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
+        idf = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")).persist(keep)  # one row
         norms = terms.join(idf, "term").groupBy("ord").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
         return cls(terms, idf, norms, texts.select("ord", "id", F.concat_ws(" ", "tokens").alias("joined")))
 
+    def close(self) -> None:
+        """Give up what is kept."""
+        for frame in (self.terms, self.idf):
+            frame.unpersist()
+
     def scores(self, question: str) -> DataFrame:
         """(ord, id, score) of every node with tokens: cosine plus 0.3 for each query token found in its text, at most 1.
 

@@ -16,8 +16,20 @@ TABLES = {
 STEP = 10**12
 
 
+#: Text tables below this many bytes are often one row group, which one task would read.
+SPREAD_BYTES = 24 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores; a large one is left as it is split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if cores > 1 and int(str(size)) < SPREAD_BYTES else df
 
 
 def _id(kind: str, key: str):
