@@ -100,6 +100,17 @@ def of_rows(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     return rows.join(right, (rows[RID] == right[f"{RID}_2"]) & rows["doc_id"].eqNullSafe(right[f"{RID}_id"]), how)
 
 
+#: Tables below this many bytes are often one row group, which one task would read.
+SPREAD_BYTES = 24 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, for work in Python that follows; a large one is left as it is split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if cores > 1 and int(str(size)) < SPREAD_BYTES else df
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 

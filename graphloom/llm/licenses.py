@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import documents, whole_text
+from .common import documents, spread, whole_text
 from .license_texts import TEMPLATES
 
 MIN_COVERAGE = 0.8
@@ -162,7 +162,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_cov
                 cols = [b.column(0).slice(s.first, s.n), pa.array(np.diff(s.ptr), pa.int64()), pa.array([x.get("license") for x in top], pa.string()), pa.array([x.get("coverage") for x in top], pa.float64()), pa.array(found, pa.list_(item))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))).mapInArrow(run, SCHEMA)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import RID, documents, materialize, of_rows, union_all, whole_text, with_rid
+from .common import RID, documents, materialize, of_rows, spread, union_all, whole_text, with_rid
 from .graph import components
 
 _NULL_ID = -(1 << 63)
@@ -92,7 +92,7 @@ def scan(rows: DataFrame, k: int) -> DataFrame:
             rows = [{"kind": 1, "chunk": c, "counts": sketch[c * CHUNK : (c + 1) * CHUNK].tobytes()} for c in range((1 << SKETCH_BITS) // CHUNK)]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return rows.mapInArrow(run, SCAN)
+    return spread(rows).mapInArrow(run, SCAN)
 
 
 def ranks(scanned: DataFrame) -> np.ndarray:
@@ -142,7 +142,7 @@ def prefixes(rows: DataFrame, classes: np.ndarray, k: int, t: Fraction) -> DataF
                     flat = pa.array(np.concatenate(lists).view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(bits, pa.binary())], names=["rid", "n", "tokens", "bits"])
 
-    return rows.select("rid", "text").mapInArrow(run, schema)
+    return spread(rows.select("rid", "text")).mapInArrow(run, schema)
 
 
 def parity(x: np.ndarray) -> bytes:
@@ -325,12 +325,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     nodes = materialize(sets.where("digest is not null").groupBy("digest").agg(F.min(F.struct("ord", "rid")).alias("m")).select("digest", F.col("m.rid").alias("node"), F.col("m.ord").alias("ord")), "nodes")
     heads = materialize(prefixes(rows, ranks(scanned), k, t).join(nodes.select(F.col("node").alias("rid")).hint("shuffle_hash"), "rid"), "prefixes")
     lists = heads.select(F.col("rid").alias("node"), "n", F.posexplode("tokens").alias("pos", "token"))
-    met = lists.select("token").groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    # tables, not aggregates, are what the joins by token read, so that a hot token's rows can be split there
+    met = materialize(lists.select("token").groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "met")
     band = F.floor(F.log(F.col("n")) / F.lit(log(1 / t) * 1.0001)).cast("int")
     entries = materialize(lists.join(met, "token").withColumn("band", F.explode(F.array(band, band + 1))), "entries")
     reach = (t.denominator - t.numerator, t.denominator + t.numerator)  # i + j <= (|x| + |y|) (1 - t) / (1 + t)
     blocks = entries.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("leader"), F.min("pos").alias("near"), F.max("n").alias("most"))
-    blocks = blocks.where((F.col("c") > 1) & (F.col("near") * reach[1] <= F.col("most") * reach[0])).select("token", "band", "leader")
+    blocks = blocks.where((F.col("c") > 1) & (F.col("near") * reach[1] <= F.col("most") * reach[0]))
+    blocks = materialize(blocks.select("token", "band", "leader"), "blocks")
     live = entries.join(blocks, ["token", "band"])
     stars = live.where("node <> leader").select("leader", "node").distinct()
     bits = heads.select(F.col("rid").alias("node"), "n", F.col("bits").alias("b"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, salted_rank, whole_text
+from .common import documents, materialize, salted_rank, spread, whole_text
 from .tokens import encoder, tokenizer_path
 
 CAPACITY, END = 2048, 0
@@ -56,7 +56,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "by
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), whole_text(text_col).alias("text")).mapInArrow(run, PIECES)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), whole_text(text_col).alias("text"))).mapInArrow(run, PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

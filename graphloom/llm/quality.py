@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import documents, whole_text
+from .common import documents, spread, whole_text
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -117,7 +117,7 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
                 names = [x.split()[0] for x in SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([ids.slice(s.first, s.n), *[arrays[n] for n in names[1:]]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))).mapInArrow(run, SCHEMA)
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -131,7 +131,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 kept = np.concatenate([judge(s, rules)["kept"] for s in tk.slices(b.column(at))])
                 yield b.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import RID, batches_by_id, delete, documents, materialize, scratch, union_all, whole_text, with_rid
+from .common import RID, batches_by_id, delete, documents, materialize, scratch, spread, union_all, whole_text, with_rid
 
 WINDOW, GRAM = 50, 32
 _NULL_ID = -(1 << 63)
@@ -72,7 +72,7 @@ def scan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                 cols += [pa.array(np.diff(s.ptr), pa.int64()), pa.array(sha), pa.array(seq, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCAN.split(", ")])
 
-    return docs.mapInArrow(run, SCAN)
+    return spread(docs).mapInArrow(run, SCAN)
 
 
 class FingerprintIndex:
@@ -191,7 +191,7 @@ def substring_dedup(docs: DataFrame, batches: int = 2, window: int = WINDOW, gra
         # a whole sequence that repeats, in the batch or since an older one, brings its anchors once
         own = scanned.groupBy("seq").agg(F.min("ord").alias("ord"), F.min_by("anchors", "ord").alias("anchors")).where("size(anchors) > 0")
         if scans:
-            own = own.join(union_all(scans).select("seq"), "seq", "left_anti")
+            own = own.join(materialize(union_all(scans).select("seq").distinct(), "known"), "seq", "left_anti")
         scans.append(scanned)
         hits.append(index.ingest(own.select(F.explode("anchors").alias("anchor"), "ord")))
     index.close()

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text
+from .common import documents, spread, whole_text
 
 #: Bytes that one call of the library gets, and distinct pieces that a worker remembers per generation.
-CALL_BYTES, MEMO_PIECES = 1 << 18, 600_000
+CALL_BYTES, MEMO_PIECES = 1 << 18, 350_000
 
 _workers: dict[str, Encoder] = {}
 
@@ -161,7 +161,7 @@ def token_counts(docs: DataFrame, limit: int = 512, tokenizer: str = "byte_bpe_5
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), counts, pa.array([x > limit for x in n], pa.bool_())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     text = whole_text(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(run, SCHEMA)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))).mapInArrow(run, SCHEMA)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

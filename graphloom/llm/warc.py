@@ -171,7 +171,8 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "pa
     total, rows = keys.agg(F.sum("n"), F.count(F.lit(1))).first()
     parts = max(1, -(-((total or 0) + 600 * rows) // PARTITION_BYTES))
     large = keys.where(F.col("n") >= min_bytes)
-    best = large.groupBy("sha", "n").agg(F.max(F.struct("page_id", "rid")).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sha", "n", "best")
+    best = large.groupBy("sha", "n").agg(F.max(F.struct("page_id", "rid")).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    best = materialize(best.select("sha", "n", "best"), "best")  # a table, so that the join can split a hot payload
     revisits = large.join(best, ["sha", "n"]).where(F.col("rid") != F.col("best.rid")).select("rid", F.col("best.page_id").alias("to_page"), F.col("best.rid").alias("to_rid"))
     planned = src.repartition(parts, "rid").join(revisits.repartition(parts, "rid").hint("shuffle_hash"), "rid", "left")
     rows_in = planned.select("page_id", "rid", "url", "payload", "to_page", "to_rid")
