@@ -135,4 +135,28 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir))
+    found = quality(documents(spark, sf_dir))
+    chars = [F.col("ngram_chars")[i].alias(f"chars_{n}") for i, (n, _) in enumerate(Rules().ngram_limits)]
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *chars, "base_failed", "kept")
+
+
+#: Windows as strings of words; covered places are counted once a length.
+SQL = r"""
+with w as (select doc_id, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+b as (select doc_id, t, words, len(words) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols from w),
+g as (select doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') as s from b, (values (3), (5), (8), (10)) k(n), unnest(range(1, greatest(n_words - n + 2, 1))) u(i)),
+c as (select distinct doc_id, n, unnest(range(i, i + n)) as p from (select *, count(*) over (partition by doc_id, n, s) as times from g) where times > 1),
+r as (select c.doc_id, n, count(*) as inside, sum(length(words[p]))::bigint as chars from c join b using (doc_id) group by all),
+l as (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as k from b),
+d as (select doc_id, count(*) as n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')))::bigint as dup_line_chars
+      from (select *, row_number() over (partition by doc_id, line order by k) as nth from l where regexp_matches(line, '[^\x20\x09-\x0D]')) where nth > 1 group by 1),
+f as (select b.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(r8.inside, 0) as n_repeat_words, coalesce(dup_line_chars, 0) as dup_line_chars,
+      coalesce(r3.chars, 0) as chars_3, coalesce(r5.chars, 0) as chars_5, coalesce(r10.chars, 0) as chars_10, greatest(word_chars, 1) as base_chars
+      from b left join d using (doc_id) left join r r3 on r3.doc_id = b.doc_id and r3.n = 3 left join r r5 on r5.doc_id = b.doc_id and r5.n = 5
+      left join r r8 on r8.doc_id = b.doc_id and r8.n = 8 left join r r10 on r10.doc_id = b.doc_id and r10.n = 10)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, dup_line_chars, chars_3, chars_5, chars_10,
+       n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and dup_line_chars <= 0.30::double * base_chars and n_symbols <= 0.05::double * base_chars
+         and chars_3 <= 0.45::double * base_chars and chars_5 <= 0.35::double * base_chars and chars_10 <= 0.25::double * base_chars as kept
+from f
+"""

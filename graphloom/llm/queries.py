@@ -21,6 +21,7 @@ ORACLES = {
     "op1_substring_dedup": substring.SQL,
     "op4_warc": warc.SQL,
     "op5_sharding": sharding.SQL,
+    "op6_quality_rules": quality.SQL,
     "op9_ngram_jaccard_join": ngram_join.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
