@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import round3
@@ -43,8 +43,7 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 def _weighted(links: DataFrame) -> DataFrame:
     """Links with their source's degree, dealt by source once and kept, so that iterations move ranks only."""
     parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    return links.join(degree, "src").repartition(parts, "src").persist()
+    return links.repartition(parts, "src").withColumn("deg", F.count(F.lit(1)).over(Window.partitionBy("src"))).persist()
 
 
 def pagerank_iterations(ids: DataFrame, links: DataFrame, iterations: int, alpha: float = ALPHA) -> DataFrame:

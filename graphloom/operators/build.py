@@ -63,9 +63,9 @@ def merge(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_edges:
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Distinct symmetric neighbour pairs; nbr_ord is the order in which neighbours were first met."""
-    out = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), (F.col("ord") * 2).alias("nbr_ord"))
-    back = edges.select(F.col("target").alias("src"), F.col("source").alias("dst"), (F.col("ord") * 2 + 1).alias("nbr_ord"))
-    return out.unionByName(back).groupBy("src", "dst").agg(F.min("nbr_ord").alias("nbr_ord"))
+    ends = [("source", "target", F.col("ord") * 2), ("target", "source", F.col("ord") * 2 + 1)]
+    both = F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), o.alias("nbr_ord")) for a, b, o in ends])
+    return edges.select(F.inline(both)).groupBy("src", "dst").agg(F.min("nbr_ord").alias("nbr_ord"))
 
 
 def outgoing(edges: DataFrame) -> DataFrame:
