@@ -155,6 +155,7 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     joined = cells.join(if_small(plan, len(wanted)), cells["source"].eqNullSafe(plan["source"])).select(cells["source"], "size", "n", "target", "tilt", "mean")
     rounded = materialize(joined.groupBy("source").applyInPandas(_round, CELLS), "copies")
     ranked = salted_rank(rows.withColumn("_h", F.xxhash64("doc_id", "rid")), ["source", "size"], ["_h", "rid"])
+    rounded = rounded.hint("merge")  # cells grow with the corpus, and a compressed file's size says little about their broadcast
     with_cell = ranked.join(rounded, ranked["source"].eqNullSafe(rounded["source"]) & (ranked["size"] == rounded["size"])).select(
         "doc_id", "rid", ranked["source"], ranked["size"],
         (F.floor(F.col("copies") / F.col("n")) + (F.col("rank") < F.col("copies") % F.col("n")).cast("int")).cast("int").alias("copies"),
