@@ -156,7 +156,7 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     """A mask of the keys that occur twice or more, the first occurrence included."""
     if len(keys) == 0:
         return np.zeros(0, bool)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # equal keys in any order: several times as fast as a stable sort
     s = keys[order]
     same = s[1:] == s[:-1]
     m = np.zeros(len(keys), bool)
