@@ -16,7 +16,7 @@ from ..sources.graph_io import read_cache, write_cache
 from .base import LANGUAGES, Facts
 from .others import FAMILIES, extract_generic, extract_go, extract_json, extract_shell
 from .python import extract_python
-from .script import extract_script
+from .script import extract_script, named_imports
 
 #: Suffixes tried, in order, for a relative import.
 SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".mts", ".cjs", ".cts")
@@ -46,7 +46,10 @@ def extract_source(path: str, content: str, exists: set[str] | None = None, comp
 
     language = LANGUAGES.get("." + path.rsplit(".", 1)[-1] if "." in path else "")
     if language in ("javascript", "typescript"):
-        return extract_script(path, content, resolve, language == "typescript")
+        facts = extract_script(path, content, resolve, language == "typescript")
+        if complete:
+            facts.edges += named_imports(path, content, resolve)
+        return facts
     if language == "python":
         return extract_python(path, content, methods=complete)
     if language == "go":

@@ -209,7 +209,13 @@ def top_symbols(spark, d):
     return s.select("source_file", F.array_join(F.transform("symbols", lambda x: x["label"]), ", ").alias("symbols"), F.round(F.element_at("symbols", 1)["centrality"], 6).alias("best"))
 
 
-@register()
+@register(f"with recursive {_FLOW_SQL}, " + _pagerank_sql("select 'nation_' || n_nationkey as id from nation", "select 'nation_' || a as src, 'nation_' || b as dst from top5", 100) + """,
+ change as (select y.k, sum(abs(x.rank - y.rank)) as diff from pr x join pr y on x.id = y.id and y.k = x.k + 1 group by 1),
+ stop as (select coalesce(min(k), 100) as k from change, n where diff < n * 1e-6),
+ sym as (select n_name as file, c_name as label, row_number() over (partition by n_name order by c_acctbal / 10000 desc, c_custkey) as rn from customer join nation on c_nationkey = n_nationkey qualify rn <= 6),
+ line as (select n_nationkey, rank, n_name || coalesce(' — ' || string_agg(label, ', ' order by rn), '') as line from pr join stop using (k) join nation on id = 'nation_' || n_nationkey left join sym on file = n_name group by 1, 2, n_name),
+ cost as (select *, ceil(length(line) / 4)::int as cost from line), used as (select *, sum(cost) over (order by rank desc, n_nationkey) as used from cost)
+ select line, cost, used::bigint as used from used where used <= 1500""")
 def repository_map(spark, d):
     return map_lines(an.file_ranking(*import_graph(spark, d), 50)).select("line", "cost", "used")
 

@@ -65,6 +65,8 @@ def test_typescript():
     assert ("src_controller_file", "src_auth_file", "imports") in edges and sum(e[2] == "imports" for e in edges) == 1
     assert ("src_controller_Controller", "src_controller_Base", "inherits") in edges
     assert not any(e[2] == "calls" for e in edges)
+    more = facts("src/controller.ts", True)[1]
+    assert ("src_controller_file", "src_auth_login", "imports") in more and ("src_controller_file", "src_auth_login", "imports") not in edges
 
 
 def test_python():
