@@ -161,6 +161,20 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def _squeezed(src: DataFrame) -> DataFrame:
+    """Payloads compressed for the shuffle: it is most of what this operator moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        c = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            z = pa.array([c.compress(x.encode()) for x in b.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], z], names=["page_id", "rid", "url", "payload"])
+
+    return src.select("page_id", "rid", "url", "payload").mapInArrow(run, "page_id long, rid long, url string, payload binary")
+
+
 def archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write pages to archives below folder; returns the manifest. Equal payloads under min_bytes are all responses."""
     from pyspark import TaskContext
@@ -174,16 +188,19 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "pa
     best = large.groupBy("sha", "n").agg(F.max(F.struct("page_id", "rid")).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1")
     best = materialize(best.select("sha", "n", "best"), "best")  # a table, so that the join can split a hot payload
     revisits = large.join(best, ["sha", "n"]).where(F.col("rid") != F.col("best.rid")).select("rid", F.col("best.page_id").alias("to_page"), F.col("best.rid").alias("to_rid"))
-    planned = src.repartition(parts, "rid").join(revisits.repartition(parts, "rid").hint("shuffle_hash"), "rid", "left")
+    planned = _squeezed(src).repartition(parts, "rid").join(revisits.repartition(parts, "rid").hint("shuffle_hash"), "rid", "left")
     rows_in = planned.select("page_id", "rid", "url", "payload", "to_page", "to_rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = TaskContext.get()
 
         def records() -> Iterator[bytes]:
+            import zstandard
+
+            plain = zstandard.ZstdDecompressor().decompress
             for b in batches:
-                for page, rid, url, text, to_page, to_rid in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                    yield record(page, rid, url, text.encode(), None if to_rid is None else (to_page, to_rid))
+                for page, rid, url, z, to_page, to_rid in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    yield record(page, rid, url, plain(z), None if to_rid is None else (to_page, to_rid))
 
         it, k = records(), 0
         files, base = _fs(folder)
