@@ -188,7 +188,11 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "pa
     best = large.groupBy("sha", "n").agg(F.max(F.struct("page_id", "rid")).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1")
     best = materialize(best.select("sha", "n", "best"), "best")  # a table, so that the join can split a hot payload
     revisits = large.join(best, ["sha", "n"]).where(F.col("rid") != F.col("best.rid")).select("rid", F.col("best.page_id").alias("to_page"), F.col("best.rid").alias("to_rid"))
-    planned = _squeezed(src).repartition(parts, "rid").join(revisits.repartition(parts, "rid").hint("shuffle_hash"), "rid", "left")
+    alone = best.isEmpty()
+    if alone:  # nothing to join: pages are archived where they are read
+        planned = src.select("*", F.lit(None).cast("long").alias("to_page"), F.lit(None).cast("long").alias("to_rid"), F.encode("payload", "UTF-8").alias("z")).drop("payload").withColumnRenamed("z", "payload")
+    else:
+        planned = _squeezed(src).repartition(parts, "rid").join(revisits.repartition(parts, "rid").hint("shuffle_hash"), "rid", "left")
     rows_in = planned.select("page_id", "rid", "url", "payload", "to_page", "to_rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +201,7 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "pa
         def records() -> Iterator[bytes]:
             import zstandard
 
-            plain = zstandard.ZstdDecompressor().decompress
+            plain = bytes if alone else zstandard.ZstdDecompressor().decompress
             for b in batches:
                 for page, rid, url, z, to_page, to_rid in zip(*[c.to_pylist() for c in b.columns], strict=True):
                     yield record(page, rid, url, plain(z), None if to_rid is None else (to_page, to_rid))
