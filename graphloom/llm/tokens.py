@@ -31,6 +31,9 @@ _workers: dict[str, Encoder] = {}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file: a path as it is, or a name among the public tokenizers. Every executor must see it."""
+    if os.sep in name:
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
