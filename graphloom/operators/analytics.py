@@ -36,7 +36,9 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint where the session has a folder for it, so that iterations don't pile up lineage."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        return df.persist()
+        kept = df.persist()
+        kept.count()  # so that the next steps plan over what is kept, not over the steps before
+        return kept
     return df.checkpoint()
 
 
@@ -54,7 +56,7 @@ def pagerank_iterations(ids: DataFrame, links: DataFrame, iterations: int, alpha
     for k in range(iterations):
         given = weighted.join(ranks.hint("shuffle_hash"), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.lit(alpha) * F.col("rank") / F.col("deg")).alias("given"))
         ranks = ids.join(given, F.col("id") == F.col("dst"), "left").select("id", (F.lit((1 - alpha) / n) + F.coalesce("given", F.lit(0.0))).alias("rank"))
-        if k % 5 == 4 and k + 1 < iterations:
+        if k % 2 == 1 and k + 1 < iterations:
             ranks = _checkpointed(ranks)
     return ranks
 
