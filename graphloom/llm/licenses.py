@@ -3,11 +3,12 @@
 Texts and templates are compared as words of ASCII letters and digits (any other ASCII character parts words, letters are
 lower-cased, other characters are kept), so comment marks, punctuation and line breaks don't matter. Words that occur exactly once
 in both are anchors; the longest increasing subsequence of anchors is matched, and the gaps between them are aligned in the same way, down to gaps
-without an anchor. A template's coverage is its share of matched words, in the best of the text's overlapping
-windows of twice the template's length. A template is found at ``MIN_COVERAGE``.
+without an anchor. A template's coverage is its share of words that the whole text holds in order, wherever they begin and however
+many other words stand between them. A template is found at ``MIN_COVERAGE``.
 
-Before that an exact bound spares nearly all texts: no alignment matches more words than the text and the template
-have in common with multiplicity, so a template (or a window) whose bound is below the threshold is not aligned.
+Before that exact bounds spare nearly all texts: no alignment matches more words than the text and the template
+have in common with multiplicity, or than their longest common subsequence. What is left is aligned in a stretch taken from the text,
+the one that first holds as many words as the whole text, as short as it can be made. Where anchors lead past the bound's alignment, that one counts.
 
 Defined results: a null or empty text has no license; a text is scanned whole, however long; of equal coverage the longer
 template wins, then the smaller name; rows that repeat are scanned alike; an empty table gives an empty result;
@@ -84,6 +85,48 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _masks(b: list[int]) -> dict[int, int]:
+    """The places of each word of b, as bits."""
+    masks: dict[int, int] = {}
+    for j, w in enumerate(b):
+        masks[w] = masks.get(w, 0) | 1 << j
+    return masks
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each word of a, the longest common subsequences with the beginnings of b: bit j is 0 where b[: j + 1] has one more than b[:j]."""
+    masks, full = _masks(b), (1 << len(b)) - 1
+    v = full
+    for w in a:
+        u = v & masks.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def first_end(a: list[int], b: list[int]) -> tuple[int, int]:
+    """The length of the longest common subsequence, and how many words of a are enough for it."""
+    most = end = 0
+    for i, v in enumerate(_rows(a, b), 1):
+        if (n := len(b) - v.bit_count()) > most:
+            most, end = n, i
+    return most, end
+
+
+def longest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """The matched places of a longest common subsequence."""
+    rows = list(_rows(a, b))
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        elif a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        else:
+            i -= 1
+    return out[::-1]
+
+
 def words_of(text: str) -> np.ndarray:
     """The word hashes of one text."""
     (s,) = tk.slices(pa.array([text], pa.large_string()), blank=_BLANK)
@@ -110,19 +153,20 @@ class Scanner:
 
     def best(self, text: list[int], t: int) -> tuple[int, int, int] | None:
         """(matched words, first and last word of the text that match) of template t, or None below the threshold."""
-        b, need = self.ids[t], int(self.need[t])
-        count = Counter(b)
-        found = None
-        step = len(b)
-        for at in range(0, max(1, len(text) - step), step):
-            part = text[at : at + 2 * step]
-            own = Counter(part)
-            if sum(min(n, own[w]) for w, n in count.items()) < need:
-                continue
-            m = align(part, b)
-            if len(m) >= max(need, 1) and (found is None or len(m) > found[0]):
-                found = (len(m), at + m[0][0], at + m[-1][0])
-        return found
+        b, need = self.ids[t], max(int(self.need[t]), 1)
+        known = set(b)
+        places = [i for i, w in enumerate(text) if w in known]  # no other word matches or parts anything
+        own = [text[i] for i in places]
+        most, end = first_end(own, b)
+        if most < need:
+            return None
+        own = own[:end]
+        start = end - first_end(own[::-1], b[::-1])[1]
+        own = own[start:]
+        m = align(own, b)
+        if len(m) < most:
+            m = longest(own, b)
+        return len(m), places[start + m[0][0]], places[start + m[-1][0]]
 
     def scan(self, text: np.ndarray, candidates: np.ndarray) -> list[dict]:
         """All templates found in one text, best first."""

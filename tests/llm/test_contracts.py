@@ -403,3 +403,49 @@ def test_cuckoo_index_inserts_and_deletes(spark):
     index.insert(frame([(500, "t3"), (501, "t20")]))
     assert {(r.keep_id, r.n) for r in index.stored().collect()} >= {(500, 1), (501, 4)}
     assert index.stats().agg(F.sum("hits")).first()[0] >= 40
+
+
+def in_order(a, b):
+    """The length of the longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_licenses_wherever_they_begin_and_however_spread():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.MIN_COVERAGE)
+
+    def scan(text):
+        numbers = scanner.number(licenses.words_of(text))
+        return {f["license"]: f for f in scanner.scan(numbers, np.flatnonzero(scanner.candidates(numbers, np.array([0, len(numbers)]))[0]))}
+
+    filler = lambda n: " ".join(["plain"] * n)
+    notices = [("MIT notice", "Released under the terms and conditions of the MIT License.", 10), ("Apache-2.0 notice", "Licensed under the terms and conditions of the Apache License, Version 2.0.", 13)]
+    for name, text, n in notices:
+        for start in range(2 * n):
+            got = scan(f"{filler(start)} {text} {filler(40)}")[name]
+            assert (got["coverage"], got["first"], got["last"]) == (1.0, start, start + n - 1), (name, start)
+    for name in ("BSD-2-Clause", "MIT", "Apache-2.0 header"):
+        words = licenses.TEMPLATES[name].split()
+        for start in range(0, 2 * len(words), 7):
+            for gap, at in ((120, len(words) // 2), (3 * len(words), len(words) // 3)):
+                assert scan(f"{filler(start)} {' '.join(words[:at])} {filler(gap)} {' '.join(words[at:])} {filler(9)}")[name]["coverage"] == 1.0, (name, start, gap)
+        assert scan(f" {filler(4)} ".join(words))[name]["coverage"] == 1.0
+
+
+def test_licenses_match_as_much_as_the_longest_common_subsequence():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        b, text = rng.integers(0, 12, rng.integers(1, 30)).tolist(), rng.integers(-1, 14, rng.integers(0, 120)).tolist()
+        scanner = licenses.Scanner({"t": "x"}, 0.5)
+        scanner.ids, scanner.need = [b], np.array([-(-len(b) // 2)])
+        most, got = in_order([w for w in text if w >= 0], b), scanner.best(text, 0)
+        assert (got[0] if got else 0) == (most if most >= scanner.need[0] else 0)
+        if got:
+            assert in_order(text[got[1] : got[2] + 1], b) == most and text[got[1]] in b and text[got[2]] in b
+        m = licenses.longest(text, b)
+        assert len(m) == most and all(text[i] == b[j] for i, j in m) and all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(m))
