@@ -53,12 +53,48 @@ PURPOSE. See the GNU General Public License for more details. You should have re
 with this program. If not, see <https://www.gnu.org/licenses/>.
 """
 
+LGPL_3_HEADER = GPL_3_HEADER.replace("GNU General", "GNU Lesser General")
+AGPL_3_HEADER = GPL_3_HEADER.replace("GNU General", "GNU Affero General")
+
+GPL_2_HEADER = """
+This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the
+hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.
+"""
+
+LGPL_2_HEADER = GPL_2_HEADER.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2 of", "version 2.1 of")
+
+CC0_HEADER = """
+To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the
+public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain
+Dedication along with this software. If not, see <http://creativecommons.org/publicdomain/zero/1.0/>.
+"""
+
+UNLICENSE = """
+This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in
+the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org/>
+"""
+
 MPL_2_HEADER = """
 This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/.
 """
 
+#: A notice that grants nothing. Its three words are matched as a phrase, since in order they stand in much prose, and any license comes before it.
+RESERVED = "All rights reserved notice"
+
 TEMPLATES = {
+    "AGPL-3.0 header": AGPL_3_HEADER,
+    RESERVED: "All rights reserved.",
     "Apache-2.0 header": APACHE_2_HEADER,
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "BSD-2-Clause": BSD_2,
@@ -66,10 +102,15 @@ TEMPLATES = {
     "CC-BY-4.0 notice": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
+    "CC0-1.0 header": CC0_HEADER,
+    "GPL-2.0 header": GPL_2_HEADER,
     "GPL-3.0 header": GPL_3_HEADER,
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "ISC": ISC,
+    "LGPL-2.1 header": LGPL_2_HEADER,
+    "LGPL-3.0 header": LGPL_3_HEADER,
     "MIT": MIT,
     "MIT notice": "Released under the MIT License.",
     "MPL-2.0 header": MPL_2_HEADER,
+    "Unlicense": UNLICENSE,
 }

@@ -11,7 +11,7 @@ have in common with multiplicity, or than their longest common subsequence. What
 the one that first holds as many words as the whole text, as short as it can be made. Where anchors lead past the bound's alignment, that one counts.
 
 Defined results: a null or empty text has no license; a text is scanned whole, however long; of equal coverage the longer
-template wins, then the smaller name; rows that repeat are scanned alike; an empty table gives an empty result;
+template wins, then the smaller name; 'All rights reserved' counts as a phrase only, and comes last; rows that repeat are scanned alike; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .common import documents, spread, whole_text
-from .license_texts import TEMPLATES
+from .license_texts import RESERVED, TEMPLATES
 
 MIN_COVERAGE = 0.8
 _BLANK = np.ones(256, bool)
@@ -154,6 +154,9 @@ class Scanner:
     def best(self, text: list[int], t: int) -> tuple[int, int, int] | None:
         """(matched words, first and last word of the text that match) of template t, or None below the threshold."""
         b, need = self.ids[t], max(int(self.need[t]), 1)
+        if self.names[t] == RESERVED:
+            at = next((i for i, w in enumerate(text) if w == b[0] and text[i : i + len(b)] == b), None)
+            return None if at is None else (len(b), at, at + len(b) - 1)
         known = set(b)
         places = [i for i, w in enumerate(text) if w in known]  # no other word matches or parts anything
         own = [text[i] for i in places]
@@ -174,7 +177,7 @@ class Scanner:
         for t in candidates.tolist():
             if m := self.best(words, t):
                 out.append({"license": self.names[t], "coverage": round(m[0] / len(self.ids[t]), 6), "matched": m[0], "first": m[1], "last": m[2]})
-        return sorted(out, key=lambda r: (-r["coverage"], -r["matched"], r["license"]))
+        return sorted(out, key=lambda r: (r["license"] == RESERVED, -r["coverage"], -r["matched"], r["license"]))
 
     def candidates(self, numbers: np.ndarray, ptr: np.ndarray) -> np.ndarray:
         """documents x templates: whether the words in common are enough."""

@@ -449,3 +449,18 @@ def test_licenses_match_as_much_as_the_longest_common_subsequence():
             assert in_order(text[got[1] : got[2] + 1], b) == most and text[got[1]] in b and text[got[2]] in b
         m = licenses.longest(text, b)
         assert len(m) == most and all(text[i] == b[j] for i, j in m) and all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(m))
+
+
+def test_common_licenses_and_reserved_rights(spark):
+    T = licenses.TEMPLATES
+    data = [(i, f"some words before {t} and after") for i, t in enumerate(T.values())]
+    tail = len(data)
+    data += [(tail, "(c) A Company. All\n * rights reserved."), (tail + 1, "all men have rights, and a table is reserved"), (tail + 2, "All rights reserved. " + T["BSD-2-Clause"].replace("BUSINESS", "TRADE"))]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i, name in enumerate(T):
+        assert (got[i].license, got[i].coverage) == (name, 1.0)
+    assert {"LGPL-2.1 header", "LGPL-3.0 header", "AGPL-3.0 header", "CC0-1.0 header", "Unlicense"} <= set(T)
+    reserved = "All rights reserved notice"
+    assert (got[tail].license, got[tail].found[0]["first"], got[tail].found[0]["last"]) == (reserved, 3, 5)
+    assert got[tail + 1].found == []
+    assert [f["license"] for f in got[tail + 2].found] == ["BSD-2-Clause", reserved]
