@@ -139,12 +139,13 @@ def if_small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: list[str], salts: int = 64) -> DataFrame:
+def salted_rank(df: DataFrame, keys: list[str], order: list[str], salts: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
     """Add ``rank``, a number from 0 that is unique and gapless within each combination of keys.
 
     A window over the keys alone would bring a hot key to one task. Rows are numbered within (keys, salt),
     and the salts' counts (at most ``salts`` rows a key) give each salt its first number. Ranks are
-    deterministic when ``order`` is unique within the keys.
+    deterministic when ``order`` is unique within the keys. ``ties`` order what order leaves equal, and nothing else:
+    rows of equal order get the same ranks in turn, whatever their ties are.
     """
     from pyspark.sql import Window as W
 
@@ -152,7 +153,7 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[str], salts: int = 6
     counts = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     first = counts.withColumn("_first", F.sum("_n").over(W.partitionBy(*keys).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)))
     first = first.select(*keys, "_salt", F.coalesce("_first", F.lit(0)).alias("_first"))
-    own = salted.withColumn("_own", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order)) - 1)
+    own = salted.withColumn("_own", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order, *ties)) - 1)
     on = reduce(lambda a, b: a & b, [own[k].eqNullSafe(first[k]) for k in [*keys, "_salt"]])
     joined = own.join(first, on, "inner")
     return joined.select(*[own[c] for c in df.columns], (own["_own"] + first["_first"]).cast("long").alias("rank"))

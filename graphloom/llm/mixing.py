@@ -9,7 +9,7 @@ integers scaled by a power of two, so they don't depend on the order of rows and
 
 Rates become copies cell by cell: a source's cells are taken from the longest documents to the shortest, each cell
 gets the whole number of copies that best makes up what the target still lacks, and a cell's copies go to its
-documents in the order of a hash. No source is so left further from its target than about half its shortest document,
+documents in the order of a hash of id and text, so the same rows at another path are mixed alike. No source is so left further from its target than about half its shortest document,
 as long as rates allow, and no document gets more than 2 copies.
 
 Defined results: a null or blank text has size 0 and keeps one copy of nothing; a null source is a source of its own,
@@ -61,10 +61,11 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (5
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, rid, source, size): size in words."""
+    """(doc_id, rid, source, size, digest): size in words, digest of the text."""
     return with_rid(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(RID).alias("rid"), F.col(source_col).cast("string").alias("source"),
         F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(whole_text(text_col)).alias("digest"),
     )
 
 
@@ -154,7 +155,7 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     plan = spark.createDataFrame([(t.source, t.size, float(t.target), tilt[t.source], t.size / per[t.source][1]) for t in wanted], "source string, source_size long, target double, tilt double, mean double")
     joined = cells.join(if_small(plan, len(wanted)), cells["source"].eqNullSafe(plan["source"])).select(cells["source"], "size", "n", "target", "tilt", "mean")
     rounded = materialize(joined.groupBy("source").applyInPandas(_round, CELLS), "copies")
-    ranked = salted_rank(rows.withColumn("_h", F.xxhash64("doc_id", "rid")), ["source", "size"], ["_h", "rid"])
+    ranked = salted_rank(rows.withColumn("_h", F.xxhash64("doc_id", "digest")), ["source", "size"], ["_h", "doc_id", "digest"], ties=("rid",))
     rounded = rounded.hint("merge")  # cells grow with the corpus, and a compressed file's size says little about their broadcast
     with_cell = ranked.join(rounded, ranked["source"].eqNullSafe(rounded["source"]) & (ranked["size"] == rounded["size"])).select(
         "doc_id", "rid", ranked["source"], ranked["size"],

@@ -117,7 +117,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_5
     slots = spark.createDataFrame(table, "length long, lo array<long>, seq array<long>, offs array<long>")
     if len(found) <= BROADCAST_SLOTS:
         slots = F.broadcast(slots)
-    ranked = salted_rank(rows, ["length"], ["doc_id", "rid", "piece"])
+    ranked = salted_rank(rows, ["length"], ["doc_id", "piece", "start", "ids_crc32"], ties=("rid",))  # rid depends on splits
     # the last slot that begins at or before the rank
     at = F.expr("size(filter(lo, x -> x <= rank)) - 1")
     return ranked.join(slots, "length").withColumn("_at", at).select(

@@ -464,3 +464,17 @@ def test_common_licenses_and_reserved_rights(spark):
     assert (got[tail].license, got[tail].found[0]["first"], got[tail].found[0]["last"]) == (reserved, 3, 5)
     assert got[tail + 1].found == []
     assert [f["license"] for f in got[tail + 2].found] == ["BSD-2-Clause", reserved]
+
+
+def test_mixing_and_packing_ignore_paths_and_splits(spark, tmp_path):
+    """The same rows at another path, in other files: the same result, row by row."""
+    data = [(i // 2, " ".join([f"w{i}"] * (3 + i % 2)), f"s{i % 3}") for i in range(240)]
+    out = []
+    for k, order in enumerate((data, data[::-1])):
+        path = f"file://{tmp_path}/{k}"
+        spark.createDataFrame(order, "doc_id long, text string, source string").repartition(k + 2).write.parquet(path)
+        docs = spark.read.parquet(path)
+        plan = mixing.mix_plan(docs).drop("rid")
+        out.append([Counter(map(tuple, df.collect())) for df in (plan, mixing.mix(docs), packing.pack(docs, capacity=64))])
+    assert any(r[plan.columns.index("copies")] == 1 for r in out[0][0]) and any(r[plan.columns.index("copies")] == 2 for r in out[0][0])
+    assert out[0] == out[1]
