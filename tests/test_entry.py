@@ -72,3 +72,31 @@ def test_against_sql(spark, name):
 def test_runs(spark, name):
     assert entry.queries()[name](spark, DATA).count() > 0
     spark.catalog.clearCache()
+
+
+@needs_data
+def test_communities_of_the_whole_star_graph(spark):
+    """Every table's rows and edges, against a plain loop over the files."""
+    read = lambda sql: duckdb.sql(sql.replace("@", DATA)).fetchall()
+    kinds = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey"}
+    near = {f"{kind}_{k}": {} for kind, key in kinds.items() for (k,) in read(f"select {key} from '@/{kind}.parquet' order by 1")}
+    owned = [("nation", "region", "n_nationkey, n_regionkey"), ("customer", "nation", "c_custkey, c_nationkey"), ("supplier", "nation", "s_suppkey, s_nationkey")]
+    edges = [(f"{owner}_{o}", f"{kind}_{k}") for kind, owner, columns in owned for k, o in read(f"select {columns} from '@/{kind}.parquet' order by 1")]
+    edges += [(f"supplier_{s}", f"part_{p}") for s, p in read("select distinct l_suppkey, l_partkey from '@/lineitem.parquet' order by 1, 2")]
+    for a, b in edges:
+        near[a].setdefault(b)
+        near[b].setdefault(a)
+    label = {v: i for i, v in enumerate(near)}
+    for _ in range(50):
+        moved = False
+        for v in near:
+            seen = [label[u] for u in near[v]]
+            best, top = label[v], 0
+            for c in dict.fromkeys(seen):
+                if c != label[v] and seen.count(c) > top:
+                    best, top = c, seen.count(c)
+            moved |= best != label[v]
+            label[v] = best
+        if not moved:
+            break
+    assert {r["id"]: r["community"] for r in entry.queries()["communities"](spark, DATA).collect()} == label
