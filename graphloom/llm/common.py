@@ -139,16 +139,21 @@ def if_small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: list[str], salts: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
+#: Rows of one key that one task numbers, about.
+RANK_ROWS = 100_000
+
+
+def salted_rank(df: DataFrame, keys: list[str], order: list[str], most: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """Add ``rank``, a number from 0 that is unique and gapless within each combination of keys.
 
     A window over the keys alone would bring a hot key to one task. Rows are numbered within (keys, salt),
-    and the salts' counts (at most ``salts`` rows a key) give each salt its first number. Ranks are
-    deterministic when ``order`` is unique within the keys. ``ties`` order what order leaves equal, and nothing else:
-    rows of equal order get the same ranks in turn, whatever their ties are.
+    and the salts' counts give each salt its first number. There are as many salts as the largest key, of ``most`` rows, has
+    RANK_ROWS, and 64 at least. Ranks are deterministic when ``order`` is unique within the keys. ``ties`` order what order
+    leaves equal, and nothing else: rows of equal order get the same ranks in turn, whatever their ties are.
     """
     from pyspark.sql import Window as W
 
+    salts = max(64, -(-most // RANK_ROWS))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salts)).cast("int"))
     counts = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     first = counts.withColumn("_first", F.sum("_n").over(W.partitionBy(*keys).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)))

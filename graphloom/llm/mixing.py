@@ -149,13 +149,14 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     spark = rows.sparkSession
     cells = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
     # one row a source: the mix's plan, as long as its configuration
-    per = {r["source"]: (int(r["words"] or 0), int(r["docs"])) for r in cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs")).collect()}
+    sums = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"), F.max("n").alias("most")).collect()
+    per = {r["source"]: (int(r["words"] or 0), int(r["docs"])) for r in sums}
     wanted = targets([(s, n) for s, (n, _) in per.items()], weights, share)
     tilt = solve(cells, wanted, {s: d for s, (_, d) in per.items()})
     plan = spark.createDataFrame([(t.source, t.size, float(t.target), tilt[t.source], t.size / per[t.source][1]) for t in wanted], "source string, source_size long, target double, tilt double, mean double")
     joined = cells.join(if_small(plan, len(wanted)), cells["source"].eqNullSafe(plan["source"])).select(cells["source"], "size", "n", "target", "tilt", "mean")
     rounded = materialize(joined.groupBy("source").applyInPandas(_round, CELLS), "copies")
-    ranked = salted_rank(rows.withColumn("_h", F.xxhash64("doc_id", "digest")), ["source", "size"], ["_h", "doc_id", "digest"], ties=("rid",))
+    ranked = salted_rank(rows.withColumn("_h", F.xxhash64("doc_id", "digest")), ["source", "size"], ["_h", "doc_id", "digest"], most=max((r["most"] for r in sums), default=0), ties=("rid",))
     rounded = rounded.hint("merge")  # cells grow with the corpus, and a compressed file's size says little about their broadcast
     with_cell = ranked.join(rounded, ranked["source"].eqNullSafe(rounded["source"]) & (ranked["size"] == rounded["size"])).select(
         "doc_id", "rid", ranked["source"], ranked["size"],

@@ -6,8 +6,8 @@ table of *slots*: (length, first rank, last rank, first sequence, offset). Piece
 take the slot of that rank. Planning is the same work for a thousand documents or for a trillion.
 
 Defined results: a null text counts as empty (one token, the end mark); a document of more than ``capacity`` tokens is cut from its
-end into whole pieces, so its first piece may be shorter; rows that repeat are each packed; an empty table gives an
-empty result; other columns are ignored.
+end into whole pieces, so its first piece may be shorter; a null id comes back as null; rows that repeat are each packed, and of pieces
+equal in all columns it doesn't matter which takes which slot; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,15 +29,7 @@ CAPACITY, END = 2048, 0
 #: Slots of a plan that are broadcast; a longer plan (none is known) is joined by a shuffle.
 BROADCAST_SLOTS = 200_000
 
-PIECES = "doc_id long, rid long, piece int, start long, length long, ids_crc32 long"
-
-
-def cut(total: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of ``total`` tokens."""
-    first = total % capacity or capacity
-    if total <= capacity:
-        return [(0, total)]
-    return [(0, first), *((at, capacity) for at in range(first, total, capacity))]
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,19 +37,26 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path(tokenizer))
-        end = END.to_bytes(4, "little")
         names = [x.split()[0] for x in PIECES.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for b in batches:
-            out: list[list] = [[] for _ in names]
-            for doc, rid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), enc.batch(b.column(2).to_pylist()), strict=True):
-                raw = memoryview(raw + end)
-                for k, (at, n) in enumerate(cut(len(raw) // 4, capacity)):
-                    for o, v in zip(out, (doc, rid, k, at, n, zlib.crc32(raw[4 * at : 4 * (at + n)])), strict=True):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=names)
-
-    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), whole_text(text_col).alias("text"))).mapInArrow(run, PIECES)
+            for first, ids, ends in enc.encode(b.column(1)):
+                n = len(ends) - 1
+                marked = np.full(len(ids) + n, END, "<u4")  # ids with the end mark after each document
+                total = np.diff(ends) + 1
+                begin = ends[:-1] + np.arange(n)
+                marked[np.arange(len(ids)) + np.repeat(np.arange(n), total - 1)] = ids
+                pieces = -(-total // capacity)
+                doc = np.repeat(np.arange(n), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                short = total - capacity * (pieces - 1)  # the first piece has what whole pieces leave
+                start = np.where(piece > 0, short[doc] + capacity * (piece - 1), 0)
+                length = np.where(piece > 0, capacity, short[doc])
+                at, raw = 4 * (begin[doc] + start), memoryview(marked).cast("B")
+                crc = [zlib.crc32(raw[x:y]) for x, y in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                columns = [b.column(0).take(pa.array(doc + first)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))).mapInArrow(run, PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -117,7 +117,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_5
     slots = spark.createDataFrame(table, "length long, lo array<long>, seq array<long>, offs array<long>")
     if len(found) <= BROADCAST_SLOTS:
         slots = F.broadcast(slots)
-    ranked = salted_rank(rows, ["length"], ["doc_id", "piece", "start", "ids_crc32"], ties=("rid",))  # rid depends on splits
+    # rows equal in all of these are interchangeable
+    ranked = salted_rank(rows, ["length"], ["doc_id", "piece", "start", "ids_crc32"], most=max(histogram.values(), default=0))
     # the last slot that begins at or before the rank
     at = F.expr("size(filter(lo, x -> x <= rank)) - 1")
     return ranked.join(slots, "length").withColumn("_at", at).select(

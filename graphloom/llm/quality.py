@@ -53,7 +53,7 @@ def _repeats(words: np.ndarray, ptr: np.ndarray, doc: np.ndarray, k: int) -> np.
     return tk.covered(at[again], k, len(words))
 
 
-def _lines(s: tk.Slice, words: np.ndarray, first_byte: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _lines(s: tk.Slice, words: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per document: lines with a word that equal an earlier line, and the characters of their words.
 
     A line is its exact bytes between line feeds; lines without a word never count.
@@ -66,11 +66,13 @@ def _lines(s: tk.Slice, words: np.ndarray, first_byte: np.ndarray, chars: np.nda
     w0, w1 = np.searchsorted(s.starts, lo), np.searchsorted(s.starts, hi)
     some = w1 > w0
     lo, hi, w0, w1 = lo[some], hi[some], w0[some], w1[some]
-    p, q = tk._powers(tk._BASE, len(s.buf) + 1)
-    c = np.zeros(len(s.buf) + 1, np.uint64)
-    np.cumsum(tk._BYTE[s.buf] * p[:-1], out=c[1:])
     doc = np.searchsorted(s.offsets, lo, "right") - 1
-    key = tk.mix(((c[hi] - c[lo]) * q[lo]) ^ tk.mix(doc.astype(np.uint64) + tk.U(1)))
+    # each line by the number of its bytes among the slice's lines, and its document
+    cut = np.empty(2 * len(lo) + 1, np.int64)
+    cut[:-1:2], cut[1::2], cut[-1] = lo, hi, len(s.buf)
+    both = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(s.buf))])
+    number = both.take(pa.array(np.arange(0, len(cut) - 1, 2))).dictionary_encode().indices.to_numpy().astype(np.int64)
+    key = number * (s.n + 1) + doc
     order = np.argsort(key, kind="stable")
     later = np.zeros(len(key), bool)
     later[order[1:]] = key[order[1:]] == key[order[:-1]]
@@ -90,7 +92,7 @@ def judge(s: tk.Slice, rules: Rules) -> dict[str, np.ndarray]:
     n_words, word_chars = np.diff(s.ptr), _by_doc(chars, s.ptr)
     symbols = _by_doc(_SYMBOL[s.buf], s.offsets)
     repeat = _by_doc(_repeats(words, s.ptr, doc, 8), s.ptr)
-    dup_lines, dup_chars = _lines(s, words, s.starts, chars)
+    dup_lines, dup_chars = _lines(s, words, chars)
     some = np.maximum(word_chars, 1)
     base = (n_words < rules.min_words) | (100 * repeat > rules.max_repeat_percent * n_words)
     bad = (dup_chars > rules.max_dup_line_chars * some) | (symbols > rules.max_symbol_chars * some)

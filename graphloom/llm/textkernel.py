@@ -2,12 +2,14 @@
 
 A *slice* is a run of whole documents laid end to end in one byte buffer. Words are maximal runs of
 bytes outside ``[\\x20\\x09-\\x0D]``, which in UTF-8 is the same as ``[^\\x20\\x09-\\x0D]+`` over code
-points; a document boundary always ends a word. Every hash is a polynomial over Z/2^64 evaluated with
-prefix sums, so no Python code runs per word.
+points; a document boundary always ends a word. Words are hashed eight bytes at a time, all words at once; the hash of an
+n-gram is a polynomial over Z/2^64 in its words' hashes, evaluated with prefix sums. No Python code runs per word, but for
+those of more than ``LONG_WORD`` bytes, and what a text needs here is a small multiple of its size.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,13 +20,17 @@ U = np.uint64
 #: Bytes of text that one slice aims at; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_BASE, _WBASE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+_WBASE = U(0xC2B2AE3D27D4EB4F)
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of eight
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Powers that a worker keeps; those of a longer text are made for it alone.
+POWERS_KEPT = 1 << 20
 _pow_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -33,7 +39,7 @@ def _inverse(b: int) -> int:
 
 
 def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n, kept per worker and grown by doubling."""
+    """base**i and base**-i for i < n, kept per worker up to POWERS_KEPT and grown by doubling."""
     key = int(base)
     if key not in _pow_cache or len(_pow_cache[key][0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
@@ -47,6 +53,8 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
                 step = step * step % (1 << 64)
                 filled *= 2
             out.append(p)
+        if size > POWERS_KEPT:
+            return out[0][:n], out[1][:n]
         _pow_cache[key] = (out[0], out[1])
     p, q = _pow_cache[key]
     return p[:n], q[:n]
@@ -61,6 +69,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; of spans of one length up to 8 bytes, no two differ and agree in it."""
+    size = ends - starts
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    h = size.astype(np.uint64) * U(0x9E3779B97F4A7C15) ^ U(0x5851F42D4C957F2D)
+    h = (h ^ (eight[starts] & _HEAD[np.minimum(size, 8)])) * U(0xFF51AFD7ED558CCD)
+    live = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    at = 8
+    while len(live):
+        x = h[live]
+        x ^= x >> U(32)
+        left = size[live] - at
+        h[live] = (x ^ (eight[starts[live] + at] & _HEAD[np.minimum(left, 8)])) * U(0xC4CEB9FE1A85EC53)
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return mix(h)
+
+
 @dataclass
 class Slice:
     """Documents [first, first + n) of a batch: their bytes, and the words in them."""
@@ -77,11 +106,7 @@ class Slice:
         return len(self.offsets) - 1
 
     def word_hashes(self, lower: bool = False) -> np.ndarray:
-        buf = _LOWER[self.buf] if lower else self.buf
-        p, q = _powers(_BASE, len(buf) + 1)
-        c = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * p[:-1], out=c[1:])
-        return mix((c[self.ends] - c[self.starts]) * q[self.starts])
+        return span_hashes(_LOWER[self.buf] if lower else self.buf, self.starts, self.ends)
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), np.diff(self.ptr))

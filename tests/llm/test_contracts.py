@@ -76,13 +76,56 @@ def test_token_counts(docs, rows):
         assert tuple(got[i]) == (i, len((t or "").encode()), n, n > 512)
 
 
-def test_pieces_are_safe_boundaries():
-    lib, rng = library(), np.random.default_rng(3)
-    parts = ["a", "Bc", "é", "ß", "中", "  ", "   ", " ", "\n", " \n", "\t", " ", " 　", "'s", "123", " 4", "!", "?.", "<|endoftext|>", "\x85", "\x1c", "🙂", "​", "\r\n", "_", "\x00"]
-    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(4000)] + ["", " ", "  ", "a ", " a"]
-    enc = tokens.Encoder(tokens.tokenizer_path())
-    for t, raw in zip(texts, enc.batch(texts), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+PARTS = ["a", "Bc", "é", "ß", "中", "文字", "。", "，", "か", "  ", "   ", " ", "\n", " \n", "\t", "\u00a0", " \u3000", "\u2003", "'s", "123", " 4", "!", "?.", "<|endoftext|>", "\x85", "\x1c", "🙂", "\u200b", "\r\n", "_", "\x00", "don't", " “"]
+
+
+def mixtures(n, most):
+    rng = np.random.default_rng(3)
+    return ["".join(rng.choice(PARTS, rng.integers(0, most))) for _ in range(n)] + ["", " ", "  ", "a ", " a", "", "a  ", " <|endoftext|>", "x  <|endoftext|>  y"]
+
+
+@pytest.mark.parametrize(("window", "long", "memo", "most"), [(1 << 21, 256, 10**6, 14), (40, 8, 50, 14), (64, 4, 10**6, 60), (1, 2, 0, 8)])
+def test_units_are_cut_at_safe_boundaries(monkeypatch, window, long, memo, most):
+    """Whatever the sizes of windows, units and the memory, ids and lengths are the library's."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "WINDOW_BYTES", window)
+    monkeypatch.setattr(tokens, "LONG_UNIT", long)
+    monkeypatch.setattr(tokens, "MEMO_UNITS", memo)
+    lib, enc = library(), tokens.Encoder(tokens.tokenizer_path())
+    texts = mixtures(1500, most)
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        frame = pa.array([*texts, None])
+        assert enc.lengths(frame).tolist() == [*map(len, want), 0]
+        got = []
+        for first, ids, ends in enc.encode(frame.slice(3), slice_bytes=500):
+            assert first == len(got)
+            got += [ids[x:y].tolist() for x, y in itertools.pairwise(ends)]
+        assert got == [*want[3:], []]
+
+
+def test_a_vocabulary_with_another_pre_tokeniser_is_encoded_text_by_text():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, lib = tokens.Encoder(path), Tokenizer.from_file(path)
+    texts = mixtures(300, 14)
+    assert not enc.cuts
+    assert enc.lengths(pa.array(texts)).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_word_hashes_tell_words_apart():
+    from graphloom.llm import textkernel as tk
+
+    rng = np.random.default_rng(4)
+    text = [bytes(rng.integers(97, 100, rng.integers(1, 90)).astype(np.uint8)) for _ in range(20000)] + [b"ab" * 40, b"ab" * 40]
+    ends = np.cumsum([len(w) for w in text])
+    h = tk.span_hashes(np.frombuffer(b"".join(text), np.uint8), ends - [len(w) for w in text], ends)
+    assert len(set(h.tolist())) == len(set(text)) and h[-1] == h[-2]
+    assert {w: x for w, x in zip(text, h.tolist(), strict=True)} == {w: x for w, x in zip(text[::-1], h[::-1].tolist(), strict=True)}
 
 
 def test_packing(docs, rows):
