@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,11 +22,15 @@ _roots: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """A folder of this session's own below ``spark.checkpoint.dir``, deleted when Python ends.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Where the setting is absent a temporary folder takes its place, if all of Spark is in this process; a cluster needs the setting.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
         _roots[app] = f"{base.rstrip('/')}/graphloom-{uuid.uuid4().hex[:12]}"
         atexit.register(_forget, spark, _roots[app])
     return _roots[app]
@@ -38,19 +44,68 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store, whatever its scheme."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder of the shared store; none if there is no such folder."""
+    fs, p = _fs(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the shared store, whole or not at all: written beside its name, then renamed."""
+    fs, p = _fs(spark, path)
+    draft = _fs(spark, f"{path}.{uuid.uuid4().hex[:8]}.tmp")[1]
+    stream = fs.create(draft, True)
+    stream.write(text.encode())
+    stream.close()
+    if not fs.rename(draft, p):
+        raise OSError(f"can't write {path}")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:8]}"
 
 
+#: Settings under which tables are written here: Arrow batches of a bounded size, and hash joins where each partition of a side is small (others sort and can spill).
+BOUNDED = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
+
+
+@contextmanager
+def bounded(spark: SparkSession, more: dict[str, str] | None = None) -> Iterator[None]:
+    """BOUNDED (and more settings) for the jobs started within, and what was set before afterwards."""
+    own = BOUNDED | (more or {})
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     path = scratch(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
+    with bounded(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -95,11 +150,47 @@ def with_rid(df: DataFrame, name: str = RID) -> DataFrame:
 
 
 def of_rows(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
-    """Join rows, from with_rid(), with (rid, doc_id, ...), by both columns; chosen is the build side of a hash join."""
-    right = chosen.withColumnsRenamed({"rid": f"{RID}_2", "doc_id": f"{RID}_id"}).hint("shuffle_hash")
+    """Join rows, from with_rid(), with (rid, doc_id, ...), by both columns."""
+    right = chosen.withColumnsRenamed({"rid": f"{RID}_2", "doc_id": f"{RID}_id"})
     return rows.join(right, (rows[RID] == right[f"{RID}_2"]) & rows["doc_id"].eqNullSafe(right[f"{RID}_id"]), how)
 
 
+#: The largest bitmap of row numbers, and bits for each of them.
+BITMAP_BITS, BITS_A_ROW = 25, 16
+
+
+def bitmap(ids: DataFrame) -> tuple[DataFrame, int]:
+    """(word, mask) of the row numbers in ids (rid), a bit for each by its leading bits, and how many bits those are.
+
+    At most 2^BITMAP_BITS bits, so at most half a million rows: small enough to broadcast whatever the corpus. A row number whose
+    bit is not set is not in ids; where ids are so many that most bits are set, it only spares less.
+    """
+    n = ids.count()
+    bits = min(max((BITS_A_ROW * n).bit_length(), 12), BITMAP_BITS)
+    place = F.shiftrightunsigned("rid", 64 - bits)
+    words = ids.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(rid, {64 - bits}) & 63 as int))").alias("mask"))
+    return words.groupBy("word").agg(F.bit_or("mask").alias("mask")), bits
+
+
+def _marked(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
+    """rows (rid, ...) with the bitmap's word for each, and the condition that its bit is set."""
+    words, bits = bitmap(ids)
+    place = f"shiftrightunsigned(rid, {64 - bits})"
+    return rows.withColumn("word", F.expr(f"shiftright({place}, 6)")).join(F.broadcast(words), "word", "left"), f"coalesce(mask & shiftleft(1L, cast({place} & 63 as int)), 0L)"
+
+
+def may_be_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (rid, ...) without most of those that are not in ids (rid)."""
+    marked, bit = _marked(rows, ids)
+    return marked.where(f"{bit} <> 0").select(*rows.columns)
+
+
+def is_not_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Most of the rows (rid, ...) that are not in ids (rid): those that may_be_in() leaves out."""
+    marked, bit = _marked(rows, ids)
+    return marked.where(f"{bit} = 0").select(*rows.columns)
+
+
 #: Tables below this many bytes are often one row group, which one task would read.
 SPREAD_BYTES = 24 << 20
 

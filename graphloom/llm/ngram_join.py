@@ -8,18 +8,21 @@
    size never meet, and a block whose positions are all too large for that bound is skipped whole.
 3. *Leaders*: each block's smallest node leads it. Every other member is compared with its leader only: first by parities, which
    bound the overlap from above, then by the texts, and what is kept of it is how it differs from the leader (the
-   shingles it lacks and adds).
+   shingles it lacks and adds). Texts travel only for sets whose bound leaves something to verify: a bitmap of their row numbers, of
+   bounded size whatever the corpus, spares nearly all others the shuffle.
 4. *Derived answers*: sets of one leader that are at least half similar to it get their mutual overlaps from these
-   differences: |x & y| = |L| - |lack x| - |lack y| + |lack x & lack y| + |add x & add y|, in cells of bounded size. Pairs that the
-   leader links already are not looked at. By the triangle inequality a set less similar to the leader can only be linked to one of
+   differences: |x & y| = |L| - |lack x| - |lack y| + |lack x & lack y| + |add x & add y|. Two sets that the
+   leader links already are not compared. Jaccard distance is a metric, so linked sets lie in the same or in neighbouring
+   *rings* of width 1 - t around the leader; rings meet in cells of bounded rows and bytes, the innermost never with itself.
+   A set less similar to the leader than half can only be linked to one of
    similarity at most HALF + (1 - t) to it; such pairs are listed from the blocks by size and position and verified directly.
 5. Links make components.
 
 No list's pairs are all emitted: a block gives a row a member, cells give a spanning forest.
 
 Defined results: a text without words (or null) has no shingle and is linked with nothing; a text of fewer words than
-a shingle is one shingle; a null id is smaller than any id; rows that repeat are linked; an empty table gives an empty
-result; other columns are ignored.
+a shingle is one shingle; a text of any length is one set; a null id is smaller than any id; rows that repeat are linked; rows that
+share an id but no component are told apart by their row numbers; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,16 +38,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import RID, documents, materialize, of_rows, spread, union_all, whole_text, with_rid
+from .common import RID, documents, materialize, may_be_in, of_rows, spread, union_all, whole_text, with_rid
 from .graph import components
 
 _NULL_ID = -(1 << 63)
 #: Shingles and similarity of near duplicates where no contract says otherwise.
 NEAR_K, NEAR_THRESHOLD = 5, Fraction(4, 5)
-#: Slots of the frequency sketch and slots of a chunk of it: its size is fixed, whatever the corpus.
-SKETCH_BITS, CHUNK = 20, 4096
-#: Members of a leader that meet in one cell, at most about twice this.
-CELL = 800
+#: Bits of a slot's number in the frequency sketch, by the size of the corpus within these; slots of a chunk of it.
+SKETCH_BITS, CHUNK = (20, 24), 4096
+#: Bytes of input for each slot of the sketch.
+SLOT_INPUT = 4096
+#: Members of a leader (and bytes of their differences) that meet in one cell: at most about twice this.
+CELL, CELL_BYTES = 800, 8 << 20
+#: Pairs of rows that one step of a cell counts.
+PAIRS = 1 << 21
 #: Least similarity to a leader for which differences are kept.
 HALF = Fraction(1, 2)
 #: Level of the compression in which texts travel.
@@ -68,35 +75,40 @@ def shingles(s: tk.Slice, k: int) -> list[np.ndarray]:
     return out
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> tk.U(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_bits(rows: DataFrame) -> int:
+    """Larger sketches for larger inputs, so that frequent shingles stand out; any order of shingles gives the same links."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max((size // SLOT_INPUT).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
 
 
-def scan(rows: DataFrame, k: int) -> DataFrame:
+def _slot(h: np.ndarray, slots: int) -> np.ndarray:
+    return (h >> tk.U(65 - slots.bit_length())).astype(np.int64)
+
+
+def scan(rows: DataFrame, k: int, bits: int) -> DataFrame:
     """kind 0: a row's set; kind 1: a chunk of the task's sketch. rows: (doc_id, rid, ord, text)."""
+    slots = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in SCAN.split(", ")])
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(slots, np.uint32)
         for b in batches:
             for s in tk.slices(b.column(3)):
                 sets = shingles(s, k)
-                every = np.concatenate(sets)
-                if len(every):
-                    sketch += np.bincount(_slot(every), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                np.add.at(sketch, _slot(np.concatenate(sets), slots), np.uint32(1))
                 digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
                 none = pa.nulls(s.n)
                 cols = [pa.array(np.zeros(s.n, np.int32)), *(b.column(i).slice(s.first, s.n) for i in range(3)), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
         if sketch.any():
-            rows = [{"kind": 1, "chunk": c, "counts": sketch[c * CHUNK : (c + 1) * CHUNK].tobytes()} for c in range((1 << SKETCH_BITS) // CHUNK)]
+            rows = [{"kind": 1, "chunk": c, "counts": sketch[c * CHUNK : (c + 1) * CHUNK].tobytes()} for c in range(slots // CHUNK)]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return spread(rows).mapInArrow(run, SCAN)
 
 
-def ranks(scanned: DataFrame) -> np.ndarray:
-    """The frequency class (a quarter of an octave) of each slot: a fixed number of bytes for the driver."""
+def ranks(scanned: DataFrame, bits: int) -> np.ndarray:
+    """The frequency class (a quarter of an octave) of each slot: a byte each, 16 MB at most, for the driver and all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -104,13 +116,14 @@ def ranks(scanned: DataFrame) -> np.ndarray:
             for c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 total.setdefault(c, np.zeros(CHUNK, np.uint64))
                 total[c] += np.frombuffer(raw, np.uint32)
-        yield pa.RecordBatch.from_pylist([{"chunk": c, "counts": x.tobytes()} for c, x in total.items()], pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
+        classes = lambda x: (4 * np.log2(x + 1.0)).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_pylist([{"chunk": c, "counts": classes(x)} for c, x in total.items()], pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
 
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    chunks = (1 << SKETCH_BITS) // CHUNK
+    out = np.zeros(1 << bits, np.uint8)
+    chunks = (1 << bits) // CHUNK
     parts = scanned.where("kind = 1").select("chunk", "counts").repartition(min(16, chunks), "chunk").mapInArrow(run, "chunk int, counts binary")
     for r in parts.collect():  # `chunks` rows
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = (4 * np.log2(np.frombuffer(r["counts"], np.uint64) + 1.0)).astype(np.uint8)
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
@@ -132,7 +145,7 @@ def prefixes(rows: DataFrame, classes: np.ndarray, k: int, t: Fraction) -> DataF
                     n = len(x)
                     if n * t.denominator < t.numerator * (n + 1):  # not even all of it and one more are enough
                         continue
-                    head = x[np.lexsort((x, cls[_slot(x)]))[: prefix_length(n, t)]]
+                    head = x[np.argsort(cls[_slot(x, len(cls))], kind="stable")[: prefix_length(n, t)]]  # x is sorted: ties by hash
                     rids.append(b.column(0)[s.first + i].as_py())
                     ns.append(n)
                     lists.append(head)
@@ -199,11 +212,19 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.select("rid", "text").mapInArrow(run, "rid long, z binary")
 
 
-def _set(z: bytes, k: int) -> np.ndarray:
+def _sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     import zstandard
 
-    (s,) = tk.slices(pa.array([zstandard.ZstdDecompressor().decompress(z).decode()], pa.large_string()))
-    return shingles(s, k)[0]
+    d = zstandard.ZstdDecompressor()
+    at = 0
+    while at < len(texts):
+        raw, size = [], 0
+        while at < len(texts) and size < tk.SLICE_BYTES:
+            raw.append(d.decompress(texts[at]))
+            size += len(raw[-1])
+            at += 1
+        for s in tk.slices(pa.array(raw, pa.large_binary()).cast(pa.large_string())):
+            yield from shingles(s, k)
 
 
 DIFFERENCES = "leader long, node long, n_leader long, n long, overlap long, lacks binary, adds binary"
@@ -217,10 +238,10 @@ def differences(pairs: DataFrame, k: int) -> DataFrame:
         last, lead = None, np.empty(0, np.uint64)
         for b in batches:
             out, size = [], 0
-            for leader, node, zl, z in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            leaders, nodes, zl = (b.column(i).to_pylist() for i in range(3))
+            for leader, node, first, x in zip(leaders, nodes, zl, _sets(b.column(3).to_pylist(), k), strict=True):
                 if leader != last:
-                    last, lead = leader, _set(zl, k)
-                x = _set(z, k)
+                    last, (lead,) = leader, _sets([first], k)
                 o = len(np.intersect1d(lead, x, assume_unique=True))
                 row = {"leader": leader, "node": node, "n_leader": len(lead), "n": len(x), "overlap": o, "lacks": None, "adds": None}
                 if o * HALF.denominator >= HALF.numerator * (len(lead) + len(x) - o):
@@ -228,7 +249,7 @@ def differences(pairs: DataFrame, k: int) -> DataFrame:
                     row["adds"] = np.setdiff1d(x, lead, assume_unique=True).tobytes()
                     size += len(row["lacks"]) + len(row["adds"])
                 out.append(row)
-                if size > 8 << 20:
+                if size > 4 << 20:
                     yield pa.RecordBatch.from_pylist(out, schema)
                     out, size = [], 0
             if out:
@@ -237,28 +258,45 @@ def differences(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("leader", "node", "zl", "z").mapInArrow(run, DIFFERENCES)
 
 
-def _common(raws: list[bytes]) -> np.ndarray:
-    """The sizes of the pairwise intersections of sets."""
+def _common(raws: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of sets, each the bytes of its hashes, and those of their pairwise intersections."""
+    raws = raws.cast(pa.large_binary())
     n = len(raws)
     out = np.zeros((n, n), np.float32)
-    sets = [np.frombuffer(r, np.uint64) for r in raws]
-    row = np.repeat(np.arange(n), [len(x) for x in sets])
-    if not len(row):
-        return out
-    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = count[col] > 1
-    row, col = row[keep], col[keep]
-    if not len(row):
-        return out
-    _, col = np.unique(col, return_inverse=True)
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for lo in range(0, int(col[-1]) + 1, 2048):
+    ends = np.frombuffer(raws.buffers()[1], np.int64)[raws.offset : raws.offset + n + 1] // 8
+    sizes = np.diff(ends)
+    flat = np.frombuffer(raws.buffers()[2], np.uint64)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint64)
+    order = np.argsort(flat)
+    s = flat[order]
+    new = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
+    count = np.diff(new, append=len(s))
+    col = np.repeat(np.cumsum(count > 1) - 1, count)  # a number for each hash that two sets have
+    keep = np.repeat(count > 1, count)
+    row, col = np.repeat(np.arange(n), sizes)[order[keep]], col[keep]
+    # hashes of few sets give their pairs of rows, those of many a product of 0-1 matrices: whichever is less work
+    few = count[count > 1] ** 2 <= 4 * n
+    of_few = few[col] if len(col) else np.empty(0, bool)
+    flat_pairs, size = [], 0
+    for c in np.unique(count[count > 1][few]).tolist():
+        block = row[of_few & (count[count > 1][col] == c)].reshape(-1, c) if len(col) else np.empty((0, c), np.int64)
+        for lo in range(0, len(block), PAIRS // c**2 + 1):
+            part = block[lo : lo + PAIRS // c**2 + 1]
+            flat_pairs.append((part[:, :, None] * n + part[:, None, :]).ravel())
+            size += len(flat_pairs[-1])
+            if size > PAIRS:
+                out += np.bincount(np.concatenate(flat_pairs), minlength=n * n).reshape(n, n)
+                flat_pairs, size = [], 0
+    if size:
+        out += np.bincount(np.concatenate(flat_pairs), minlength=n * n).reshape(n, n)
+    row, col = row[~of_few], col[~of_few]
+    if len(col):
+        col = np.cumsum(np.r_[0, col[1:] != col[:-1]])
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 2048):
         a, b = np.searchsorted(col, [lo, lo + 2048])
         m = np.zeros((n, 2048), np.float32)
         m[row[a:b], col[a:b] - lo] = 1
         out += m @ m.T
-    return out
+    return sizes, out
 
 
 def _cell(t: Fraction):
@@ -266,14 +304,14 @@ def _cell(t: Fraction):
 
     def run(table: pa.Table) -> pa.Table:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        d = table.to_pydict()
-        node, n = np.array(d["node"], np.int64), np.array(d["n"], np.int64)
-        lead, n_lead = d["leader"][0], d["n_leader"][0]
-        lacks, adds = _common(d["lacks"]), _common(d["adds"])
-        missing = np.array([len(x) // 8 for x in d["lacks"]], np.int64)
+        table = table.combine_chunks()
+        column = lambda c: table[c].to_numpy()
+        node, n = column("node"), column("n")
+        lead, n_lead = table["leader"][0].as_py(), table["n_leader"][0].as_py()
+        (missing, lacks), (_, adds) = (_common(pa.concat_arrays(table[c].chunks)) for c in ("lacks", "adds"))
         o = np.rint(n_lead - missing[:, None] - missing[None, :] + lacks + adds).astype(np.int64)
         linked = o * t.denominator >= t.numerator * (n[:, None] + n[None, :] - o)
-        own = np.array(d["overlap"], np.int64)
+        own = column("overlap")
         near = own * t.denominator >= t.numerator * (n_lead + n - own)
         todo, out = ~near, []
         # the leader's own component first: whatever a linked set is linked to
@@ -304,26 +342,38 @@ def _links(found: DataFrame, t: Fraction) -> DataFrame:
 
 def _derived(found: DataFrame, t: Fraction) -> DataFrame:
     """Links among the members of each leader, from their differences."""
-    sim = F.col("overlap") / (F.col("n_leader") + F.col("n") - F.col("overlap"))
-    kept = found.where("lacks is not null")
-    groups = kept.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.min(sim).alias("least")).where((F.col("m") > 1) & (F.col("least") < float(t) + 1e-9))
-    groups = groups.select("leader", F.ceil(F.col("m") / CELL).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    cells = kept.join(groups, "leader").withColumn("p", own).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.withColumn("lo", F.least("p", "q")).withColumn("hi", F.greatest("p", "q")).drop("p", "q", "parts")
-    return cells.groupBy("leader", "lo", "hi").applyInArrow(_cell(t), "a long, b long")
+    union = F.col("n_leader") + F.col("n") - F.col("overlap")
+    ring = F.expr(f"((n_leader + n - 2 * overlap) * {t.denominator}) div ((n_leader + n - overlap) * {t.denominator - t.numerator})")
+    kept = found.where(F.col("lacks").isNotNull() & (union > 0)).withColumn("ring", ring.cast("int"))
+    size = F.octet_length("lacks") + F.octet_length("adds")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum(size) / CELL_BYTES)).cast("int").alias("parts")
+    # a leader's few members are one cell; of many, a ring with the one outside it, and every ring but the innermost with itself
+    few = kept.groupBy("leader").agg(F.max("ring").alias("outermost"), parts).where("outermost > 0").select("leader", (F.col("parts") == 1).alias("few"))
+    sized = kept.join(few, "leader").withColumn("ring", F.when(F.col("few"), 1).otherwise(F.col("ring")))
+    around = sized.groupBy("leader", "ring").agg(parts).groupBy("leader").agg(F.map_from_entries(F.collect_list(F.struct("ring", "parts"))).alias("parts"))
+    cells = sized.join(around, "leader").withColumn("p", F.expr("pmod(xxhash64(node), parts[ring])"))
+    outside = F.expr("transform(sequence(0, coalesce(parts[ring + 1], 0)), q -> struct(ring as inner, ring + 1 as outer, p as a, cast(q - 1 as bigint) as b))")
+    inside = F.expr("transform(sequence(0, if(ring > 0, coalesce(parts[ring - 1], 0), 0)), q -> struct(ring - 1 as inner, ring as outer, cast(q - 1 as bigint) as a, p as b))")
+    own = F.expr("transform(sequence(0, if(ring > 0, parts[ring], 0)), q -> struct(ring as inner, ring as outer, least(p, q - 1) as a, greatest(p, q - 1) as b))")
+    cells = cells.select(*kept.columns, F.explode(F.concat(*(F.slice(c, 2, F.size(c)) for c in (outside, inside, own)))).alias("cell"))
+    cells = cells.select("leader", "node", "n_leader", "n", "overlap", "lacks", "adds", F.col("cell.inner").alias("inner"), F.col("cell.outer").alias("outer"), F.col("cell.a").alias("i"), F.col("cell.b").alias("j"))
+    return cells.groupBy("leader", "inner", "outer", "i", "j").applyInArrow(_cell(t), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, rid, n_shingles, component_id of every row of docs: documents linked at the threshold, directly or not."""
+    """doc_id, rid, n_shingles, component_id and first_rid of every row of docs: documents linked at the threshold, directly or not.
+
+    component_id is the smallest id of a component, and first_rid the number of the row that has it (the smallest, if several do).
+    """
     t = threshold
     rows = with_rid(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(RID).alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("ord"), whole_text(text_col).alias("text")
     )
-    scanned = materialize(scan(rows, k), "sets")
+    bits = sketch_bits(docs)
+    scanned = materialize(scan(rows, k, bits), "sets")
     sets = scanned.where("kind = 0")
     nodes = materialize(sets.where("digest is not null").groupBy("digest").agg(F.min(F.struct("ord", "rid")).alias("m")).select("digest", F.col("m.rid").alias("node"), F.col("m.ord").alias("ord")), "nodes")
-    heads = materialize(prefixes(rows, ranks(scanned), k, t).join(nodes.select(F.col("node").alias("rid")).hint("shuffle_hash"), "rid"), "prefixes")
+    heads = materialize(prefixes(rows, ranks(scanned, bits), k, t).join(nodes.select(F.col("node").alias("rid")), "rid"), "prefixes")
     lists = heads.select(F.col("rid").alias("node"), "n", F.posexplode("tokens").alias("pos", "token"))
     # tables, not aggregates, are what the joins by token read, so that a hot token's rows can be split there
     met = materialize(lists.select("token").groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "met")
@@ -335,16 +385,16 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     blocks = materialize(blocks.select("token", "band", "leader"), "blocks")
     live = entries.join(blocks, ["token", "band"])
     stars = live.where("node <> leader").select("leader", "node").distinct()
-    bits = heads.select(F.col("rid").alias("node"), "n", F.col("bits").alias("b"))
+    own_bits = heads.select(F.col("rid").alias("node"), "n", F.col("bits").alias("b"))
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(bits, "node")
-        return bounds(one.join(bits.select(F.col("node").alias("leader"), F.col("n").alias("nl"), F.col("b").alias("bl")), "leader"))
+        one = pairs.join(own_bits, "node")
+        return bounds(one.join(own_bits.select(F.col("node").alias("leader"), F.col("n").alias("nl"), F.col("b").alias("bl")), "leader"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs whose bound is enough, by their texts."""
-        ids = pairs.select(F.col("leader").alias("rid")).union(pairs.select(F.col("node").alias("rid"))).distinct()
-        texts = materialize(packed(rows).join(ids.hint("shuffle_hash"), "rid"), "texts")
+        ids = materialize(pairs.select(F.col("leader").alias("rid")).union(pairs.select(F.col("node").alias("rid"))).distinct(), "ids")
+        texts = materialize(packed(may_be_in(rows, ids)).join(ids, "rid"), "texts")
         one = pairs.select("leader", "node").join(texts.select(F.col("rid").alias("node"), "z"), "node")
         two = one.join(texts.select(F.col("rid").alias("leader"), F.col("z").alias("zl")), "leader").sortWithinPartitions("leader")
         return materialize(differences(two, k), "differences")
@@ -363,24 +413,27 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     pairs = materialize(bounded(direct.select(F.col("node").alias("leader"), F.col("node2").alias("node")).distinct()).where(_reaches(t)), "pairs")
     edges = union_all([_links(found, t), _derived(found, t), _links(verified(pairs), t)])
     labels = components(edges)
-    least = labels.join(nodes, "node").groupBy("label").agg(F.min("ord").alias("component"))
-    named = nodes.join(labels, "node", "left").join(least, "label", "left").select("digest", F.coalesce("component", "ord").alias("component"))
-    own = F.coalesce("component", "ord")
-    return sets.join(named, "digest", "left").select("doc_id", "rid", F.col("n").alias("n_shingles"), F.when(own != _NULL_ID, own).alias("component_id"))
+    least = labels.join(nodes, "node").groupBy("label").agg(F.min(F.struct("ord", "node")).alias("first"))
+    # a set without links is its own label, so that no key stands for all of them
+    labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = labelled.hint("merge").join(least, "label", "left").select("digest", F.coalesce("first", F.struct("ord", "node")).alias("first"))
+    first = F.coalesce("first", F.struct(F.col("ord"), F.col("rid").alias("node")))
+    own = sets.join(named, "digest", "left").select("doc_id", "rid", "n", first.alias("first"))
+    return own.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.when(F.col("first.ord") != _NULL_ID, F.col("first.ord")).alias("component_id"), F.col("first.node").alias("first_rid"))
 
 
 def keep_first(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; columns as they were."""
+    """docs with one document of each component, the one with the smallest id; columns as they were.
+
+    Of rows that repeat that id one stays, if their component is the same.
+    """
     rows = with_rid(docs)
-    found = jaccard_components(rows, k, threshold)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # rows that repeat an id: one of them
-    kept = first.groupBy("doc_id", "component_id").agg(F.min("rid").alias("rid")).select("rid", "doc_id")
+    kept = jaccard_components(rows, k, threshold).where("rid = first_rid").select("rid", "doc_id")
     return of_rows(rows, kept, "left_semi").select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir)).drop("rid")
+    return jaccard_components(documents(spark, sf_dir)).drop("rid", "first_rid")
 
 
 #: Pairs by shared shingles; a link's other end has a size within the threshold. Components by a recursive walk.
