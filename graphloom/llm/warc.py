@@ -4,15 +4,16 @@ A partition of pages becomes one or more ``.warc.zst`` archives. The first recor
 ``SAMPLE_BYTES``) train its dictionary; the archive begins with a skippable frame (magic 0x184D2A5D) that holds the
 dictionary, itself compressed, and every record is a frame of its own, so any record can be read alone. Of equal
 payloads one page has the response record, and the others are revisit records that refer to it: the page with the
-largest id. Payloads meet by SHA-1 and length, reduced map side first, so a payload that a third of all pages share
-is one row before the shuffle.
+largest id. Payloads meet by SHA-256, reduced map side first, so a payload that a third of all pages share
+is one row before the shuffle. Payloads themselves stay where they are read: a revisit record needs its payload's length and digest only,
+and of the pages that a bitmap of the revisits can't rule out, few but revisits, those that are responses after all are found by a join.
 
-Archives go through pyarrow's file systems (file, s3, gs, hdfs, ...) to the shared folder, under a temporary name that
-a rename completes, so a task that runs again replaces its archive by an equal one.
+Archives go through pyarrow's file systems (file, s3, gs, hdfs, ...) to the shared folder. Their names carry the task's attempt, and the
+manifest, which Spark commits once a task, names those of the attempt that counts; what other attempts left is deleted.
 
 Defined results: a null payload counts as empty; a null id is smaller than any id and comes back as null; of rows that
 repeat an id and a payload one is the response; a null address is written as ``urn:none``; too few records to train
-on give an archive without dictionary; an empty table gives no archive and an empty result; other columns are ignored.
+on give an archive without dictionary; a payload of any length is one record; an empty table gives no archive and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RID, materialize, scratch, whole_text, with_rid
+from .common import RID, delete, is_not_in, list_names, materialize, may_be_in, scratch, union_all, whole_text, with_rid
 
 DICTIONARY_FRAME = 0x184D2A5D
 #: Raw bytes of an archive, of a dictionary, and of the records that it is trained on.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 256 << 20, 64 << 10, 4 << 20
-#: Raw bytes that a partition holds on average.
-PARTITION_BYTES = 48 << 20
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -50,18 +49,18 @@ def _urn(page: int | None, rid: int) -> str:
     return f"<urn:x-page:{'' if page is None else page}:{rid}>"
 
 
-def record(page: int | None, rid: int, url: str | None, payload: bytes, refers: tuple[int | None, int] | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """One WARC 1.1 record: a response, or a revisit whose block has the HTTP header only."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers else http + payload
+def record(page: int | None, rid: int, url: str | None, payload: bytes | None, length: int, sha1: bytes, refers: tuple[int | None, int] | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One WARC 1.1 record: a response, or a revisit (refers) whose block has the HTTP header only."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: {_urn(page, rid)}", f"WARC-Date: {date}",
-        f"WARC-Target-URI: {quote(url, safe=chr(37) + ':/?#[]@!$&()*+,;=~') if url else 'urn:none'}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
+        f"WARC-Target-URI: {quote(url, safe=chr(37) + ':/?#[]@!$&()*+,;=~') if url else 'urn:none'}", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}",
     ]
     if refers:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(*refers)}"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    body = b"" if refers else payload
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(body)}"]
+    return b"".join(("\r\n".join(head).encode(), b"\r\n\r\n", http, body, b"\r\n\r\n"))
 
 
 def parse(raw: bytes) -> dict:
@@ -161,39 +160,41 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _squeezed(src: DataFrame) -> DataFrame:
-    """Payloads compressed for the shuffle: it is most of what this operator moves."""
+ROWS = "page_id long, rid long, url string, n long, sha1 binary, payload binary, squeezed boolean, to_page long, to_rid long"
+
+
+def _squeezed(rows: DataFrame) -> DataFrame:
+    """Payloads compressed for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         c = zstandard.ZstdCompressor(level=1)
+        at = [x.split()[0] for x in ROWS.split(", ")].index("payload")
         for b in batches:
-            z = pa.array([c.compress(x.encode()) for x in b.column(3).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], z], names=["page_id", "rid", "url", "payload"])
+            z = pa.array([c.compress(x) for x in b.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([z if i == at else x for i, x in enumerate(b.columns)], schema=b.schema)
 
-    return src.select("page_id", "rid", "url", "payload").mapInArrow(run, "page_id long, rid long, url string, payload binary")
+    return rows.withColumn("squeezed", F.lit(True)).mapInArrow(run, ROWS)
 
 
 def archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write pages to archives below folder; returns the manifest. Equal payloads under min_bytes are all responses."""
     from pyspark import TaskContext
 
-    payload = whole_text(payload_col)
+    spark, payload = pages.sparkSession, whole_text(payload_col)
     src = with_rid(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(RID).alias("rid"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    keys = materialize(src.select("page_id", "rid", F.unhex(F.sha1("payload")).alias("sha"), F.octet_length("payload").cast("long").alias("n")), "payloads")
-    total, rows = keys.agg(F.sum("n"), F.count(F.lit(1))).first()
-    parts = max(1, -(-((total or 0) + 600 * rows) // PARTITION_BYTES))
-    large = keys.where(F.col("n") >= min_bytes)
-    best = large.groupBy("sha", "n").agg(F.max(F.struct("page_id", "rid")).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    best = materialize(best.select("sha", "n", "best"), "best")  # a table, so that the join can split a hot payload
-    revisits = large.join(best, ["sha", "n"]).where(F.col("rid") != F.col("best.rid")).select("rid", F.col("best.page_id").alias("to_page"), F.col("best.rid").alias("to_rid"))
-    alone = best.isEmpty()
-    if alone:  # nothing to join: pages are archived where they are read
-        planned = src.select("*", F.lit(None).cast("long").alias("to_page"), F.lit(None).cast("long").alias("to_rid"), F.encode("payload", "UTF-8").alias("z")).drop("payload").withColumnRenamed("z", "payload")
-    else:
-        planned = _squeezed(src).repartition(parts, "rid").join(revisits.repartition(parts, "rid").hint("shuffle_hash"), "rid", "left")
-    rows_in = planned.select("page_id", "rid", "url", "payload", "to_page", "to_rid")
+    n, sha1 = F.octet_length("payload").cast("long"), F.unhex(F.sha1("payload"))
+    keys = materialize(src.select("page_id", "rid", "url", n.alias("n"), sha1.alias("sha1"), F.unhex(F.sha2("payload", 256)).alias("sha256")), "payloads").where(F.col("n") >= min_bytes)
+    best = keys.groupBy("sha256").agg(F.max(F.struct("page_id", "rid")).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    best = materialize(best.select("sha256", "best"), "best")  # a table, so that the join can split a hot payload
+    revisits = keys.join(best, "sha256").where(F.col("rid") != F.col("best.rid")).select("page_id", "rid", "url", "n", "sha1", F.lit(None).cast("binary").alias("payload"), F.lit(False).alias("squeezed"), F.col("best.page_id").alias("to_page"), F.col("best.rid").alias("to_rid"))
+    revisits = materialize(revisits, "revisits")
+    none = F.lit(None).cast("long")
+    whole = lambda rows: rows.select("page_id", "rid", "url", n.alias("n"), sha1.alias("sha1"), F.encode("payload", "UTF-8").alias("payload"), F.lit(False).alias("squeezed"), none.alias("to_page"), none.alias("to_rid"))
+    maybe, again = _squeezed(whole(may_be_in(src, revisits))), revisits.select(F.col("rid").alias("r"), F.col("page_id").alias("p"))
+    others = maybe.join(again, (maybe["rid"] == again["r"]) & maybe["page_id"].eqNullSafe(again["p"]), "left_anti")
+    planned = union_all([whole(is_not_in(src, revisits)), others, revisits])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = TaskContext.get()
@@ -201,29 +202,32 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "pa
         def records() -> Iterator[bytes]:
             import zstandard
 
-            plain = bytes if alone else zstandard.ZstdDecompressor().decompress
+            z = zstandard.ZstdDecompressor()
             for b in batches:
-                for page, rid, url, z, to_page, to_rid in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                    yield record(page, rid, url, plain(z), None if to_rid is None else (to_page, to_rid))
+                for page, rid, url, n, sha1, payload, squeezed, to_page, to_rid in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    yield record(page, rid, url, z.decompress(payload) if squeezed else payload, n, sha1, None if to_rid is None else (to_page, to_rid))
 
         it, k = records(), 0
         files, base = _fs(folder)
         files.create_dir(base, recursive=True)
         for head in it:
-            name = f"{base}/part-{ctx.partitionId():06d}-{k:04d}.warc.zst"
-            draft = f"{name}.{ctx.taskAttemptId()}.tmp"
+            name = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{k:04d}.warc.zst"
 
             def rest(head: bytes = head) -> Iterator[bytes]:
                 yield head
                 yield from it
 
-            with files.open_output_stream(draft, compression=None) as out:
+            with files.open_output_stream(f"{base}/{name}", compression=None) as out:
                 n, raw, size, d = write_archive(out, rest())
-            files.move(draft, name)
             k += 1
-            yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name.rsplit('/', 1)[1]}", "records": n, "raw_bytes": raw, "bytes": size, "dictionary_bytes": d}])
-
-    return materialize(rows_in.mapInArrow(run, MANIFEST), "manifest")
+            yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "records": n, "raw_bytes": raw, "bytes": size, "dictionary_bytes": d}])
+
+    manifest = materialize(planned.mapInArrow(run, MANIFEST), "manifest")
+    counted = {r["path"].rsplit("/", 1)[1] for r in manifest.select("path").collect()}  # a name an archive
+    for name in list_names(spark, folder):
+        if name.startswith("part-") and name not in counted:
+            delete(spark, f"{folder}/{name}")
+    return manifest
 
 
 def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
