@@ -1,4 +1,8 @@
-"""Public license texts and notices, by name."""
+"""Public license texts and notices, by name.
+
+In a text, a word after ``*`` tells the license from its look-alikes: a match must have it. A notice is one line, whose parts
+between ``~`` stand in a text word for word, a few other words apart at most.
+"""
 
 MIT = """
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
@@ -47,24 +51,25 @@ or implied. See the License for the specific language governing permissions and
 
 GPL_3_HEADER = """
 This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
-the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the
+the Free Software Foundation, either version *3 of the License, or (at your option) any later version. This program is distributed in the
 hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
 PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along
 with this program. If not, see <https://www.gnu.org/licenses/>.
 """
 
-LGPL_3_HEADER = GPL_3_HEADER.replace("GNU General", "GNU Lesser General")
-AGPL_3_HEADER = GPL_3_HEADER.replace("GNU General", "GNU Affero General")
+LGPL_3_HEADER = GPL_3_HEADER.replace("GNU General", "GNU *Lesser General")
+AGPL_3_HEADER = GPL_3_HEADER.replace("GNU General", "GNU *Affero General")
 
 GPL_2_HEADER = """
 This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
-the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the
+the Free Software Foundation; either version *2 of the License, or (at your option) any later version. This program is distributed in the
 hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
 PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along
 with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.
 """
 
-LGPL_2_HEADER = GPL_2_HEADER.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2 of", "version 2.1 of")
+LGPL_2_HEADER = GPL_2_HEADER.replace("program", "library").replace("GNU General", "GNU *Library General")
+LGPL_2_1_HEADER = GPL_2_HEADER.replace("program", "library").replace("GNU General", "GNU *Lesser General").replace("version *2 of", "version *2.*1 of")
 
 CC0_HEADER = """
 To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the
@@ -89,28 +94,91 @@ This Source Code Form is subject to the terms of the Mozilla Public License, v.
 file, You can obtain one at https://mozilla.org/MPL/2.0/.
 """
 
-#: A notice that grants nothing. Its three words are matched as a phrase, since in order they stand in much prose, and any license comes before it.
+BSD_3 = BSD_2.replace("THIS SOFTWARE", BSD_3_CLAUSE.replace("endorse", "*endorse").replace("promote", "*promote") + "THIS SOFTWARE", 1)
+
+BSL_1 = """
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation
+covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare
+derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following
+disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such
+copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+"""
+
+ZLIB = """
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.
+"""
+
+EPL_2_HEADER = """
+This program and the accompanying materials are made available under the terms of the Eclipse Public License *2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+
+#: A notice that grants nothing. Any license comes before it.
 RESERVED = "All rights reserved notice"
 
-TEMPLATES = {
+TEXTS = {
     "AGPL-3.0 header": AGPL_3_HEADER,
-    RESERVED: "All rights reserved.",
     "Apache-2.0 header": APACHE_2_HEADER,
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "BSD-2-Clause": BSD_2,
+    "BSD-3-Clause": BSD_3,
     "BSD-3-Clause clause": BSD_3_CLAUSE,
-    "CC-BY-4.0 notice": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
+    "BSL-1.0": BSL_1,
     "CC0-1.0 header": CC0_HEADER,
+    "EPL-2.0 header": EPL_2_HEADER,
     "GPL-2.0 header": GPL_2_HEADER,
     "GPL-3.0 header": GPL_3_HEADER,
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "ISC": ISC,
-    "LGPL-2.1 header": LGPL_2_HEADER,
+    "LGPL-2.0 header": LGPL_2_HEADER,
+    "LGPL-2.1 header": LGPL_2_1_HEADER,
     "LGPL-3.0 header": LGPL_3_HEADER,
     "MIT": MIT,
-    "MIT notice": "Released under the MIT License.",
     "MPL-2.0 header": MPL_2_HEADER,
     "Unlicense": UNLICENSE,
+    "Zlib": ZLIB,
+}
+
+#: What a license is called in a sentence, for "released under", "licensed under" and so on.
+CALLED = {
+    "AGPL-3.0 notice": ("GNU Affero General Public License ~ version 3", "AGPLv3", "AGPL 3.0"),
+    "Apache-2.0 notice": ("Apache License ~ Version 2.0", "Apache 2.0 License"),
+    "Artistic-2.0 notice": ("Artistic License 2.0",),
+    "BSD notice": ("BSD License",),
+    "BSD-2-Clause notice": ("BSD 2-Clause License", "2-Clause BSD License"),
+    "BSD-3-Clause notice": ("BSD 3-Clause License", "3-Clause BSD License"),
+    "BSL-1.0 notice": ("Boost Software License",),
+    "CC-BY-4.0 notice": ("CC BY 4.0", "Creative Commons Attribution 4.0"),
+    "CC-BY-NC-4.0 notice": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0"),
+    "CC-BY-NC-ND-4.0 notice": ("CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0"),
+    "CC-BY-NC-SA-4.0 notice": ("CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0"),
+    "CC-BY-ND-4.0 notice": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0"),
+    "CC-BY-SA-4.0 notice": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0"),
+    "CC-BY-3.0 notice": ("CC BY 3.0", "Creative Commons Attribution 3.0"),
+    "CC-BY-SA-3.0 notice": ("CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 3.0"),
+    "CC0-1.0 notice": ("CC0 1.0",),
+    "EPL-2.0 notice": ("Eclipse Public License ~ 2.0",),
+    "GPL-2.0 notice": ("GNU General Public License ~ version 2", "GPLv2", "GPL 2.0"),
+    "GPL-3.0 notice": ("GNU General Public License ~ version 3", "GPLv3", "GPL 3.0"),
+    "ISC notice": ("ISC License",),
+    "LGPL-2.1 notice": ("GNU Lesser General Public License ~ version 2.1", "LGPLv2.1", "LGPL 2.1"),
+    "LGPL-3.0 notice": ("GNU Lesser General Public License ~ version 3", "LGPLv3", "LGPL 3.0"),
+    "MIT notice": ("MIT License",),
+    "MPL-2.0 notice": ("Mozilla Public License ~ version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "Unlicense notice": ("The Unlicense",),
+    "WTFPL notice": ("WTFPL",),
+    "Zlib notice": ("zlib License",),
 }
+VERBS = ("Released under", "Licensed under", "Distributed under", "Available under", "Terms of")
+
+#: Identifiers that may follow an SPDX tag.
+SPDX = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+
+NOTICES = {name: tuple(f"{verb} ~ {call}" for call in calls for verb in VERBS) for name, calls in CALLED.items()}
+for _name in SPDX:
+    NOTICES[f"{_name} notice"] = (*NOTICES.get(f"{_name} notice", ()), f"SPDX-License-Identifier: {_name}")
+NOTICES[RESERVED] = ("All rights reserved.",)

@@ -3,16 +3,20 @@
 Texts and templates are compared as words of ASCII letters and digits (any other ASCII character parts words, letters are
 lower-cased, other characters are kept), so comment marks, punctuation and line breaks don't matter. Words that occur exactly once
 in both are anchors; the longest increasing subsequence of anchors is matched, and the gaps between them are aligned in the same way, down to gaps
-without an anchor. A template's coverage is its share of words that the whole text holds in order, wherever they begin and however
-many other words stand between them. A template is found at ``MIN_COVERAGE``.
+without an anchor. A license text's coverage is its share of words that the whole text holds in order, wherever they begin and however
+many other words stand between them; it is found at ``MIN_COVERAGE``, if the words that tell it from its look-alikes are among them.
+A one-line notice is found whole only: its parts stand word for word, at most ``GAP`` words apart.
 
-Before that exact bounds spare nearly all texts: no alignment matches more words than the text and the template
+Of templates that match the same words the one that matches most of them counts, so that the longest explains them (of as many matched words, the one
+with the greater coverage): the Lesser General Public License is not also the General one, nor a text with 'BY-NC-SA' one with 'BY-NC'.
+
+Before an alignment exact bounds spare nearly all texts: no alignment matches more words than the text and the template
 have in common with multiplicity, or than their longest common subsequence. What is left is aligned in a stretch taken from the text,
 the one that first holds as many words as the whole text, as short as it can be made. Where anchors lead past the bound's alignment, that one counts.
 
-Defined results: a null or empty text has no license; a text is scanned whole, however long; of equal coverage the longer
-template wins, then the smaller name; 'All rights reserved' counts as a phrase only, and comes last; rows that repeat are scanned alike; an empty table gives an empty result;
-other columns are ignored.
+Defined results: a null or empty text has no license; a text is scanned whole, however long; the best license is the one with the most
+matched words, then the greater coverage, then the smaller name; 'All rights reserved' comes after any license; a null id comes back as null; rows that repeat are
+scanned alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +32,11 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .common import documents, spread, whole_text
-from .license_texts import RESERVED, TEMPLATES
+from .license_texts import NOTICES, RESERVED, TEXTS
 
 MIN_COVERAGE = 0.8
+#: Words that may stand between two parts of a notice.
+GAP = 8
 _BLANK = np.ones(256, bool)
 _BLANK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -134,16 +140,26 @@ def words_of(text: str) -> np.ndarray:
 
 
 class Scanner:
-    """Templates as sequences of numbers of a common vocabulary."""
-
-    def __init__(self, templates: dict[str, str], min_coverage: float):
-        self.min = min_coverage
-        hashed = {k: words_of(v) for k, v in templates.items()}
-        self.vocab = np.unique(np.concatenate(list(hashed.values())))
-        self.names = sorted(templates)
-        self.ids = [np.searchsorted(self.vocab, hashed[k]).tolist() for k in self.names]
+    """Templates as sequences of numbers of a common vocabulary; a name has one text or several notices."""
+
+    def __init__(self, texts: dict[str, str], notices: dict[str, tuple[str, ...]], min_coverage: float):
+        items = [(name, [text]) for name, text in sorted(texts.items())]
+        items += [(name, text.split("~")) for name, all_ in sorted(notices.items()) for text in all_]
+        parts = [[words_of(p.replace("*", " ")) for p in text] for _, text in items]
+        self.vocab = np.unique(np.concatenate([w for p in parts for w in p]))
+        self.names = [name for name, _ in items]
+        self.parts = [[np.searchsorted(self.vocab, w).tolist() for w in p] for p in parts]
+        self.ids = [[w for q in p for w in q] for p in self.parts]
+        self.whole = np.array([k >= len(texts) for k in range(len(items))])  # notices
+        self.critical = [set() if n else self._marked(text[0]) for n, (_, text) in zip(self.whole, items, strict=True)]
+        share = np.where(self.whole, 1.0, min_coverage)
+        self.need = np.array([max(1, -(-int(len(x) * c * 1000000) // 1000000)) for x, c in zip(self.ids, share.tolist(), strict=True)])
         self.counts = np.stack([np.bincount(x, minlength=len(self.vocab)) for x in self.ids])
-        self.need = np.array([-(-int(len(x) * min_coverage * 1000000) // 1000000) for x in self.ids])
+
+    def _marked(self, text: str) -> set[int]:
+        """The places of words that follow a star."""
+        before = [words_of(text[:i].replace("*", " ")) for i, c in enumerate(text) if c == "*"]
+        return {len(w) for w in before}
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Words as numbers, -1 outside the vocabulary."""
@@ -151,12 +167,12 @@ class Scanner:
         at[at == len(self.vocab)] = 0
         return np.where(self.vocab[at] == hashes, at, -1)
 
-    def best(self, text: list[int], t: int) -> tuple[int, int, int] | None:
-        """(matched words, first and last word of the text that match) of template t, or None below the threshold."""
-        b, need = self.ids[t], max(int(self.need[t]), 1)
-        if self.names[t] == RESERVED:
-            at = next((i for i, w in enumerate(text) if w == b[0] and text[i : i + len(b)] == b), None)
-            return None if at is None else (len(b), at, at + len(b) - 1)
+    def best(self, text: list[int], t: int) -> list[int] | None:
+        """The words of the text that template t matches, or None below the threshold."""
+        return self._notice(text, t) if self.whole[t] else self._text(text, t)
+
+    def _text(self, text: list[int], t: int) -> list[int] | None:
+        b, need = self.ids[t], int(self.need[t])
         known = set(b)
         places = [i for i, w in enumerate(text) if w in known]  # no other word matches or parts anything
         own = [text[i] for i in places]
@@ -167,17 +183,47 @@ class Scanner:
         start = end - first_end(own[::-1], b[::-1])[1]
         own = own[start:]
         m = align(own, b)
-        if len(m) < most:
+        if len(m) < most or not self.critical[t] <= {j for _, j in m}:
             m = longest(own, b)
-        return len(m), places[start + m[0][0]], places[start + m[-1][0]]
+        return [places[start + i] for i, _ in m] if self.critical[t] <= {j for _, j in m} else None
+
+    def _notice(self, text: list[int], t: int) -> list[int] | None:
+        """The first place where all parts stand word for word, in order and near each other."""
+        b, parts = self.ids[t], self.parts[t]
+        reach = len(b) + GAP * (len(parts) - 1)
+        for e in (i for i, w in enumerate(text) if w == b[-1]):
+            lo = max(0, e + 1 - reach)
+            near = text[lo : e + 1]
+            if not set(b) <= set(near):
+                continue
+            for way in (align, lambda x, y: [(len(x) - 1 - i, len(y) - 1 - j) for i, j in align(x[::-1], y[::-1])], longest):
+                m = way(near, b)
+                place, found, at = {j: lo + i for i, j in m}, [], 0
+                for p in parts:
+                    at += len(p)
+                    end = place.get(at - 1, -1)
+                    begin = end + 1 - len(p)
+                    if end < 0 or text[max(begin, 0) : end + 1] != p or (found and not 0 < begin - found[-1] <= GAP + 1):
+                        break
+                    found += range(begin, end + 1)
+                if len(found) == len(b):
+                    return found
+        return None
 
     def scan(self, text: np.ndarray, candidates: np.ndarray) -> list[dict]:
-        """All templates found in one text, best first."""
-        words, out = text.tolist(), []
-        for t in candidates.tolist():
-            if m := self.best(words, t):
-                out.append({"license": self.names[t], "coverage": round(m[0] / len(self.ids[t]), 6), "matched": m[0], "first": m[1], "last": m[2]})
-        return sorted(out, key=lambda r: (r["license"] == RESERVED, -r["coverage"], -r["matched"], r["license"]))
+        """What is found in one text, best first; a text of which a better one matches half of the words is left out, and a notice of which it matches one."""
+        words = text.tolist()
+        found = [(t, places) for t in candidates.tolist() if (places := self.best(words, t))]
+        found.sort(key=lambda x: (self.names[x[0]] == RESERVED, -len(x[1]), -len(x[1]) / len(self.ids[x[0]]), self.names[x[0]]))
+        out: list[dict] = []
+        taken: set[int] = set()
+        for t, places in found:
+            common = len(taken.intersection(places))
+            if any(r["license"] == self.names[t] for r in out) or 2 * common > len(places) or (self.whole[t] and common):
+                continue
+            taken.update(places)
+            out.append({"license": self.names[t], "coverage": round(len(places) / len(self.ids[t]), 6), "matched": len(places), "first": places[0], "last": places[-1]})
+        return out
 
     def candidates(self, numbers: np.ndarray, ptr: np.ndarray) -> np.ndarray:
         """documents x templates: whether the words in common are enough."""
@@ -185,17 +231,21 @@ class Scanner:
         doc = np.repeat(np.arange(n), np.diff(ptr))
         known = numbers >= 0
         table = np.bincount(doc[known] * v + numbers[known], minlength=n * v).reshape(n, v)
-        return np.stack([np.minimum(table, c).sum(1) for c in self.counts], 1) >= self.need
+        out = np.zeros((n, len(self.ids)), bool)
+        for t, c in enumerate(self.counts):
+            own = np.flatnonzero(c)
+            out[:, t] = np.minimum(table[:, own], c[own]).sum(1) >= self.need[t]
+        return out
 
 
 SCHEMA = "doc_id long, n_words long, license string, coverage double, found array<struct<license:string,coverage:double,matched:int,first:int,last:int>>"
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, texts: dict[str, str] = TEXTS, notices: dict[str, tuple[str, ...]] = NOTICES, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, number of words, best license and its coverage, and all that were found, of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, min_coverage)
+        scanner = Scanner(texts, notices, min_coverage)
         item = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
         names = ["doc_id", "n_words", "license", "coverage", "found"]
         for b in batches:
