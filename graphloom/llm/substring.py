@@ -2,23 +2,25 @@
 
 Every document is *winnowed*: of the GRAM-word hashes inside each WINDOW-word window the smallest is chosen, so two
 documents that share a window share its chosen hash (the *anchor*). The index is a list of immutable runs, each a table
-of (anchor, first document, last document), bucketed and sorted by anchor in the shared folder. A batch becomes a run; the
-run is merge-joined with every older run, bucket by bucket and without a shuffle, and anchors known to two documents
-are the hits. Runs of like size are then compacted into one by another merge join.
+of (anchor, first document, last document), bucketed and sorted by anchor, a file a bucket, in a folder with a manifest: a later
+session opens it and goes on. A batch becomes a run; the run is merge-joined with every older run, bucket by
+bucket in the order in which both are stored (no shuffle, no sort), and anchors known to two documents
+are the hits. Runs of like size are then compacted into one by another merge join; a manifest names the new run before the old ones go.
 
 Hits are candidates only. Documents that hold one emit the windows of that anchor as 128-bit BLAKE2b digests of the window's
-words, and equal digests verify them: the digest's first document is the smallest id that has the window, and windows
+words, written once, and equal digests verify them: the digest's first document is the smallest id that has the window, and windows
 of later documents are covered. Documents whose whole word sequence repeats are reduced to the one with the smallest id
 before that, so a text that is a third of all rows is one row before the first shuffle by anchor; a copy's every window
 starts in its representative.
 
-Defined results: a null text has no words; a text shorter than a window loses nothing; a null id is smaller than
+Defined results: a null text has no words; a text shorter than a window loses nothing; a text of any length is one document; a null id is smaller than
 any id; rows of equal id never remove from one another; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import RID, batches_by_id, delete, documents, materialize, scratch, spread, union_all, whole_text, with_rid
+from .common import RID, batches_by_id, bounded, delete, documents, list_names, materialize, may_be_in, read_text, scratch, spread, union_all, whole_text, with_rid, write_text
 
 WINDOW, GRAM = 50, 32
 _NULL_ID = -(1 << 63)
@@ -75,17 +77,40 @@ def scan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     return spread(docs).mapInArrow(run, SCAN)
 
 
+#: Bucketed tables are read in the order in which each bucket's only file is stored.
+IN_ORDER = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+
+
 class FingerprintIndex:
-    """Sorted runs of (anchor, first, last); first and last are the smallest and largest order number seen."""
+    """Sorted runs of (anchor, first, last); first and last are the smallest and largest order number seen.
+
+    folder: where the runs and the manifest are. If a manifest is there the index is what it says; a fresh index has as many
+    buckets as the session has shuffle partitions.
+    """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, folder or scratch(spark, "index")
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[str, str, int]] = []  # oldest first: table, folder, rows
+        self.version = 0
+        found = [n for n in list_names(spark, self.folder) if n.startswith("manifest-")]
+        if found:
+            own = json.loads(read_text(spark, f"{self.folder}/{max(found)}"))
+            self.version, self.buckets = own["version"], own["buckets"]
+            for run in own["runs"]:
+                name, path = f"run_{uuid.uuid4().hex}", f"{self.folder}/{run['name']}"
+                spark.sql(f"CREATE TABLE {name} (anchor BIGINT, first BIGINT, last BIGINT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+                self.runs.append((name, path, run["rows"]))
+
+    def _save(self) -> None:
+        self.version += 1
+        own = {"version": self.version, "buckets": self.buckets, "runs": [{"name": path.rsplit("/", 1)[1], "rows": n} for _, path, n in self.runs]}
+        write_text(self.spark, f"{self.folder}/manifest-{self.version:08d}", json.dumps(own))
 
     def _write(self, rows: DataFrame) -> None:
-        """rows, already hashed by anchor into as many partitions as buckets: a file a bucket."""
-        name, path = f"run_{uuid.uuid4().hex}", scratch(self.spark, "run")
+        """rows, one for each anchor: a file a bucket, since each bucket's rows are in one task."""
+        name = f"run_{uuid.uuid4().hex}"
+        path = f"{self.folder}/{name}"
         rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", path).option("compression", "zstd").saveAsTable(name)
         self.runs.append((name, path, self.spark.table(name).count()))
 
@@ -93,33 +118,45 @@ class FingerprintIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {run[0]}")
         delete(self.spark, run[1])
 
+    def _table(self, k: int, first: str = "first", last: str = "last") -> DataFrame:
+        return self.spark.table(self.runs[k][0]).select("anchor", F.col("first").alias(first), F.col("last").alias(last))
+
+    def _shared(self, k: int) -> DataFrame:
+        """The anchors of the newest run that an older one knows of another document."""
+        both = self._table(-1).hint("merge").join(self._table(k, "f", "l").hint("merge"), "anchor")
+        return both.where("least(first, f) < greatest(last, l)").select("anchor")
+
     def ingest(self, postings: DataFrame) -> DataFrame:
         """Add a batch, (anchor, ord); returns its hits: anchors that it shares within itself or with older runs."""
-        older = [self.spark.table(name) for name, _, _ in self.runs]
-        self._write(postings.groupBy("anchor").agg(F.min("ord").alias("first"), F.max("ord").alias("last")))
-        new = self.spark.table(self.runs[-1][0])
-        hits = [new.where("first < last").select("anchor")]
-        for run in older:
-            old = run.select("anchor", F.col("first").alias("f"), F.col("last").alias("l"))
-            hits.append(new.join(old, "anchor").where("least(first, f) < greatest(last, l)").select("anchor"))
-        found = materialize(union_all(hits).distinct(), "hits")
-        self._compact()
+        with bounded(self.spark, IN_ORDER | {"spark.sql.shuffle.partitions": str(self.buckets)}):
+            self._write(postings.groupBy("anchor").agg(F.min("ord").alias("first"), F.max("ord").alias("last")))
+            hits = [self._table(-1).where("first < last").select("anchor"), *(self._shared(k) for k in range(len(self.runs) - 1))]
+            found = materialize(union_all(hits).distinct(), "hits")
+            gone = self._compact()
+        self._save()
+        for run in gone:
+            self._drop(run)
         return found
 
-    def _compact(self) -> None:
-        """Merge the newest runs while the newer is at least half as large as the older."""
+    def _compact(self) -> list[tuple[str, str, int]]:
+        """Merge the newest runs while the newer is at least half as large as the older; returns those that are replaced."""
+        gone = []
         while len(self.runs) > 1 and 2 * self.runs[-1][2] >= self.runs[-2][2]:
-            b, a = self.runs.pop(), self.runs.pop()
-            x = self.spark.table(a[0]).select("anchor", F.col("first").alias("f1"), F.col("last").alias("l1"))
-            y = self.spark.table(b[0]).select("anchor", F.col("first").alias("f2"), F.col("last").alias("l2"))
+            x, y = self._table(-2, "f1", "l1").hint("merge"), self._table(-1, "f2", "l2").hint("merge")
             merged = x.join(y, "anchor", "full").select("anchor", F.least("f1", "f2").alias("first"), F.greatest("l1", "l2").alias("last"))
             self._write(merged)
-            self._drop(a)
-            self._drop(b)
+            gone += self.runs[-3:-1]
+            del self.runs[-3:-1]
+        return gone
 
     def close(self) -> None:
+        """Forget the tables of this session; runs and manifest stay."""
         while self.runs:
-            self._drop(self.runs.pop())
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.runs.pop()[0]}")
+
+    def destroy(self) -> None:
+        self.close()
+        delete(self.spark, self.folder)
 
 
 WINDOWS = "digest binary, ord long, rid long, pos int"
@@ -156,27 +193,27 @@ def windows(candidates: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     return candidates.select("ord", "rid", "text", "hits").mapInArrow(run, WINDOWS)
 
 
-REMOVED = "rid long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>"
+REMOVED = "rid long, ord long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>"
 
 
 def remove(candidates: DataFrame, window: int = WINDOW) -> DataFrame:
-    """What is left of documents without the windows at ``pos``; candidates: (rid, text, pos array<int>)."""
+    """What is left of documents without the windows at ``pos``; candidates: (rid, ord, text, pos array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("rid", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
+        schema = pa.schema([("rid", pa.int64()), ("ord", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
         for b in batches:
             out = []
-            for rid, text, pos in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for rid, order, text, pos in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 words = text.encode().split()
                 gone = tk.covered(np.unique(np.asarray(pos, np.int64)), window, len(words))
                 edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 spans = [{"first": int(x), "last": int(y) - 1} for x, y in zip(edge[::2], edge[1::2], strict=True)]
-                out.append({"rid": rid, "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": spans})
+                out.append({"rid": rid, "ord": order, "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": spans})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    return candidates.select("rid", "text", "pos").mapInArrow(run, REMOVED)
+    return candidates.select("rid", "ord", "text", "pos").mapInArrow(run, REMOVED)
 
 
 def substring_dedup(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,20 +231,22 @@ def substring_dedup(docs: DataFrame, batches: int = 2, window: int = WINDOW, gra
             own = own.join(materialize(union_all(scans).select("seq").distinct(), "known"), "seq", "left_anti")
         scans.append(scanned)
         hits.append(index.ingest(own.select(F.explode("anchors").alias("anchor"), "ord")))
-    index.close()
+    index.destroy()
     scanned = union_all(scans)
     # written tables, not aggregates, are what the joins below read, so that a hot key's rows can be split there
     firsts = materialize(scanned.groupBy("seq").agg(F.min("ord").alias("first")), "firsts")
     base = materialize(scanned.join(firsts, "seq").select("doc_id", "rid", "ord", "n_words", "kept_sha256", "first", "anchors"), "base")
     reps = base.where(F.col("ord") == F.col("first"))
     known = materialize(union_all(hits).distinct(), "hits") if len(hits) > 1 else hits[0]
-    held = reps.select("rid", F.explode("anchors").alias("anchor")).join(known, "anchor").groupBy("rid").agg(F.collect_list("anchor").alias("hits"))
-    candidates = materialize(rows.select("rid", "ord", "text").join(held.hint("shuffle_hash"), "rid"), "candidates")
-    found = windows(candidates, window, gram)
+    # rows by their number and their order number: two rows that agree in both are as good as impossible at any size
+    held = reps.select("rid", "ord", F.explode("anchors").alias("anchor")).join(known, "anchor").groupBy("rid", "ord").agg(F.collect_list("anchor").alias("hits"))
+    held = materialize(held, "held")
+    candidates = materialize(may_be_in(rows.select("rid", "ord", "text"), held.select("rid")).join(held, ["rid", "ord"]), "candidates")
+    found = materialize(windows(candidates, window, gram), "windows")
     first = materialize(found.groupBy("digest").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("digest", "lo"), "first")
-    covered = found.join(first, "digest").where("ord > lo").groupBy("rid").agg(F.collect_list("pos").alias("pos"))
-    cut = remove(candidates.select("rid", "text").join(covered.hint("shuffle_hash"), "rid"), window)
-    out = base.drop("anchors").join(cut.withColumnRenamed("kept_sha256", "cut_sha256"), "rid", "left")
+    covered = found.join(first, "digest").where("ord > lo").groupBy("rid", "ord").agg(F.collect_list("pos").alias("pos"))
+    cut = materialize(remove(candidates.select("rid", "ord", "text").join(covered, ["rid", "ord"]), window), "cut")
+    out = base.drop("anchors").join(cut.withColumnRenamed("kept_sha256", "cut_sha256"), ["rid", "ord"], "left")
     copy = (F.col("ord") > F.col("first")) & (F.col("n_words") >= window)
     nothing = hashlib.sha256(b"").hexdigest()
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - 1).cast("int").alias("last")))
