@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import exact_dedup, licenses, mixing, ngram_join, packing, quality, sharding, substring, tokens, warc
+from graphloom.llm import common, exact_dedup, licenses, mixing, ngram_join, packing, quality, sharding, substring, tokens, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -51,16 +51,42 @@ def test_substring(docs, rows):
     assert removed > 1000
 
 
-def test_substring_index_compacts(spark):
-    index = substring.FingerprintIndex(spark)
+def test_substring_index_compacts_and_opens_again(spark, tmp_path):
+    folder = f"file://{tmp_path}/index"
+    index = substring.FingerprintIndex(spark, folder)
     frame = lambda pairs: spark.createDataFrame(pairs, "anchor long, ord long")
     assert index.ingest(frame([(1, 1), (2, 1), (2, 2)])).collect()[0].anchor == 2
     assert {r.anchor for r in index.ingest(frame([(1, 5), (3, 5), (4, 5)])).collect()} == {1}
     assert len(index.runs) == 1
     assert {tuple(r) for r in spark.table(index.runs[0][0]).collect()} == {(1, 1, 5), (2, 1, 2), (3, 5, 5), (4, 5, 5)}
-    assert {r.anchor for r in index.ingest(frame([(4, 4)])).collect()} == {4}
-    assert len(index.runs) == 2
     index.close()
+    # another session, with another number of shuffle partitions
+    later = spark.newSession()
+    later.conf.set("spark.sql.shuffle.partitions", "3")
+    index = substring.FingerprintIndex(later, folder)
+    assert len(index.runs) == 1 and index.buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r.anchor for r in index.ingest(later.createDataFrame([(4, 4)], "anchor long, ord long")).collect()} == {4}
+    assert len(index.runs) == 2 and later.conf.get("spark.sql.shuffle.partitions") == "3"
+    index.close()
+    assert [n for _, _, n in substring.FingerprintIndex(spark, folder).runs] == [4, 1]
+    index.destroy()
+    assert not (tmp_path / "index").exists()
+
+
+def test_substring_runs_are_merge_joined_as_stored(spark, tmp_path):
+    """Neither exchange nor sort nor broadcast, for hits and for compaction."""
+    index = substring.FingerprintIndex(spark, f"file://{tmp_path}/index")
+    index.ingest(spark.range(4000).selectExpr("id * 7 as anchor", "id as ord"))
+    index.ingest(spark.range(500).selectExpr("id * 21 as anchor", "id + 9000 as ord"))
+    assert len(index.runs) == 2
+    with common.bounded(spark, substring.IN_ORDER):
+        a, b = index._table(0, "f1", "l1").hint("merge"), index._table(1).hint("merge")
+        for df in (index._shared(0), a.join(b, "anchor", "full")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan, plan
+            assert not any(w in plan.replace("SortMergeJoin", "") for w in ("Exchange", "Sort ", "Broadcast")), plan
+        assert index._shared(0).count() == 500
+    index.destroy()
 
 
 def library():
@@ -200,16 +226,32 @@ def test_warc_round_trip(spark, rows, tmp_path):
             assert (r.record_type, r.refers_to, bytes(r.payload)) == ("response", None, raw)
         else:
             assert (r.record_type, r.refers_to) == ("revisit", top[t or ""])
+    assert sorted(r.path.rsplit("/", 1)[1] for r in manifest.collect()) == sorted(p.name for p in (tmp_path / "archives").glob("part-*"))
     small = by_id(warc.read(warc.archive(spark.read.parquet(path), folder + "2", min_bytes=100)), "page_id")
     assert all(small[i].record_type == "response" for i, t, _ in rows if len((t or "").encode()) < 100)
 
 
+def test_warc_round_trip_with_a_full_bitmap(spark, tmp_path, monkeypatch):
+    """Where the bitmap rules nothing out, the join tells responses from revisits; archives of earlier attempts go."""
+    monkeypatch.setattr(common, "BITMAP_BITS", 6)
+    rows = [(i, f"u{i}", f"payload {i % 70}" if i % 3 else f"own {i}") for i in range(400)]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "part-000000-99999-0000.warc.zst").write_bytes(b"left by another attempt")
+    manifest = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"file://{tmp_path}/a")
+    assert len(list((tmp_path / "a").glob("part-*"))) == manifest.count()
+    got, top = by_id(warc.read(manifest), "page_id"), {}
+    for i, _, t in rows:
+        top[t] = i
+    assert {i: (r.record_type, r.refers_to, bytes(r.payload)) for i, r in got.items()} == {i: ("response", None, t.encode()) if top[t] == i else ("revisit", top[t], b"") for i, _, t in rows}
+
+
 def test_warc_frames_stand_alone():
     import io
 
     import zstandard
 
-    records = [warc.record(i, i, "http://x", f"<p>{'text ' * (i % 9)}{i}</p>".encode(), None) for i in range(500)]
+    payloads = [f"<p>{'text ' * (i % 9)}{i}</p>".encode() for i in range(500)]
+    records = [warc.record(i, i, "http://x", p, len(p), hashlib.sha1(p).digest()) for i, p in enumerate(payloads)]
     out = io.BytesIO()
     n, raw, size, d = warc.write_archive(out, iter(records))
     assert (n, raw, size) == (500, sum(map(len, records)), len(out.getvalue())) and d > 0
@@ -314,7 +356,7 @@ def test_mixing_tilts_exponentially(spark):
 
 
 def test_licenses(spark, docs):
-    mit, isc = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["ISC"]
+    mit, isc = licenses.TEXTS["MIT"], licenses.TEXTS["ISC"]
     commented = "\n".join(" * " + line.upper() for line in mit.split("\n"))
     filler = " ".join(f"filler{i} the of and" for i in range(3000))
     broken = mit.replace("sublicense", "lend").replace("merge", "join").replace("holders", "owners")
@@ -378,7 +420,7 @@ def test_ngram_join(docs, rows, k, t):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want.values())
 
 
-@pytest.mark.parametrize("cell", [3, 800])
+@pytest.mark.parametrize("cell", [3, 17, 800])
 def test_ngram_join_near_the_threshold(spark, tmp_path, cell, monkeypatch):
     """Many variants of one text around the threshold, small sets, and chains: every way a link can be found."""
     monkeypatch.setattr(ngram_join, "CELL", cell)
@@ -432,11 +474,13 @@ def test_cuckoo_filter():
     assert grown.log2 > 2 and grown.contains(keys[:100]).all()
 
 
-def test_cuckoo_index_inserts_and_deletes(spark):
-    def frame(pairs):
-        return spark.createDataFrame([(i, i, hashlib.sha256(t.encode()).digest()) for i, t in pairs], "doc_id long, rid long, digest binary")
+def digested(spark, pairs):
+    return spark.createDataFrame([(i, i, hashlib.sha256(t.encode()).digest()) for i, t in pairs], "doc_id long, rid long, digest binary")
+
 
-    index = exact_dedup.CuckooIndex(spark, 2)
+def test_cuckoo_index_inserts_and_deletes(spark):
+    frame = lambda pairs: digested(spark, pairs)
+    index = exact_dedup.CuckooIndex(spark, keys_per_part=16)
     index.insert(frame([(i, f"t{i % 40}") for i in range(100)]))
     index.insert(frame([(i, f"t{i % 40}") for i in range(100, 140)]))
     live = {(r.keep_id, r.n) for r in index.stored().collect()}
@@ -446,6 +490,34 @@ def test_cuckoo_index_inserts_and_deletes(spark):
     index.insert(frame([(500, "t3"), (501, "t20")]))
     assert {(r.keep_id, r.n) for r in index.stored().collect()} >= {(500, 1), (501, 4)}
     assert index.stats().agg(F.sum("hits")).first()[0] >= 40
+    index.destroy()
+
+
+def test_cuckoo_index_names_no_dead_row_and_holds_each_fingerprint_once(spark, tmp_path):
+    """Random insertions and deletions, by a session after another, against a plain dictionary; parts and filters grow."""
+    rng, folder, rows = np.random.default_rng(6), f"file://{tmp_path}/cuckoo", set()
+    for step in range(6):
+        index = exact_dedup.CuckooIndex(spark.newSession() if step % 2 else spark, folder, keys_per_part=40)
+        if step % 3 < 2:
+            new = {(int(i), f"t{int(i) % (50 + 60 * step)}") for i in range(200 * step, 200 * step + 200)}
+            index.insert(digested(index.spark, sorted(new)))
+            rows |= new
+        else:
+            best = {}
+            for i, t in rows:
+                best[t] = max(i, best.get(t, -1))
+            out = {(i, t) for t, i in best.items()} | {x for x in rows if rng.random() < 0.3}  # every live row, and others
+            index.remove(digested(index.spark, sorted(out) + [(10**6, "t1"), (5, "never seen")]))
+            rows -= out
+        want = defaultdict(list)
+        for i, t in rows:
+            want[hashlib.sha256(t.encode()).digest()].append(i)
+        assert {bytes(r.digest): (r.keep_id, r.n) for r in index.stored().collect()} == {d: (max(x), len(x)) for d, x in want.items()}
+        filters = [exact_dedup.CuckooFilter.load(r.filter) for r in index.state().where("digest is null").collect()]
+        assert sum(int((f.table != 0).sum()) for f in filters) == len(want)
+        assert index.rows().count() == len(rows)
+    assert index.parts > 4
+    index.destroy()
 
 
 def in_order(a, b):
@@ -460,7 +532,7 @@ def in_order(a, b):
 
 
 def test_licenses_wherever_they_begin_and_however_spread():
-    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.MIN_COVERAGE)
+    scanner = licenses.Scanner(licenses.TEXTS, licenses.NOTICES, licenses.MIN_COVERAGE)
 
     def scan(text):
         numbers = scanner.number(licenses.words_of(text))
@@ -473,7 +545,7 @@ def test_licenses_wherever_they_begin_and_however_spread():
             got = scan(f"{filler(start)} {text} {filler(40)}")[name]
             assert (got["coverage"], got["first"], got["last"]) == (1.0, start, start + n - 1), (name, start)
     for name in ("BSD-2-Clause", "MIT", "Apache-2.0 header"):
-        words = licenses.TEMPLATES[name].split()
+        words = licenses.TEXTS[name].replace("*", "").split()
         for start in range(0, 2 * len(words), 7):
             for gap, at in ((120, len(words) // 2), (3 * len(words), len(words) // 3)):
                 assert scan(f"{filler(start)} {' '.join(words[:at])} {filler(gap)} {' '.join(words[at:])} {filler(9)}")[name]["coverage"] == 1.0, (name, start, gap)
@@ -484,29 +556,87 @@ def test_licenses_match_as_much_as_the_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(300):
         b, text = rng.integers(0, 12, rng.integers(1, 30)).tolist(), rng.integers(-1, 14, rng.integers(0, 120)).tolist()
-        scanner = licenses.Scanner({"t": "x"}, 0.5)
+        scanner = licenses.Scanner({"t": "x"}, {}, 0.5)
         scanner.ids, scanner.need = [b], np.array([-(-len(b) // 2)])
         most, got = in_order([w for w in text if w >= 0], b), scanner.best(text, 0)
-        assert (got[0] if got else 0) == (most if most >= scanner.need[0] else 0)
+        assert len(got or []) == (most if most >= scanner.need[0] else 0)
         if got:
-            assert in_order(text[got[1] : got[2] + 1], b) == most and text[got[1]] in b and text[got[2]] in b
+            assert in_order([text[i] for i in got], b) == most and got == sorted(set(got))
         m = licenses.longest(text, b)
         assert len(m) == most and all(text[i] == b[j] for i, j in m) and all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(m))
 
 
-def test_common_licenses_and_reserved_rights(spark):
-    T = licenses.TEMPLATES
-    data = [(i, f"some words before {t} and after") for i, t in enumerate(T.values())]
-    tail = len(data)
-    data += [(tail, "(c) A Company. All\n * rights reserved."), (tail + 1, "all men have rights, and a table is reserved"), (tail + 2, "All rights reserved. " + T["BSD-2-Clause"].replace("BUSINESS", "TRADE"))]
+def scan_texts(texts):
+    scanner = licenses.Scanner(licenses.TEXTS, licenses.NOTICES, licenses.MIN_COVERAGE)
+    for text in texts:
+        numbers = scanner.number(licenses.words_of(text))
+        yield scanner.scan(numbers, np.flatnonzero(scanner.candidates(numbers, np.array([0, len(numbers)]))[0]))
+
+
+def test_every_template_is_told_from_its_look_alikes(spark):
+    """Each text and each notice, in prose, is found as itself and as nothing else."""
+    plain = {name: [text.replace("*", "")] for name, text in licenses.TEXTS.items()} | {name: [x.replace("~", gap) for x in all_ for gap in ("", "the terms of the")] for name, all_ in licenses.NOTICES.items()}
+    for name, texts in plain.items():
+        for text, found in zip(texts, scan_texts([f"some words before {x} and after" for x in texts]), strict=True):
+            assert [(f["license"], f["coverage"]) for f in found] == [(name, 1.0)], text
+
+
+def test_notices_that_name_another_license():
+    cases = {
+        "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0 notice"],
+        "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0 notice"],
+        "Licensed under CC BY-XX 4.0.": [],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0 notice"],
+        "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0 notice"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0 notice"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0 notice"],
+        "Released under the BSD License.": ["BSD notice"],
+        "Released under the ISC License.": ["ISC notice"],
+        "Released under the MIT License. All rights reserved.": ["MIT notice", licenses.RESERVED],
+        "Released under no license. The MIT people hold a license.": [],
+        "licensed, they said, under\n# the\n# MIT license": [],
+        "SPDX-License-Identifier: LGPL-2.1-or-later": ["LGPL-2.1 notice"],
+        "all men have rights, and a table is reserved": [],
+        "(c) A Company. All\n * rights reserved.": [licenses.RESERVED],
+    }
+    for text, found in zip(cases, scan_texts(cases), strict=True):
+        assert [f["license"] for f in found] == cases[text], text
+
+
+def test_headers_with_changes_keep_their_names():
+    t = {k: v.replace("*", "") for k, v in licenses.TEXTS.items()}
+    url = "if not, see <https://www.gnu.org/licenses/>."
+    gpl2 = t["GPL-2.0 header"].split("if not, write")[0] + url
+    cases = [
+        ("GPL-2.0 header", gpl2), ("LGPL-2.1 header", t["LGPL-2.1 header"].split("if not, write")[0] + url), ("LGPL-3.0 header", t["LGPL-3.0 header"].replace("useful", "of use")),
+        ("AGPL-3.0 header", t["AGPL-3.0 header"].replace("hope", "wish")), ("GPL-3.0 header", t["GPL-3.0 header"].replace("redistribute", "share")), ("BSD-2-Clause", t["BSD-2-Clause"].replace("BUSINESS", "TRADE")),
+        ("BSD-3-Clause", t["BSD-3-Clause"].replace("BUSINESS", "TRADE")), ("MIT", t["MIT"].replace("sublicense", "lend")),
+    ]
+    for (name, _), found in zip(cases, scan_texts([c for _, c in cases]), strict=True):
+        assert [f["license"] for f in found] == [name], name
+
+
+def test_anchors_are_a_longest_increasing_chain():
+    """Against the quadratic table, on words that occur once in both."""
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        a, b = rng.integers(0, 40, rng.integers(0, 50)).tolist(), rng.integers(0, 40, rng.integers(0, 50)).tolist()
+        once = [w for w in b if a.count(w) == 1 and b.count(w) == 1]
+        places, best = [a.index(w) for w in once], []
+        for k, i in enumerate(places):
+            best.append(1 + max((best[j] for j in range(k) if places[j] < i), default=0))
+        chain = licenses.anchors(a, b)
+        assert len(chain) == max(best, default=0)
+        assert all(a[i] == b[j] and a.count(a[i]) == b.count(a[i]) == 1 for i, j in chain) and all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(chain))
+
+
+def test_license_scan_ranks_and_spans(spark):
+    bsd = licenses.TEXTS["BSD-2-Clause"]
+    data = [(1, "(c) A Company. All\n * rights reserved."), (2, "All rights reserved. " + bsd.replace("BUSINESS", "TRADE")), (3, "Released under the MIT License. " + bsd)]
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    for i, name in enumerate(T):
-        assert (got[i].license, got[i].coverage) == (name, 1.0)
-    assert {"LGPL-2.1 header", "LGPL-3.0 header", "AGPL-3.0 header", "CC0-1.0 header", "Unlicense"} <= set(T)
-    reserved = "All rights reserved notice"
-    assert (got[tail].license, got[tail].found[0]["first"], got[tail].found[0]["last"]) == (reserved, 3, 5)
-    assert got[tail + 1].found == []
-    assert [f["license"] for f in got[tail + 2].found] == ["BSD-2-Clause", reserved]
+    assert (got[1].license, got[1].found[0]["first"], got[1].found[0]["last"]) == (licenses.RESERVED, 3, 5)
+    assert [f["license"] for f in got[2].found] == ["BSD-2-Clause", licenses.RESERVED] and got[2].coverage < 1
+    assert [f["license"] for f in got[3].found] == ["BSD-2-Clause", "MIT notice"] and (got[3].found[1]["first"], got[3].found[1]["last"]) == (0, 4)
 
 
 def test_mixing_and_packing_ignore_paths_and_splits(spark, tmp_path):
@@ -521,3 +651,23 @@ def test_mixing_and_packing_ignore_paths_and_splits(spark, tmp_path):
         out.append([Counter(map(tuple, df.collect())) for df in (plan, mixing.mix(docs), packing.pack(docs, capacity=64))])
     assert any(r[plan.columns.index("copies")] == 1 for r in out[0][0]) and any(r[plan.columns.index("copies")] == 2 for r in out[0][0])
     assert out[0] == out[1]
+
+
+def test_keep_first_tells_rows_of_one_id_apart(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(3, text("a")), (3, text("b")), (3, text("b")), (5, text("b") + " more"), (None, text("c")), (None, text("d")), (7, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(map(tuple, ngram_join.keep_first(docs, 5, Fraction(4, 5)).collect()))
+    assert kept == Counter([(3, text("a")), (3, text("b")), (None, text("c")), (None, text("d")), (7, None), (7, None)])
+
+
+def test_bitmap_holds_every_row_number(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rids = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 3000)]
+    rows = spark.createDataFrame([(r, "x") for r in rids], "rid long, text string")
+    ids = rows.limit(0).select("rid").unionByName(spark.createDataFrame([(r,) for r in rids[:300]], "rid long"))
+    left = {r.rid for r in common.may_be_in(rows, ids).collect()}
+    assert set(rids[:300]) <= left and len(left) < 600
+    monkeypatch.setattr(common, "BITMAP_BITS", 6)  # a full bitmap spares nothing and loses nothing
+    assert set(rids[:300]) <= {r.rid for r in common.may_be_in(rows, ids).collect()}
+    assert common.may_be_in(rows, ids.limit(0)).collect() == []

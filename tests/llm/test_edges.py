@@ -71,3 +71,75 @@ def test_pipeline_runs_on_clashing_and_odd_columns(spark, docs, odd_docs, tmp_pa
             out.write.parquet(path)
             frame = spark.read.parquet(path)
             assert {r.doc_id for r in frame.select("doc_id").collect()} <= kept
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_against_brute_force(spark, rows, tmp_path):
+    """Each stage's rows from its input alone, by plain Python; run() gives what the stages in turn give."""
+    from collections import Counter, defaultdict
+    from fractions import Fraction
+
+    import corpus_pipeline
+    from test_contracts import brute_components, library, repeat_mask, shingle_sets, words
+
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    now, frame, got = [(i, t, s) for i, t, s in rows], spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, frame, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        frame = spark.read.parquet(f"{tmp_path}/{name}")
+        got[name] = frame.collect()
+        if name == "best_fit_packing":
+            break
+        mine = [(r.doc_id, r.text, r.source) for r in got[name]]
+        if name == "quality_rules":
+            rules, want = quality.Rules(), []
+            for i, t, s in now:
+                w, lines = words(t), Counter(x for x in (t or "").split("\n") if words(x))
+                chars = max(1, sum(map(len, w)))
+                dup = sum((n - 1) * sum(map(len, words(x))) for x, n in lines.items())
+                bad = len(w) < 20 or 100 * len(repeat_mask(w, 8)) > 30 * len(w) or dup > rules.max_dup_line_chars * chars or sum(c in "#*$%&|<>" for c in t or "") > rules.max_symbol_chars * chars
+                if not bad and all(sum(len(w[p]) for p in repeat_mask(w, n)) <= limit * chars for n, limit in rules.ngram_limits):
+                    want.append((i, t, s))
+        elif name == "exact_dedup":
+            last = {}
+            for i, t, s in now:
+                last[t or ""] = max(last.get(t or "", (-1,)), (i, t, s))
+            want = list(last.values())
+        elif name == "ngram_jaccard_join":
+            component = brute_components(shingle_sets(now, 5), Fraction(4, 5))
+            want = [x for x in now if component[x[0]] == x[0]]
+        elif name == "source_mix":
+            size = Counter()
+            for _, t, s in now:
+                size[s] += len(words(t))
+            target = {t.source: t.target for t in mixing.targets(list(size.items()))}
+            taken, copies = Counter(), Counter(mine)
+            for (_, t, s), n in copies.items():
+                assert n <= 2
+                taken[s] += n * len(words(t))
+            longest = {s: max(len(words(t)) for _, t, x in now if x == s) for s in size}
+            assert all(abs(taken[s] - target[s]) <= longest[s] for s in size) and set(mine) <= set(now)
+            want = mine
+        assert Counter(mine) == Counter(want), name
+        now = want
+    lib, bins, pieces = library(), defaultdict(list), Counter()
+    for r in got["best_fit_packing"]:
+        bins[r.sequence_id].append((r.offset, r.length))
+        pieces[(r.doc_id, r.piece, r.start, r.length)] += 1
+    want = Counter()
+    for i, t, _ in now:
+        n, at, k = len(lib.encode(t, add_special_tokens=False).ids) + 1, 0, 0
+        while at < n:
+            size = n - at - 2048 * ((n - at - 1) // 2048)
+            want[(i, k, at, size)] += 1
+            at, k = at + size, k + 1
+    assert pieces == want
+    assert all(sum(n for _, n in b) <= 2048 and sorted(o for o, _ in b) == [sum(n for o, n in b if o < x) for x in sorted(o for o, _ in b)] for b in bins.values())
+    key = lambda rs: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rs)
+    assert key(corpus_pipeline.run(spark, str(tmp_path)).collect()) == key(got["best_fit_packing"])
