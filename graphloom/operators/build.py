@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +75,3 @@ def first_edge_per_pair(edges: DataFrame) -> DataFrame:
     """The first edge between two nodes, whatever its direction or relation."""
     pair = edges.withColumn("_a", F.least("source", "target")).withColumn("_b", F.greatest("source", "target"))
     return first_wins(pair, ["_a", "_b"], ["ord"]).drop("_a", "_b")
-
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -9,11 +9,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..extract.run import extract_project
-from ..operators.analytics import centrality, communities, stats
+from ..operators.analytics import centrality, communities, communities_parallel, stats
 from ..operators.build import adjacency, build, merge
 from ..operators.retrieve import BUDGET, MIN_SCORE, explain, format_result, query
 from ..report import VIZ_LIMIT, html_page, report, repository_map
-from ..sources.files import list_files, staleness
+from ..sources.files import MAX_BYTES, MAX_FILES, list_files, staleness
 from ..sources.graph_io import graph_exists, read_graph, write_graph
 
 OUT = "graph-out"
@@ -45,13 +45,16 @@ class Project:
         nodes, edges = read_graph(self.spark, self.graph)
         return nodes, edges, adjacency(edges)
 
-    def build(self, force: bool = False, directed: bool = False, no_viz: bool = False, no_report: bool = False, update: bool = False, dedup_edges: bool = False, complete: bool = False) -> Outcome:
-        """directed is kept in the details only: no operator depends on it."""
+    def build(self, force: bool = False, directed: bool = False, no_viz: bool = False, no_report: bool = False, update: bool = False, dedup_edges: bool = False, complete: bool = False, max_files: int | None = MAX_FILES, max_bytes: int | None = MAX_BYTES, parallel: bool = False) -> Outcome:
+        """directed is kept in the details only: no operator depends on it.
+
+        max_files and max_bytes are the compared limits; None lifts them. parallel finds communities by another operator, which scales.
+        """
         try:
             exists = graph_exists(self.spark, self.graph)
             if exists and not force and not update:
                 return Outcome("A graph is there already; pass force or update to build again.", {"skipped": True})
-            files, nodes, edges, counts = extract_project(self.spark, self.root, f"file://{self.out}/cache", force, complete)
+            files, nodes, edges, counts = extract_project(self.spark, self.root, f"file://{self.out}/cache", force, complete, max_files, max_bytes)
             n_files = files.count()
             if n_files == 0:
                 return Outcome("No code files were found.", {"files": 0})
@@ -61,7 +64,7 @@ class Project:
             else:
                 nodes, edges = build(nodes, edges)
             adj = adjacency(edges).persist()
-            nodes = communities(centrality(nodes, adj), adj)
+            nodes = (communities_parallel if parallel else communities)(centrality(nodes, adj), adj)
             write_graph(nodes, edges, self.graph)
             nodes, edges, adj = self.load()
             s = stats(nodes, edges).first()
@@ -73,7 +76,7 @@ class Project:
                     f.write(html_page(nodes, edges, adj))
             details = {"files": n_files, "nodes": s["node_count"], "edges": s["edge_count"], "communities": s["community_count"], "mode": "directed" if directed else "undirected", **counts}
             return Outcome("\n".join(["| Metric | Value |", "|---|---|", *(f"| {k} | {v} |" for k, v in details.items())]), details)
-        except FileNotFoundError as e:
+        except (FileNotFoundError, ValueError) as e:
             return Outcome(f"Build failed: {e}", {"error": str(e)}, True)
 
     def query(self, question: str, budget: int = BUDGET, min_score: float = MIN_SCORE, mode: str = "bfs") -> Outcome:

@@ -1,7 +1,7 @@
 """Listing source files and reading their bytes.
 
 Spark's file sources leave out names that begin with an underscore, so the listing is made on the driver and the
-bytes are read on executors, through pyarrow's file systems (any store that they reach).
+bytes are read on executors: from a folder that all of them see, or from a store by its URI through pyarrow's file systems.
 """
 
 from __future__ import annotations
@@ -57,25 +57,66 @@ def _walk(root: str) -> Iterator[tuple[str, os.stat_result]]:
     yield from visit(root)
 
 
-def list_files(spark: SparkSession, root: str, max_files: int = MAX_FILES) -> DataFrame:
-    """files: the first max_files code files below root by path (the cap counts after sorting, so it is deterministic)."""
+def _is_uri(root: str) -> bool:
+    return "://" in root
+
+
+def _listed(root: str) -> Iterator[tuple[str, int, float]]:
+    """(path below root, size, seconds of last change) of all files that are not ignored: a local folder, or a store by its URI."""
+    if _is_uri(root):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        if store.get_file_info(base).type == fs.FileType.NotFound:
+            raise FileNotFoundError(f"Path does not exist: {root}")
+        for x in store.get_file_info(fs.FileSelector(base, recursive=True)):
+            path = x.path[len(base.rstrip("/")) + 1 :]
+            if x.is_file and not any(p in IGNORED or p.startswith(".") for p in path.split("/")):
+                yield path, x.size, (x.mtime_ns or 0) / 1e9
+        return
     root = os.path.abspath(root)
     if not os.path.exists(root):
         raise FileNotFoundError(f"Path does not exist: {root}")
-    rows = []
     for full, st in _walk(root):
-        name = os.path.basename(full)
+        yield os.path.relpath(full, root).replace(os.sep, "/"), st.st_size, st.st_mtime
+
+
+def _reader(root: str):
+    """A function from a path below root to its bytes, for use on executors."""
+    if not _is_uri(root):
+        root = os.path.abspath(root)
+
+        def local(path: str) -> bytes:
+            with open(os.path.join(root, path), "rb") as f:
+                return f.read()
+
+        return local
+
+    def remote(path: str) -> bytes:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        with store.open_input_stream(f"{base.rstrip('/')}/{path}", compression=None) as f:
+            return f.read()
+
+    return remote
+
+
+def list_files(spark: SparkSession, root: str, max_files: int | None = MAX_FILES) -> DataFrame:
+    """files: the first max_files code files below root by path, or all (the cap counts after sorting, so it is deterministic)."""
+    rows = []
+    for path, size, mtime in _listed(root):
+        name = path.rsplit("/", 1)[-1]
         ext = name[name.rindex(".") :] if "." in name else ""
         if ext in LANGUAGES:
-            rows.append((os.path.relpath(full, root).replace(os.sep, "/"), ext, LANGUAGES[ext], st.st_size, st.st_mtime * 1000))
+            rows.append((path, ext, LANGUAGES[ext], size, mtime * 1000))
     rows.sort(key=lambda r: r[0].encode("utf-16-be"))
     return spark.createDataFrame([(i, *r, None) for i, r in enumerate(rows[:max_files])], FILES)
 
 
 def all_paths(spark: SparkSession, root: str) -> DataFrame:
     """Every file below root (path), detected or not: what imports may refer to."""
-    root = os.path.abspath(root)
-    return spark.createDataFrame([(os.path.relpath(f, root).replace(os.sep, "/"),) for f, _ in _walk(root)], "path string")
+    return spark.createDataFrame([(path,) for path, _, _ in _listed(root)], "path string")
 
 
 def by_extension(files: DataFrame) -> DataFrame:
@@ -87,21 +128,20 @@ def content_hash(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
 
-def read_contents(files: DataFrame, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """files with hash and content; content is null for files that are too large or can't be read."""
-    root = os.path.abspath(root)
+def read_contents(files: DataFrame, root: str, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """files with hash and content; content is null for files that are too large (None: no limit) or can't be read."""
+    read = _reader(root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             hashes, contents = [], []
             for path in pdf["path"]:
                 try:
-                    with open(os.path.join(root, path), "rb") as f:
-                        raw = f.read()
+                    raw = read(path)
                 except OSError:
                     raw = None
                 hashes.append(None if raw is None else hashlib.sha256(raw).hexdigest()[:16])
-                contents.append(None if raw is None or len(raw) > max_bytes else raw.decode("utf-8", "replace"))
+                contents.append(None if raw is None or (max_bytes is not None and len(raw) > max_bytes) else raw.decode("utf-8", "replace"))
             yield pdf.assign(hash=hashes, content=contents)[[*FILES.names, "content"]]
 
     parts = max(1, min(files.sparkSession.sparkContext.defaultParallelism * 4, files.count() // 16 + 1))

@@ -82,23 +82,29 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Absent or unreadable: empty."""
-    try:
-        out = spark.read.schema(CACHE).parquet(path)
-        out.limit(1).collect()
-        return out
-    except Exception as e:  # noqa: BLE001  whatever a broken cache raises, it is rebuilt
-        if isinstance(e, AnalysisException) or "Parquet" in str(e) or "FileNotFound" in str(e) or "parquet" in str(e):
-            return spark.createDataFrame([], CACHE)
-        raise
+    """Absent or unreadable: empty. Where a write was cut short, the cache before it."""
+    for at in (path, f"{path}.old"):
+        try:
+            out = spark.read.schema(CACHE).parquet(at)
+            out.limit(1).collect()
+            return out
+        except Exception as e:  # noqa: BLE001  whatever a broken cache raises, it is rebuilt
+            if not (isinstance(e, AnalysisException) or "Parquet" in str(e) or "FileNotFound" in str(e) or "parquet" in str(e)):
+                raise
+    return spark.createDataFrame([], CACHE)
 
 
 def write_cache(cache: DataFrame, path: str) -> None:
-    """Through a temporary folder, since the new cache is computed from the old one."""
+    """Beside the old one, which the new cache is computed from, then in its place; one of the two is whole at any time."""
     spark = cache.sparkSession
     cache.write.mode("overwrite").parquet(f"{path}.new")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, to = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
+    new, old, to = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path}.new", f"{path}.old", path))
     fs = to.getFileSystem(conf)
-    fs.delete(to, True)
-    fs.rename(new, to)
+    if fs.exists(to):
+        fs.delete(old, True)
+        if not fs.rename(to, old):
+            raise OSError(f"can't move the cache {path}")
+    if not fs.rename(new, to):
+        raise OSError(f"can't write the cache {path}")
+    fs.delete(old, True)
