@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,11 +28,23 @@ def node_text(label: str = "label", description: str = "description", kind: str
     return F.concat(F.col(label), F.lit(" "), F.coalesce(F.col(description), F.lit("")), F.lit(" "), F.col(kind))
 
 
+#: Thousandths that end in 5 and whose binary value lies at or above the tie.
+_TIES_UP = [k for k in range(5, 1000, 10) if Fraction(k / 1000) >= Fraction(k, 1000)]
+
+
+def two_decimals(x: Column) -> Column:
+    """A value from 0 to 1 with at most three decimals, written with two: the nearest to its binary value, ties up."""
+    k = F.round(x * 1000).cast("int")
+    up = (k % 10 > 5) | k.isin(_TIES_UP)
+    n = F.floor(k / 10).cast("int") + up.cast("int")
+    return F.format_string("%d.%02d", F.floor(n / 100).cast("int"), n % 100)
+
+
 def node_display(with_description: bool) -> Column:
     """The lines of one node; its score is shown only with a location."""
     location, description = F.col("source_location"), F.col("description")
     located, described = F.coalesce(location, F.lit("")) != "", F.coalesce(description, F.lit("")) != ""
-    parts = [F.lit("### "), F.col("label"), F.lit(" ("), F.col("type"), F.lit(")"), F.when(located, F.format_string(" · score: %.2f", F.coalesce("centrality", F.lit(0.0)))).otherwise("")]
+    parts = [F.lit("### "), F.col("label"), F.lit(" ("), F.col("type"), F.lit(")"), F.when(located, F.concat(F.lit(" · score: "), two_decimals(F.coalesce("centrality", F.lit(0.0))))).otherwise("")]
     if with_description:
         parts.append(F.when(described, F.concat(F.lit("\n"), description)).otherwise(""))
     parts += [F.lit("\n→ File: "), F.col("source_file"), F.when(located, F.concat(F.lit(" "), location)).otherwise("")]

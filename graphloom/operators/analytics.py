@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import round3
-from .build import first_wins, last_wins, outgoing, top_per_group
+from .build import last_wins, outgoing, top_per_group
 
 ALPHA, EPSILON, MAX_ITERATIONS, MAX_SWEEPS = 0.85, 1e-6, 100, 50
 #: Adjacency rows up to which one grouped task iterates in memory; larger graphs iterate by joins.
 LOCAL_ROWS = 2_000_000
+#: Decimals of a rank that order rows: beyond them it depends on the order of a sum, and ord decides.
+RANK_DECIMALS = 12
+#: Adjacency rows up to which communities are found exactly, in one task.
+EXACT_ROWS = 20_000_000
 
 
 def degrees(nodes: DataFrame, adj: DataFrame) -> DataFrame:
@@ -43,9 +47,9 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 
 
 def _weighted(links: DataFrame) -> DataFrame:
-    """Links with their source's degree, dealt by source once and kept, so that iterations move ranks only."""
-    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return links.repartition(parts, "src").withColumn("deg", F.count(F.lit(1)).over(Window.partitionBy("src"))).persist()
+    """Links with their source's degree, kept, so that iterations move ranks only. Degrees sum map side; a hub is split where the join is skewed."""
+    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    return links.join(degree, "src").persist()
 
 
 def pagerank_iterations(ids: DataFrame, links: DataFrame, iterations: int, alpha: float = ALPHA) -> DataFrame:
@@ -149,9 +153,13 @@ def _communities_group(pdf: pd.DataFrame) -> pd.DataFrame:
 def communities(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """nodes with communities, exactly: sequential by definition, so one task holds the adjacency.
 
-    Without edges the communities stay null. communities_parallel() is another operator, for graphs beyond one task.
+    Without edges the communities stay null. A graph of more than EXACT_ROWS adjacency rows is refused: communities_parallel() is
+    another operator, for graphs beyond one task.
     """
-    if adj.isEmpty():
+    size = adj.count()
+    if size > EXACT_ROWS:
+        raise ValueError(f"{size} adjacency rows are too many for one task; use communities_parallel()")
+    if size == 0:
         return nodes
     rows = nodes.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("ord").alias("nbr_ord")).unionByName(adj.select("src", "dst", "nbr_ord"))
     found = rows.groupBy(F.lit(0).alias("one")).applyInPandas(_communities_group, "id string, community int")
@@ -191,10 +199,10 @@ def top_symbols(nodes: DataFrame, n: int = 6) -> DataFrame:
 
 
 def file_ranking(nodes: DataFrame, edges: DataFrame, limit: int = 40) -> DataFrame:
-    """(ord, file, score, symbols) of the best files by PageRank over imports."""
+    """(ord, file, exact, score, symbols) of the best files by PageRank over imports; exact is what orders them."""
     files = nodes.where("type = 'file'")
     ranks = pagerank(files.select("id"), import_links(nodes, edges))
-    best = files.join(ranks, "id").orderBy(F.desc("rank"), "ord").limit(limit)
+    best = files.join(ranks, "id").withColumn("rank", F.round("rank", RANK_DECIMALS)).orderBy(F.desc("rank"), "ord").limit(limit)
     none = F.array().cast("array<struct<label:string,type:string,centrality:double>>")
     return best.join(top_symbols(nodes), "source_file", "left").select("ord", F.coalesce("source_file", "label").alias("file"), F.col("rank").alias("exact"), round3(F.col("rank")).alias("score"), F.coalesce("symbols", none).alias("symbols"))
 
@@ -235,8 +243,4 @@ def surprises(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return cross.select("ord", F.col("sl").alias("source"), F.col("tl").alias("target"), "relation", reason.alias("reason"))
 
 
-def dedup_sources(nodes: DataFrame) -> DataFrame:
-    return first_wins(nodes, ["id"], ["ord"])
-
-
 __all__ = ["centrality", "communities", "degrees", "file_ranking", "outgoing", "pagerank", "stats", "surprises", "top_nodes"]

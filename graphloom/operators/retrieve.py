@@ -26,8 +26,9 @@ def tokens_of(text: str) -> list[str]:
 
 @dataclass
 class TextIndex:
-    """Question-independent statistics, built once: terms (ord, term, tf), idf (term, df, idf), norms (ord, norm), texts (ord, id, joined)."""
+    """Question-independent statistics, built once: tokens (ord, id, tokens), terms (ord, term, tf), idf (term, df, idf), norms (ord, norm), texts (ord, id, joined)."""
 
+    tokens: DataFrame
     terms: DataFrame
     idf: DataFrame
     norms: DataFrame
@@ -43,11 +44,11 @@ class TextIndex:
         n = texts.agg(F.count(F.lit(1)).alias("n_docs"))
         idf = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")).persist(keep)  # one row
         norms = terms.join(idf, "term").groupBy("ord").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
-        return cls(terms, idf, norms, texts.select("ord", "id", F.concat_ws(" ", "tokens").alias("joined")))
+        return cls(texts, terms, idf, norms, texts.select("ord", "id", F.concat_ws(" ", "tokens").alias("joined")))
 
     def close(self) -> None:
         """Give up what is kept."""
-        for frame in (self.terms, self.idf):
+        for frame in (self.tokens, self.terms, self.idf):
             frame.unpersist()
 
     def scores(self, question: str) -> DataFrame:
@@ -102,14 +103,17 @@ def pack(sequence: DataFrame, costs: DataFrame, start: int, budget: int, first:
 
     The fold runs on the best rows first; while neither the budget is met nor the sequence exhausted, over more of them.
     """
-    rows = sequence.join(costs, "id").where(F.col("cost") <= budget * 0.95)
-    while True:
-        best = rows.orderBy("place").limit(first)
-        items = best.agg(F.array_sort(F.collect_list(F.struct("place", F.col("id").alias("key"), "cost"))).alias("items"))
-        r = items.select(F.size("items").alias("n"), F.expr(pack_expression("items", str(start), str(budget))).alias("s")).first()
-        if r["n"] < first or r["s"]["used"] >= budget * 0.9:
-            return int(r["s"]["used"]), list(r["s"]["taken"])
-        first *= 4
+    rows = sequence.join(costs, "id").where(F.col("cost") <= budget * 0.95).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        while True:
+            best = rows.orderBy("place").limit(first)
+            items = best.agg(F.array_sort(F.collect_list(F.struct("place", F.col("id").alias("key"), "cost"))).alias("items"))
+            r = items.select(F.size("items").alias("n"), F.expr(pack_expression("items", str(start), str(budget))).alias("s")).first()
+            if r["n"] < first or r["s"]["used"] >= budget * 0.9:
+                return int(r["s"]["used"]), list(r["s"]["taken"])
+            first *= 4
+    finally:
+        rows.unpersist()
 
 
 @dataclass
@@ -127,35 +131,44 @@ class Result:
         return spark.createDataFrame([(self.question, self.mode, self.tokens_used, self.budget, self.coverage)], "question string, mode string, tokens_used int, budget int, coverage double")
 
 
+#: Fan-out and depth of the walk, and the most nodes that it can visit.
+FAN, DEPTH = 3, 5
+WALK = sum(FAN**k for k in range(DEPTH + 1))
+
+
 def _dfs(adj: DataFrame, scores: DataFrame, costs: DataFrame, start: str, used: int, budget: int) -> tuple[int, list[str]]:
-    """From the best node: up to five steps deep, three best unvisited neighbours each; at most 364 look-ups."""
+    """From the best node: up to five steps deep, three best unvisited neighbours each.
+
+    At most WALK nodes are visited, so a node's WALK + FAN best neighbours hold its best unvisited ones. They are fetched for many nodes in
+    one job: for the one that the walk has reached, and for those that it is about to reach.
+    """
     chosen: list[str] = []
     visited: set[str] = set()
-    # one row a link with all that a step looks at, kept for the look-ups of the walk
     near = adj.join(scores, F.col("dst") == F.col("id"), "left").join(costs.select(F.col("id").alias("cid"), "cost"), F.col("dst") == F.col("cid"))
     near = near.select("src", "dst", "nbr_ord", F.coalesce("score", F.lit(0.0)).alias("score"), "cost").persist()
-    known = {start: costs.where(F.col("id") == start).first()["cost"]}
-
-    def cost(v: str) -> int:
-        return known[v]
+    cost = {start: costs.where(F.col("id") == start).first()["cost"]}
+    best: dict[str, list[str]] = {}
 
     def neighbours(v: str) -> list[str]:
-        rows = near.where((F.col("src") == v) & ~F.col("dst").isin(list(visited)))
-        best = rows.orderBy(F.desc("score"), "nbr_ord").limit(3).collect()
-        known.update((r["dst"], r["cost"]) for r in best)
-        return [r["dst"] for r in best]
+        if v not in best:
+            soon = [u for found in best.values() for u in [x for x in found if x not in visited][: 2 * FAN] if u not in best]
+            wanted = [v, *list(dict.fromkeys(soon))[:WALK]]
+            top = top_per_group(near.where(F.col("src").isin(wanted)), ["src"], [F.desc("score"), F.asc("nbr_ord")], WALK + FAN)
+            best.update((u, []) for u in wanted)
+            for r in top.orderBy("src", F.desc("score"), "nbr_ord").collect():
+                best[r["src"]].append(r["dst"])
+                cost[r["dst"]] = r["cost"]
+        return [u for u in best[v] if u not in visited][:FAN]
 
     def visit(v: str, depth: int) -> None:
         nonlocal used
-        if depth > 5 or used >= budget * 0.9:
+        if depth > DEPTH or used >= budget * 0.9:
             return
         visited.add(v)
-        if v not in chosen:
-            c = cost(v)
-            if used + c <= budget * 0.95:
-                chosen.append(v)
-                used += c
-        for u in neighbours(v):
+        if used + cost[v] <= budget * 0.95:
+            chosen.append(v)
+            used += cost[v]
+        for u in neighbours(v) if depth < DEPTH and used < budget * 0.9 else ():
             if u not in visited:
                 visit(u, depth + 1)
 
@@ -173,7 +186,8 @@ def query(nodes: DataFrame, edges: DataFrame, adj: DataFrame, question: str, bud
     none = nodes.limit(0)
     if total == 0:
         return Result(question, mode, none, edges.limit(0), 0, budget, 0.0)
-    index = index or TextIndex.build(nodes)
+    own = None if index else TextIndex.build(nodes)
+    index = index or own
     ranked = index.scores(question).where(F.col("score") >= min_score)
     costs = nodes.select("id", node_cost().alias("cost"))
     used = header_cost(question, budget)
@@ -182,6 +196,8 @@ def query(nodes: DataFrame, edges: DataFrame, adj: DataFrame, question: str, bud
     else:
         best = ranked.orderBy(F.desc("score"), "ord").first()
         used, ids = (used, []) if best is None else _dfs(adj, ranked.select("id", "score"), costs, best["id"], used, budget)
+    if own:
+        own.close()  # what follows reads the graph only
     chosen = spark.createDataFrame([(v, i) for i, v in enumerate(ids)], "id string, pos int")  # bounded by the budget
     found = nodes.join(F.broadcast(chosen), "id").orderBy("pos")
     among = first_edge_per_pair(induced(edges, chosen.select("id"))).orderBy("ord")

@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import extension, node_cost, node_id, one_line, token_cost, tokenize
+from ..functions.text import escape_html, extension, node_cost, node_display, node_id, one_line, plural_title, token_cost, tokenize
 from ..operators import analytics as an
 from ..operators import build as gb
 from ..operators import retrieve as rt
-from ..report import map_lines, viz_legend, viz_nodes
-from ..sources.files import content_hash, staleness
+from ..report import connected_table, map_lines, viz_edges, viz_legend, viz_nodes
+from ..sources.files import by_extension, content_hash, staleness
 from . import star
 
 QUESTION, ASK_BUDGET = "red widget and steel ring of Supplier", 1200
@@ -82,6 +82,20 @@ def dangling_filter(spark, d):
     return gb.drop_dangling(edges, kept).select("source", "target", "relation")
 
 
+@register(f"""with {NODES_SQL}, again as (select ord + 9000000000000 as ord, id, 'new ' || label as label from nodes where type = 'supplier' or (type = 'part' and ord % 3 = 0)),
+ every as (select ord, id, label from nodes where type <> 'customer' union all from again) select min(ord) as ord, id, arg_max(label, ord) as label from every group by id""")
+def build_nodes(spark, d):
+    nodes, edges, _ = graph(spark, d)
+    again = nodes.where("type = 'supplier' or (type = 'part' and ord % 3 = 0)").withColumn("ord", F.col("ord") + 9 * star.STEP).withColumn("label", F.concat(F.lit("new "), "label"))
+    return gb.build(nodes.where("type <> 'customer'").unionByName(again), edges)[0].select("ord", "id", "label")
+
+
+@register(f"with {NODES_SQL}, {EDGES_SQL} select relation, count(*) as n from edges where source in (select id from nodes where type <> 'customer') and target in (select id from nodes where type <> 'customer') group by 1")
+def build_edges(spark, d):
+    nodes, edges, _ = graph(spark, d)
+    return gb.build(nodes.where("type <> 'customer'"), edges)[1].groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(f"with {EDGES_SQL}, {ADJ_SQL} select src, dst, nbr_ord from adj")
 def adjacency(spark, d):
     return gb.adjacency(star.star_edges(spark, d))
@@ -149,10 +163,10 @@ def induced_subgraph(spark, d):
     return gb.induced(edges, nodes.where("type in ('supplier', 'part') or source_file = 'nation_1'")).select("source", "target", "relation")
 
 
-@register("""with recursive e as (select 'region_' || n_regionkey as a, 'nation_' || n_nationkey as b from nation union all select 'nation_' || c_nationkey, 'customer_' || c_custkey from customer),
+@register("""with recursive e as (select 'region_' || n_regionkey as a, 'nation_' || n_nationkey as b from nation union all select 'nation_' || c_nationkey, 'customer_' || c_custkey from customer union all select 'nation_' || s_nationkey, 'supplier_' || s_suppkey from supplier),
 r as (select a as start, b as node, 1 as hops from e union select r.start, e.b, r.hops + 1 from r join e on e.a = r.node where r.hops < 2) select start, node, min(hops) as hops from r group by 1, 2""")
 def neighbourhood_2hop(spark, d):
-    e = star.contains_edges(spark, d).where("target not like 'supplier%'").select("source", "target")
+    e = star.contains_edges(spark, d).select("source", "target")
     far = e.alias("x").join(e.alias("y"), F.col("x.target") == F.col("y.source")).select(F.col("x.source").alias("start"), F.col("y.target").alias("node"), F.lit(2).alias("hops"))
     near = e.select(F.col("source").alias("start"), F.col("target").alias("node"), F.lit(1).alias("hops"))
     return near.unionByName(far).groupBy("start", "node").agg(F.min("hops").alias("hops"))
@@ -197,11 +211,20 @@ def import_links(spark, d):
 @register(f"with recursive {_FLOW_SQL}, " + _pagerank_sql("select 'nation_' || n_nationkey as id from nation", "select 'nation_' || a as src, 'nation_' || b as dst from top5", 100) + """,
  change as (select y.k, sum(abs(x.rank - y.rank)) as diff from pr x join pr y on x.id = y.id and y.k = x.k + 1 group by 1),
  stop as (select coalesce(min(k), 100) as k from change, n where diff < n * 1e-6)
- select n_name as file, round(rank, 3) as score from pr join stop using (k) join nation on id = 'nation_' || n_nationkey order by rank desc, n_nationkey limit 40""")
+ select n_name as file, round(rank, 3) as score from pr join stop using (k) join nation on id = 'nation_' || n_nationkey order by round(rank, 12) desc, n_nationkey limit 40""")
 def file_rank(spark, d):
     return an.file_ranking(*import_graph(spark, d), 40).select("file", F.round("score", 3).alias("score"))
 
 
+@register(f"with recursive {_FLOW_SQL}, " + _pagerank_sql("select 'nation_' || n_nationkey as id from nation", "select distinct 'nation_' || a as src, 'nation_' || b as dst from (select a, b from top5 union select b, a from top5)", 100) + """,
+ change as (select y.k, sum(abs(x.rank - y.rank)) as diff from pr x join pr y on x.id = y.id and y.k = x.k + 1 group by 1),
+ stop as (select coalesce(min(k), 100) as k from change, n where diff < n * 1e-6)
+ select id, floor(rank * 1000 + 0.5) / 1000 as centrality from pr join stop using (k)""")
+def centrality(spark, d):
+    nodes, edges = import_graph(spark, d)
+    return an.centrality(nodes.where("type = 'file'"), gb.adjacency(edges)).select("id", "centrality")
+
+
 @register("""with c as (select n_name as source_file, c_name as label, c_acctbal / 10000 as centrality, row_number() over (partition by n_name order by c_acctbal / 10000 desc, c_custkey) as rn from customer join nation on c_nationkey = n_nationkey)
 select source_file, string_agg(label, ', ' order by rn) as symbols, round(max(centrality), 6) as best from c where rn <= 6 group by 1""")
 def top_symbols(spark, d):
@@ -214,24 +237,55 @@ def top_symbols(spark, d):
  stop as (select coalesce(min(k), 100) as k from change, n where diff < n * 1e-6),
  sym as (select n_name as file, c_name as label, row_number() over (partition by n_name order by c_acctbal / 10000 desc, c_custkey) as rn from customer join nation on c_nationkey = n_nationkey qualify rn <= 6),
  line as (select n_nationkey, rank, n_name || coalesce(' — ' || string_agg(label, ', ' order by rn), '') as line from pr join stop using (k) join nation on id = 'nation_' || n_nationkey left join sym on file = n_name group by 1, 2, n_name),
- cost as (select *, ceil(length(line) / 4)::int as cost from line), used as (select *, sum(cost) over (order by rank desc, n_nationkey) as used from cost)
+ cost as (select *, ceil(length(line) / 4)::int as cost from line), used as (select *, sum(cost) over (order by round(rank, 12) desc, n_nationkey) as used from cost)
  select line, cost, used::bigint as used from used where used <= 1500""")
 def repository_map(spark, d):
     return map_lines(an.file_ranking(*import_graph(spark, d), 50)).select("line", "cost", "used")
 
 
+#: What a nation's file is called here: some names are ones that a map leaves out.
+PLACES = ("tests/{}", "src/{}", "src/{}.test.x", "src/{}", "package.json/{}", "src/{}", "src/{}.config.x")
+
+
+@register(r"""with n as (select n_nationkey, ['tests/', 'src/', 'src/', 'src/', 'package.json/', 'src/', 'src/'][n_nationkey % 7 + 1] || n_name || ['', '', '.test.x', '', '', '', '.config.x'][n_nationkey % 7 + 1] as file from nation),
+ l as (select n_nationkey, file, ceil(length(file) / 4)::int as cost from n where not regexp_matches(file, '^tests?/|\.test\.|package\.json|\.config\.')), u as (select *, sum(cost) over (order by n_nationkey) as used from l)
+select file as line, cost, used::bigint as used from u where used <= 40""")
+def map_skips(spark, d):
+    name = F.element_at(F.array(*[F.lit(p) for p in PLACES]), F.col("n_nationkey") % 7 + 1)
+    none = F.array().cast("array<struct<label:string,type:string,centrality:double>>")
+    ranking = star.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("ord"), F.replace(name, F.lit("{}"), F.col("n_name")).alias("file"), F.lit(0.5).alias("exact"), none.alias("symbols"))
+    return map_lines(ranking, 40).select("line", "cost", "used")
+
+
 @register()
 def communities(spark, d):
     nodes, edges = star.star_nodes(spark, d), star.star_edges(spark, d)
     return an.communities(nodes, gb.adjacency(edges)).select("id", "community")
 
 
-@register(f"""with recursive {NODES_SQL}, {CONTAINS_SQL}, adjacent as (select source as src, target as dst from contained union select target, source from contained union select id, id from nodes where type <> 'part'),
- lab as (select 0 as k, id, ord as label from nodes where type <> 'part'
+#: A row a node looked at: the labels of all, whether one moved in this sweep, and the sweep; the vote goes to the label met most, then first.
+@register(f"""with recursive {_FLOW_SQL}, e as (select a * 100 + b as ord, a, b from top5),
+ adj as (select src, dst, min(o) as o from (select a as src, b as dst, 2 * ord as o from e union all select b, a, 2 * ord + 1 from e) group by all),
+ n as (select row_number() over (order by n_nationkey) - 1 as i, n_nationkey as k, (select count(*) from nation) as n from nation),
+ met as (select n.i, list(m.i order by adj.o) as us from n join adj on adj.src = n.k join n m on m.k = adj.dst group by 1),
+ near as (select n.i, n.n, coalesce(us, []) as us from n left join met on met.i = n.i),
+ run as (select 0 as step, 0 as sweep, false as moved, true as was, (select list(i order by i) from n) as labels
+  union all select step + 1, case when last then sweep + 1 else sweep end, not last and (moved or best is not null), case when last then moved or best is not null else was end, case when best is null then labels else list_concat(list_append(labels[1:i], best), labels[i + 2:n]) end
+  from (select *, list_max(list_filter(list_transform(range(1, len(ls) + 1), lambda p: {{'votes': len(list_filter(ls, lambda x: x = ls[p])), 'place': -p, 'label': ls[p]}}), lambda x: x.label <> labels[i + 1])).label as best
+   from (select run.*, i, n, i = n - 1 as last, list_transform(us, lambda u: labels[u + 1]) as ls from run join near on i = step % n where sweep < 50 and (i > 0 or step = 0 or was))) ),
+ done as (select labels from run order by step desc limit 1)
+select 'nation_' || k as id, labels[i + 1]::int as community from n, done""")
+def communities_imports(spark, d):
+    nodes, edges = import_graph(spark, d)
+    return an.communities(nodes.where("type = 'file'"), gb.adjacency(edges)).select("id", "community")
+
+
+@register(f"""with recursive {NODES_SQL}, {CONTAINS_SQL}, adjacent as (select source as src, target as dst from contained union select target, source from contained union select id, id from nodes),
+ lab as (select 0 as k, id, ord as label from nodes
   union all select k + 1, src, label from (select k, src, label, row_number() over (partition by k, src order by votes desc, label) as rn from (select lab.k, a.src, lab.label, count(*) as votes from adjacent a join lab on lab.id = a.dst where lab.k < 4 group by all)) where rn = 1)
 select id, label as community from lab where k = 4""")
 def communities_parallel(spark, d):
-    nodes = star.star_nodes(spark, d, ("region", "nation", "customer", "supplier"))
+    nodes = star.star_nodes(spark, d)
     return an.communities_parallel(nodes, gb.adjacency(star.contains_edges(spark, d)), rounds=4).select("id", "community")
 
 
@@ -328,10 +382,12 @@ def budget_pack(spark, d):
     return folded.select("conv_id", "s.used", F.array_join(F.col("s.taken").cast("array<string>"), ",").alias("taken"))
 
 
-_QUERY_SQL = f"""{GRAPH_SQL}, t as (select ord, {TOKENS_SQL.format("label || '  ' || type")} as k from nodes), docs as (select * from t where len(k) > 0),
+_RANKED_SQL = f"""{GRAPH_SQL}, t as (select ord, {TOKENS_SQL.format("label || '  ' || type")} as k from nodes), docs as (select * from t where len(k) > 0),
  tf as (select ord, term, count(*) as tf from (select ord, unnest(k) as term from docs) group by all), df as (select term, count(*) as df from tf group by 1),
  idf as (select term, df, ln(((select count(*) from docs) + 1) / (df + 1)) + 1 as idf from df), norms as (select ord, sqrt(sum((tf * idf) ** 2)) as norm from tf join idf using (term) group by 1), {_scores_sql(QUESTION)},
- ranked as (select n.id, n.ord, score from scores join nodes n using (ord) where score >= 0.15),
+ ranked as (select n.id, n.ord, score from scores join nodes n using (ord) where score >= 0.15)"""
+_NODE_COST_SQL = "ceil((length('### ' || label || ' (' || type || ')' || chr(10) || '→ File: ' || source_file) + 2) / 4)::double"
+_QUERY_SQL = f"""{_RANKED_SQL},
  offers as (select id, -score as k1, ord as k2, 0 as k3, 0::bigint as k4 from ranked union all select r2.id, -r.score, r.ord, 1, nbr_ord from ranked r join adj on r.id = src join ranked r2 on r2.id = dst where r2.score >= 0.075),
  place as (select id, min({{'k1': k1, 'k2': k2, 'k3': k3, 'k4': k4}}) as p from offers group by 1),
  seq as (select list({{'used': 0.0::double, 'taken': []::varchar[], 'id': id, 'cost': ceil((length('### ' || label || ' (' || type || ')' || chr(10) || '→ File: ' || source_file) + 2) / 4)::double}} order by p) as items from place join nodes using (id)),
@@ -356,7 +412,20 @@ def query_bfs_edges(spark, d):
     return _asked(spark, d).edges.select("source", "target", "relation")
 
 
-@register()
+#: The walk as a stack machine: a row a step; a popped node is passed over if it was visited, lies too deep, or the budget is met.
+_DFS_SQL = f"""with recursive {_RANKED_SQL}, costs as (select id, {_NODE_COST_SQL} as cost from nodes),
+ near as (select src, list(dst order by coalesce(score, 0) desc, nbr_ord) as best from adj left join ranked on id = dst group by 1),
+ walk as (select 0 as step, [id] as ids, [0] as depths, []::varchar[] as seen, []::varchar[] as chosen, {rt.header_cost(QUESTION, ASK_BUDGET)}.0::double as used from (from ranked order by score desc, ord limit 1)
+  union all select step + 1, case when go then list_concat(rest, list_reverse(fan)) else rest end, case when go then list_concat(below, list_transform(fan, lambda x: depth + 1)) else below end,
+   case when go then list_append(seen, top) else seen end, case when go and used + cost <= {ASK_BUDGET * 0.95} then list_append(chosen, top) else chosen end, case when go and used + cost <= {ASK_BUDGET * 0.95} then used + cost else used end
+  from (select *, list_filter(coalesce(best, []), lambda x: x <> top and not list_contains(seen, x))[1:3] as fan, depth <= 5 and used < {ASK_BUDGET * 0.9} and not list_contains(seen, top) as go
+   from (select step, seen, chosen, used, ids[1:len(ids) - 1] as rest, depths[1:len(ids) - 1] as below, ids[len(ids)] as top, depths[len(ids)] as depth from walk where len(ids) > 0)
+   join costs on costs.id = top left join near on src = top)),
+ last as (select chosen, used from walk where len(ids) = 0)
+select unnest(range(len(chosen)))::int as pos, unnest(chosen) as id, used::int as used from last"""
+
+
+@register(_DFS_SQL)
 def query_dfs(spark, d):
     nodes, edges, adj = graph(spark, d)
     r = rt.query(nodes, edges, adj, QUESTION, ASK_BUDGET, mode="dfs")
@@ -412,7 +481,7 @@ def link_resolve(spark, d):
 @register(r"select regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '(\.[^./\\]*)$', 1) as ext, count(*) as n from pages group by 1")
 def ext_histogram(spark, d):
     clean = F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
-    return star.table(spark, d, "pages").groupBy(extension(clean).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+    return by_extension(star.table(spark, d, "pages").select(extension(clean).alias("ext")))
 
 
 @register("select count(*) filter (o_orderdate > timestamp '1998-01-01') > 0 as stale, count(*) filter (o_orderdate > timestamp '1998-01-01') as count from (select * from orders order by o_orderkey limit 200)")
@@ -460,6 +529,76 @@ def viz_communities(spark, d):
     return viz_legend(_viz(spark, d))
 
 
+@register("select 'customer_' || c_custkey as id, 0 as degree from customer order by c_custkey limit 1500")
+def viz_without_files(spark, d):
+    nodes, edges = import_graph(spark, d)
+    return viz_nodes(nodes, gb.adjacency(edges)).select("id", F.col("degree").cast("int").alias("degree"))
+
+
+@register(f"with {_VIZ_SQL} select source, target, confidence <> 'EXTRACTED' as dashed from edges where source in (select id from top) and target in (select id from top) order by ord limit 4000")
+def viz_links(spark, d):
+    shown, edges = _viz(spark, d), star.star_edges(spark, d)
+    return viz_edges(shown, edges).select("source", "target", (F.col("confidence") != "EXTRACTED").alias("dashed"))
+
+
+@register(f"with {GRAPH_SQL}, dg as (select src, count(*) as degree from adj group by 1) select label, type, degree, source_file from nodes join dg on src = id order by degree desc, ord limit 5")
+def most_connected(spark, d):
+    nodes, _, adj = graph(spark, d)
+    return connected_table(nodes, adj).select("label", "type", "degree", "source_file")
+
+
+@register(f"with {_PARTITION_SQL} select e.ord, s.label as source, t.label as target from contained e join p s on s.id = e.source join p t on t.id = e.target where s.community <> t.community order by e.ord limit 10")
+def first_bridges(spark, d):
+    return an.surprises(partitioned(spark, d), star.contains_edges(spark, d)).orderBy("ord").limit(10).select("ord", "source", "target")
+
+
+@register(f"with {_PARTITION_SQL} select community, count(*) as size from p group by 1 order by size desc, min(ord) limit 3")
+def largest_communities(spark, d):
+    return an.community_overview(partitioned(spark, d)).orderBy(F.desc("size"), "first_ord").limit(3).select("community", "size")
+
+
+@register(f"with {NODES_SQL} select id from nodes where contains(lower(label), 'er#') or contains(lower(id), 'er#') order by ord limit 1")
+def first_match(spark, d):
+    return rt.matches(star.star_nodes(spark, d), "ER#").orderBy("ord").limit(1).select("id")
+
+
+@register(f"with {_QUERY_SQL} select '{QUESTION}' as question, 'bfs' as mode, max(used)::int as tokens_used, {ASK_BUDGET} as budget, count(*) / (select count(*) from nodes)::double as coverage from chosen")
+def query_summary(spark, d):
+    return _asked(spark, d).summary()
+
+
+@register("with t as (select page_id, substr(html, 1, 300) as h from pages) select page_id, replace(replace(replace(replace(replace(h, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;') as safe from t")
+def escaped_pages(spark, d):
+    return star.table(spark, d, "pages").select("page_id", escape_html(F.substring("html", 1, 300)).alias("safe"))
+
+
+@register(f"with {NODES_SQL} select type, upper(substr(type, 1, 1)) || substr(type, 2) || 's' as title, count(*) as n, min(ord) as first_ord from nodes group by 1")
+def nodes_by_type(spark, d):
+    return star.star_nodes(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord")).select("type", plural_title(F.col("type")).alias("title"), "n", "first_ord")
+
+
+@register(r"""with n as (select doc_id, substr(text, 1, 80) as label, lang as type, source as source_file, case when doc_id % 3 > 0 then 'L' || doc_id end as loc, case when doc_id % 2 = 1 then substr(text, 1, 120) end as descr, doc_id % 1000 / 1000 as cen from documents where text is not null),
+ t as (select *, '### ' || label || ' (' || type || ')' || case when loc is null then '' else ' · score: ' || printf('%.2f', cen + case when doc_id % 1000 in (125, 625) then 0.001 else 0 end) end as head, chr(10) || '→ File: ' || source_file || coalesce(' ' || loc, '') as tail from n)
+select doc_id, head || tail as short, ceil((length(head || case when coalesce(descr, '') = '' then '' else chr(10) || descr end || tail || chr(10) || chr(10))
+ + length(regexp_replace(label || coalesce(descr, ''), '[\x{0}-\x{FFFF}]', '', 'g'))) / 4)::int as cost from t""")
+def node_displays(spark, d):
+    n = star.document_nodes(spark, d).where("description is not null")
+    n = n.withColumn("source_location", F.when(F.col("ord") % 3 > 0, F.concat(F.lit("L"), F.col("ord").cast("string")))).withColumn("description", F.when(F.col("ord") % 2 == 1, F.substring("description", 1, 120))).withColumn("centrality", F.col("ord") % 1000 / 1000)
+    return n.select(F.col("ord").alias("doc_id"), node_display(False).alias("short"), node_cost().alias("cost"))
+
+
+@register("""with n as (select doc_id, doc_id % 31 as k from documents), f as (select doc_id, unnest(range(1, k + 1)) as i from n)
+select 'd' || doc_id || '_k' || i as id, 'k' || i as label from f where i <= 20""")
+def json_keys_first_20(spark, d):
+    from ..extract.run import extract_table
+
+    every = F.expr("transform(sequence(0, cast(doc_id % 31 as int)), i -> concat('k', i))")
+    keys = F.slice(every, F.lit(2), F.size(every))
+    docs = star.table(spark, d, "documents").select("doc_id", F.to_json(F.map_from_arrays(keys, keys)).alias("content"))
+    contents = docs.select(F.col("doc_id").cast("int").alias("ord"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".json")).alias("path"), F.lit("").alias("hash"), "content")
+    return extract_table(contents).where("kind = 'node' and type = 'field'").select("id", "label")
+
+
 SAMPLE = [
     ("src/auth.ts", "export function login(u: string) {\n  return check(u) && verify(u);\n}\n\nfunction check(u: string) {\n  return !!u;\n}\n\nfunction verify(u: string) { return true; }\n"),
     ("src/controller.ts", "import { login } from './auth';\n\nexport class Controller {\n  run(u: string) {\n    return login(u);\n  }\n}\n"),
@@ -476,3 +615,13 @@ def extract_sample(spark, d):
 
     contents = spark.createDataFrame([(i, p, "", c) for i, (p, c) in enumerate(SAMPLE)], "ord int, path string, hash string, content string")
     return extract_table(contents, {p for p, _ in SAMPLE}).where("kind = 'node' and type <> 'file'").select("id", "type", "location")
+
+
+@register("""select * from (values ('src_auth_login', 'src_auth_check', 'calls'), ('src_auth_login', 'src_auth_verify', 'calls'), ('src_controller_file', 'src_auth_file', 'imports'),
+ ('pkg_tool_walk', 'pkg_tool_os_listdir', 'calls'), ('pkg_tool_walk', 'pkg_tool_clean', 'calls'), ('pkg_tool_file', 'pkg_tool_os', 'imports')) t(source, target, relation)""")
+def extract_sample_edges(spark, d):
+    from ..extract.run import extract_table
+
+    contents = spark.createDataFrame([(i, p, "." + p.rsplit(".", 1)[1], "", c) for i, (p, c) in enumerate(SAMPLE)], "ord int, path string, ext string, hash string, content string")
+    paths = spark.createDataFrame([(p,) for p, _ in SAMPLE], "path string")
+    return extract_table(contents, paths).where("kind = 'edge' and relation <> 'contains'").select("source", "target", "relation")

@@ -38,6 +38,11 @@ def suggested_questions(nodes: DataFrame, edges: DataFrame, adj: DataFrame) -> l
     return out
 
 
+def connected_table(nodes: DataFrame, adj: DataFrame, limit: int = 5) -> DataFrame:
+    """(ord, id, label, degree, type, source_file) of the best connected nodes, best first."""
+    return top_nodes(nodes, adj, limit).join(nodes.select("id", "type", "source_file"), "id", "left").orderBy(F.desc("degree"), "ord")
+
+
 def report(nodes: DataFrame, edges: DataFrame, adj: DataFrame, root: str, files: DataFrame | None = None, faithful_labels: bool = True) -> str:
     s = stats(nodes, edges).first()
     lines = ["# Graph Report", "", f"Source: `{root}`", "", "## Corpus", ""]
@@ -49,7 +54,7 @@ def report(nodes: DataFrame, edges: DataFrame, adj: DataFrame, root: str, files:
     average = f"{s['avg_degree']:.1f}" if s["node_count"] else "0"
     lines += ["", "## Statistics", "", "| Metric | Value |", "|---|---|", f"| Nodes | {s['node_count']} |", f"| Edges | {s['edge_count']} |", f"| Communities | {s['community_count']} |", f"| Average degree | {average} |", ""]
     lines += ["## Most connected", "", "| # | Node | Type | Connections | File |", "|---|---|---|---|---|"]
-    best = top_nodes(nodes, adj, 5).join(nodes.select("id", "type", "source_file"), "id", "left").orderBy(F.desc("degree"), "ord").collect()
+    best = connected_table(nodes, adj).collect()
     lines += [f"| {i} | **{r['label']}** | {r['type'] or '?'} | {r['degree']} | `{r['source_file'] or '?'}` |" for i, r in enumerate(best, 1)]
     lines.append("")
     if s["community_count"] > 1:
@@ -85,13 +90,18 @@ def repository_map(nodes: DataFrame, edges: DataFrame, budget: int = MAP_BUDGET)
 
 
 def viz_nodes(nodes: DataFrame, adj: DataFrame, limit: int = VIZ_NODES) -> DataFrame:
-    """The best connected nodes with size, colour number and escaped label."""
-    top = degrees(nodes, adj).orderBy(F.desc("degree"), "ord").limit(limit)
+    """The best connected nodes, files left out, with size, colour number and escaped label."""
+    top = degrees(nodes.where("type <> 'file'"), adj).orderBy(F.desc("degree"), "ord").limit(limit)
     size = F.greatest(F.lit(5.0), F.least(F.lit(25.0), F.log2(F.col("degree") + 2) * 8))
     community = F.coalesce("community", F.lit(0))
     return top.select("ord", "id", escape_html(F.col("label")).alias("label"), "type", "source_file", "degree", community.alias("community"), (community % 25).alias("colour"), size.alias("size"))
 
 
+def viz_edges(shown: DataFrame, edges: DataFrame, limit: int = VIZ_EDGES) -> DataFrame:
+    """The first edges among the nodes shown."""
+    return induced(edges, shown.select("id")).orderBy("ord").limit(limit)
+
+
 def viz_legend(shown: DataFrame) -> DataFrame:
     """(community, n, label): the label is that of the best connected node."""
     return shown.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.max_by("label", F.struct("degree", -F.col("ord"))).alias("label"))
@@ -118,7 +128,7 @@ window.onresize=draw;draw();
 def html_page(nodes: DataFrame, edges: DataFrame, adj: DataFrame, title: str = "Knowledge graph") -> str:
     """A page of its own with at most 1500 nodes and 4000 edges; all text is escaped."""
     shown = viz_nodes(nodes, adj).persist()
-    among = induced(edges, shown.select("id")).orderBy("ord").limit(VIZ_EDGES)
+    among = viz_edges(shown, edges)
     legend = viz_legend(shown).orderBy(F.desc("n"), "community").limit(VIZ_LEGEND)
     data = {
         "nodes": [r.asDict() for r in shown.orderBy(F.desc("degree"), "ord").collect()],

@@ -68,7 +68,7 @@ def test_against_sql(spark, name):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - {"query_dfs"}))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_runs(spark, name):
     assert entry.queries()[name](spark, DATA).count() > 0
     spark.catalog.clearCache()

@@ -37,3 +37,13 @@ def test_escape_extension_rounding(spark):
     assert [one(spark, tx.extension(F.col("t")), t=t) for t in ("a/b.TS", "a.b/c", ".x", "a.tar.gz")] == [".TS", "", ".x", ".gz"]
     assert spark.range(1).select(tx.round3(F.lit(0.0005)), tx.round3(F.lit(0.12349))).first() == (0.001, 0.123)
     assert one(spark, tx.one_line(F.col("t")), t="  a\n\tb  c ") == "a b c"
+
+
+def test_two_decimals(spark):
+    """Every thousandth, against exact decimals of the binary value, ties up."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from graphloom.functions.text import two_decimals
+
+    got = spark.range(1001).select(two_decimals(F.col("id") / 1000).alias("s"), "id").collect()
+    assert all(r["s"] == str(Decimal(r["id"] / 1000).quantize(Decimal("0.01"), ROUND_HALF_UP)) for r in got)
