@@ -13,8 +13,10 @@ documents in the order of a hash of id and text, so the same rows at another pat
 as long as rates allow, and no document gets more than 2 copies.
 
 Defined results: a null or blank text has size 0 and keeps one copy of nothing; a null source is a source of its own,
-ordered last; rows that repeat are separate documents; an empty table gives an empty result; other columns are kept
-by mix() and ignored by rates.
+ordered last; a null id is an id like others; of a source's documents of one size, rows that tie in id and text are interchangeable, and rows that
+repeat are separate documents; a text of any length counts whole; an empty table gives an empty result; other columns are kept
+by mix() and ignored by rates. The driver holds a few numbers a source, so sources must be few enough for its memory; documents and
+sizes may be any number.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from .common import RID, WORD, documents, if_small, materialize, of_rows, salted
 MAX_RATE = 2
 #: Fixed-point scale of the distributed sums.
 SCALE = 1 << 20
-MAX_STEPS, TOLERANCE = 60, 1e-7
+#: Relative gap to a target at which a multiplier is taken; Newton steps before its bracket is only halved, which ends.
+TOLERANCE, NEWTON_STEPS = 1e-7, 60
 
 
 @dataclass(frozen=True)
@@ -76,7 +79,8 @@ def _rate(tilt: float, x: float) -> float:
 def solve(cells: DataFrame, wanted: list[Target], counts: dict[str | None, int]) -> dict[str | None, float]:
     """The multiplier of each source: infinite where every document is wanted at the greatest rate.
 
-    cells: (source, size, n). Each step is one aggregation of the cells.
+    cells: (source, size, n). Each step is one aggregation of the cells. A source is done within TOLERANCE of its target, or where
+    its bracket has shrunk to nothing, which halving it makes sure of; there is no other end.
     """
     spark = cells.sparkSession
     mean = {t.source: t.size / counts[t.source] for t in wanted}
@@ -87,10 +91,9 @@ def solve(cells: DataFrame, wanted: list[Target], counts: dict[str | None, int])
             tilt[t.source] = math.inf
             done.add(t.source)
     goal = {t.source: t.target for t in wanted}
-    for _ in range(MAX_STEPS):
-        open_ = [s for s in goal if s not in done]
-        if not open_:
-            break
+    steps = 0
+    while open_ := [s for s in goal if s not in done]:
+        steps += 1
         now = spark.createDataFrame([(s, tilt[s], mean[s]) for s in open_], "source string, tilt double, mean double")
         x = F.col("size") / F.col("mean")
         r = F.exp(F.least(F.col("tilt") * x, F.lit(50.0)))
@@ -110,14 +113,14 @@ def solve(cells: DataFrame, wanted: list[Target], counts: dict[str | None, int])
             else:
                 low[s] = tilt[s]
             step = tilt[s] - gap / d if d > 0 else math.nan
-            if not (low[s] < step < high[s]):
+            if not (low[s] < step < high[s]) or (steps > NEWTON_STEPS and math.isfinite(high[s] - low[s])):
                 if math.isinf(high[s]):
                     step = max(2 * tilt[s], tilt[s] + 1)
                 elif math.isinf(low[s]):
                     step = min(2 * tilt[s], tilt[s] - 1)
                 else:
                     step = (low[s] + high[s]) / 2
-            if step == tilt[s] or high[s] - low[s] < 1e-12:
+            if step == tilt[s] or high[s] - low[s] < 1e-12 * max(1.0, abs(step)):
                 done.add(s)
             tilt[s] = step
     return tilt

@@ -346,6 +346,53 @@ def test_mixing_targets_reshare():
     assert got[None] == pytest.approx(200) or got[None] / got["b"] == pytest.approx(5 / 2)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_mixing_targets_against_water_filling(seed):
+    """The level at which weights, cut off at twice each source's size, give the whole share: by bisection."""
+    rng = np.random.default_rng(seed)
+    names = sorted({f"{rng.choice(['a', 'B', 'é', '𝒳', '￿'])}{rng.integers(0, 30)}" for _ in range(12)}) + [None]
+    sizes = {n: int(rng.choice([0, 3, 50, 1000, 10**7])) for n in names}
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    goal, lo, hi = 1.5 * sum(sizes.values()), 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(2 * sizes[n], weight[n] * mid) for n in names) < goal else (lo, mid)
+    shuffled = [(n, sizes[n]) for n in rng.permutation(np.array(names, object)).tolist()]
+    for t in mixing.targets(shuffled):
+        assert t.target == pytest.approx(min(2 * sizes[t.source], weight[t.source] * hi), rel=1e-6, abs=1e-6)
+
+
+def test_mixing_copies_against_a_plain_version(spark):
+    """Multipliers by bisection and copies by carrying, in plain Python: the same number of copies of every size."""
+    rng = np.random.default_rng(12)
+    rows = [(i, i, s, int(z), int(h)) for i, (s, z, h) in enumerate(zip(rng.choice(["a", "b", "c", "d"], 900), rng.integers(0, 40, 900) ** 2, rng.integers(0, 10**9, 900), strict=True))]
+    got = mixing.copies(spark.createDataFrame(rows, "doc_id long, rid long, source string, size long, digest long")).collect()
+    size, count = Counter(), Counter()
+    for _, _, s, z, _ in rows:
+        size[s] += z
+        count[(s, z)] += 1
+    for t in mixing.targets(list(size.items())):
+        cells = sorted(((z, n) for (s, z), n in count.items() if s == t.source), reverse=True)
+        mean = t.size / sum(n for _, n in cells)
+        rate = lambda tilt, z, mean=mean: min(2.0, np.exp(min(tilt * z / mean, 50)))
+        lo, hi = -60.0, 60.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(z * n * rate(mid, z) for z, n in cells) < t.target else (lo, mid)
+        tilt = np.inf if t.target >= 2 * t.size else hi
+        ideal, taken, want = 0.0, 0, {}
+        for z, n in cells:
+            ideal += z * n * (2.0 if np.isinf(tilt) else rate(tilt, z))
+            want[z] = n if z == 0 else min(2 * n, max(0, int(np.floor((min(ideal, t.target) - taken) / z + 0.5))))
+            taken += want[z] * z
+        mine = Counter()
+        for r in got:
+            if r.source == t.source:
+                mine[r.size] += r.copies
+        assert all(abs(mine[z] - want[z]) <= 1 for z in want) and abs(sum(z * k for z, k in mine.items()) - t.target) <= max(2, cells[0][0])
+        assert all(r.copies <= 2 for r in got)
+
+
 def test_mixing_tilts_exponentially(spark):
     cells = spark.createDataFrame([("a", 10, 5), ("a", 20, 3), ("a", 40, 2)], "source string, size long, n long")
     total = 190

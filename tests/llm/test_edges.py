@@ -143,3 +143,59 @@ def test_pipeline_against_brute_force(spark, rows, tmp_path):
     assert all(sum(n for _, n in b) <= 2048 and sorted(o for o, _ in b) == [sum(n for o, n in b if o < x) for x in sorted(o for o, _ in b)] for b in bins.values())
     key = lambda rs: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rs)
     assert key(corpus_pipeline.run(spark, str(tmp_path)).collect()) == key(got["best_fit_packing"])
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark, tmp_path_factory):
+    """Texts of 200 000 words, one without a single blank, one of CJK, beside short ones; written as Parquet."""
+    import numpy as np
+
+    rng = np.random.default_rng(21)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 200_000)]
+    near = [w if k % 5000 else f"edit{k}" for k, w in enumerate(words)]
+    cjk = "".join(rng.choice(list("天地玄黄宇宙洪荒日月盈昃。，"), 300_000))
+    license_text = licenses.TEXTS["MIT"].replace("*", "")
+    texts = [" ".join(words), " ".join(near) + " " + license_text, "x" * 2_000_000, cjk, "short text", " ".join(words), "0123456789abcdef" * 60_000]
+    path = str(tmp_path_factory.mktemp("long") / "documents.parquet")
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(path)
+    return spark.read.parquet(path), texts
+
+
+def test_very_long_texts(spark, long_docs, tmp_path):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    docs, texts = long_docs
+    lib = Tokenizer.from_file(tokens.tokenizer_path())
+    n_tokens = [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [r.n_tokens for r in tokens.token_counts(docs).orderBy("doc_id").collect()] == n_tokens
+    pieces = packing.pack(docs).collect()
+    assert sum(p.length for p in pieces) == sum(n_tokens) + len(texts) and len(pieces) == sum(-(-(n + 1) // 2048) for n in n_tokens)
+    q = quality.quality(docs).orderBy("doc_id").collect()
+    assert [r.n_words for r in q] == [len(t.split()) for t in texts] and [r.word_chars for r in q] == [sum(map(len, t.split())) for t in texts]
+    exact = exact_dedup.exact_dedup(docs).orderBy("doc_id").collect()
+    assert [r.keep_id for r in exact] == [5, 1, 2, 3, 4, 5, 6] and [r.text_sha256 for r in exact] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    assert [r.component_id for r in ngram_join.jaccard_components(docs).orderBy("doc_id").collect()] == [0, 0, 2, 3, 4, 0, 6]
+    cut = substring.substring_dedup(docs).orderBy("doc_id").collect()
+    assert (cut[0].n_removed, cut[5].n_removed, cut[4].n_removed) == (0, 200_000, 0)
+    edits = [k for k in range(200_000) if k % 5000 == 0]
+    assert cut[1].n_removed == 200_000 - len(edits)
+    found = licenses.license_scan(docs).orderBy("doc_id").collect()
+    assert [r.license for r in found] == [None, "MIT", None, None, None, None, None] and found[1].found[0]["first"] >= 200_000
+    assert [r["size"] for r in mixing.mix_plan(docs).orderBy("doc_id").collect()] == [len(t.split()) for t in texts]
+    assert sharding.assign(docs, "doc_id").count() == len(texts)
+    pages = docs.selectExpr("doc_id as page_id", "'u' as url", "text as html")
+    got = warc.read(warc.archive(pages, f"file://{tmp_path}/w")).orderBy("page_id").collect()
+    assert [r.record_type for r in got] == ["revisit", *["response"] * 6] and all(bytes(r.payload).decode() == texts[r.page_id] for r in got[1:])
+
+
+def test_null_ids_and_repeats_in_row_wise_operators(odd_docs):
+    """Operators that judge each row by itself give equal rows for equal texts, and ids as they were."""
+    want = {(r.doc_id, r.text) for r in odd_docs.collect()}
+    size = lambda t: len((t or "").split())
+    assert sorted(r.n_words for r in quality.quality(odd_docs).collect()) == sorted(r.n_words for r in licenses.license_scan(odd_docs).collect()) == sorted(size(r.text) for r in odd_docs.collect())
+    for rows in (quality.quality(odd_docs).collect(), licenses.license_scan(odd_docs).collect(), tokens.token_counts(odd_docs).collect(), packing.pack(odd_docs).collect(), sharding.assign(odd_docs, "doc_id").collect()):
+        assert {r.doc_id for r in rows} == {i for i, _ in want}
+    counts = tokens.token_counts(odd_docs).collect()
+    assert {(r.doc_id, r.n_bytes) for r in counts} == {(i, len(t or "")) for i, t in want}
