@@ -83,8 +83,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:8]}"
 
 
-#: Settings under which tables are written here: Arrow batches of a bounded size, and hash joins where each partition of a side is small (others sort and can spill).
-BOUNDED = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
+#: Settings under which tables are written here: Arrow batches of a bounded size; no broadcast but those asked for, whose size is
+#: bounded, so that plans are alike at every size; hash joins where each partition of a side is small (others sort and can spill).
+BOUNDED = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+}
 
 
 @contextmanager
@@ -151,7 +155,7 @@ def with_rid(df: DataFrame, name: str = RID) -> DataFrame:
 
 def of_rows(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     """Join rows, from with_rid(), with (rid, doc_id, ...), by both columns."""
-    right = chosen.withColumnsRenamed({"rid": f"{RID}_2", "doc_id": f"{RID}_id"})
+    right = chosen.withColumnsRenamed({"rid": f"{RID}_2", "doc_id": f"{RID}_id"}).hint("merge")
     return rows.join(right, (rows[RID] == right[f"{RID}_2"]) & rows["doc_id"].eqNullSafe(right[f"{RID}_id"]), how)
 
 
@@ -172,23 +176,31 @@ def bitmap(ids: DataFrame) -> tuple[DataFrame, int]:
     return words.groupBy("word").agg(F.bit_or("mask").alias("mask")), bits
 
 
-def _marked(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
-    """rows (rid, ...) with the bitmap's word for each, and the condition that its bit is set."""
+def _marked(rows: DataFrame, ids: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """rows with the bitmap's word for each, and the value of its bit."""
     words, bits = bitmap(ids)
-    place = f"shiftrightunsigned(rid, {64 - bits})"
-    return rows.withColumn("word", F.expr(f"shiftright({place}, 6)")).join(F.broadcast(words), "word", "left"), f"coalesce(mask & shiftleft(1L, cast({place} & 63 as int)), 0L)"
+    place = f"shiftrightunsigned({name}, {64 - bits})"
+    words = words.withColumnsRenamed({"word": f"{RID}_word", "mask": f"{RID}_mask"})
+    marked = rows.withColumn(f"{RID}_word", F.expr(f"shiftright({place}, 6)")).join(F.broadcast(words), f"{RID}_word", "left")
+    return marked, f"coalesce({RID}_mask & shiftleft(1L, cast({place} & 63 as int)), 0L)"
 
 
-def may_be_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows (rid, ...) without most of those that are not in ids (rid)."""
-    marked, bit = _marked(rows, ids)
-    return marked.where(f"{bit} <> 0").select(*rows.columns)
+def may_be_in(rows: DataFrame, ids: DataFrame, name: str = "rid") -> DataFrame:
+    """rows without most of those whose row number, in the column of that name, is not in ids (rid)."""
+    marked, bit = _marked(rows, ids, name)
+    return marked.where(f"{bit} <> 0").select(*(rows[c] for c in rows.columns))
 
 
-def is_not_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Most of the rows (rid, ...) that are not in ids (rid): those that may_be_in() leaves out."""
-    marked, bit = _marked(rows, ids)
-    return marked.where(f"{bit} = 0").select(*rows.columns)
+def is_not_in(rows: DataFrame, ids: DataFrame, name: str = "rid") -> DataFrame:
+    """Most of the rows whose row number is not in ids (rid): those that may_be_in() leaves out."""
+    marked, bit = _marked(rows, ids, name)
+    return marked.where(f"{bit} = 0").select(*(rows[c] for c in rows.columns))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows, from with_rid(), but for those in gone (rid, doc_id); only rows that a bitmap of gone can't rule out are shuffled."""
+    gone = materialize(gone.select("rid", "doc_id"), "gone")
+    return is_not_in(rows, gone, RID).unionByName(of_rows(may_be_in(rows, gone, RID), gone, "left_anti"))
 
 
 #: Tables below this many bytes are often one row group, which one task would read.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RID, batches_by_id, bounded, delete, documents, list_names, materialize, of_rows, read_text, scratch, union_all, whole_text, with_rid, write_text
+from .common import RID, batches_by_id, bounded, delete, documents, list_names, materialize, read_text, scratch, union_all, whole_text, with_rid, without, write_text
 
 #: Keys that one part holds at most, on average: bounds the memory of a task.
 KEYS_PER_PART = 50_000
@@ -295,8 +295,7 @@ def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that repeat another row's text; columns as they were."""
     rows = with_rid(docs)
-    kept = exact_dedup(rows).where("kept").select("rid", "doc_id")
-    return of_rows(rows, kept, "left_semi").select(*docs.columns)
+    return without(rows, exact_dedup(rows).where("not kept")).select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RID, WORD, documents, if_small, materialize, of_rows, salted_rank, whole_text, with_rid
+from .common import RID, WORD, documents, if_small, is_not_in, materialize, may_be_in, of_rows, salted_rank, whole_text, with_rid
 
 MAX_RATE = 2
 #: Fixed-point scale of the distributed sums.
@@ -177,9 +177,11 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; columns as they were."""
     rows = with_rid(docs)
-    plan = mix_plan(rows).where("copies > 0").select("rid", "doc_id", F.col("copies").alias(f"{RID}_copies"))
-    joined = of_rows(rows, plan, "inner")
-    return joined.withColumn(f"{RID}_k", F.explode(F.sequence(F.lit(1), f"{RID}_copies"))).select(*docs.columns)
+    changed = materialize(mix_plan(rows).where("copies <> 1").select("rid", "doc_id", F.col("copies").alias(f"{RID}_copies")), "changed")
+    # rows that are taken once stay where they are read
+    joined = of_rows(may_be_in(rows, changed, RID), changed, "left").withColumn(f"{RID}_copies", F.coalesce(f"{RID}_copies", F.lit(1)))
+    again = joined.where(f"{RID}_copies > 0").withColumn(f"{RID}_k", F.explode(F.sequence(F.lit(1), f"{RID}_copies")))
+    return is_not_in(rows, changed, RID).select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import RID, documents, materialize, may_be_in, of_rows, spread, union_all, whole_text, with_rid
+from .common import RID, documents, materialize, may_be_in, spread, union_all, whole_text, with_rid, without
 from .graph import components
 
 _NULL_ID = -(1 << 63)
@@ -346,12 +346,13 @@ def _derived(found: DataFrame, t: Fraction) -> DataFrame:
     ring = F.expr(f"((n_leader + n - 2 * overlap) * {t.denominator}) div ((n_leader + n - overlap) * {t.denominator - t.numerator})")
     kept = found.where(F.col("lacks").isNotNull() & (union > 0)).withColumn("ring", ring.cast("int"))
     size = F.octet_length("lacks") + F.octet_length("adds")
-    parts = F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum(size) / CELL_BYTES)).cast("int").alias("parts")
+    parts = lambda c, b: F.ceil(F.greatest(c / CELL, b / CELL_BYTES)).cast("int")
+    rings = kept.groupBy("leader", "ring").agg(F.count(F.lit(1)).alias("c"), F.sum(size).alias("b")).withColumn("parts", parts(F.col("c"), F.col("b")))
+    around = rings.groupBy("leader").agg(F.max("ring").alias("outermost"), parts(F.sum("c"), F.sum("b")).alias("all"), F.map_from_entries(F.collect_list(F.struct("ring", "parts"))).alias("parts"))
     # a leader's few members are one cell; of many, a ring with the one outside it, and every ring but the innermost with itself
-    few = kept.groupBy("leader").agg(F.max("ring").alias("outermost"), parts).where("outermost > 0").select("leader", (F.col("parts") == 1).alias("few"))
-    sized = kept.join(few, "leader").withColumn("ring", F.when(F.col("few"), 1).otherwise(F.col("ring")))
-    around = sized.groupBy("leader", "ring").agg(parts).groupBy("leader").agg(F.map_from_entries(F.collect_list(F.struct("ring", "parts"))).alias("parts"))
-    cells = sized.join(around, "leader").withColumn("p", F.expr("pmod(xxhash64(node), parts[ring])"))
+    few = F.col("all") == 1
+    around = around.where("outermost > 0").select("leader", few.alias("few"), F.when(few, F.create_map(F.lit(1), F.lit(1))).otherwise(F.col("parts")).alias("parts"))
+    cells = kept.join(around, "leader").withColumn("ring", F.when(F.col("few"), 1).otherwise(F.col("ring"))).withColumn("p", F.expr("pmod(xxhash64(node), parts[ring])"))
     outside = F.expr("transform(sequence(0, coalesce(parts[ring + 1], 0)), q -> struct(ring as inner, ring + 1 as outer, p as a, cast(q - 1 as bigint) as b))")
     inside = F.expr("transform(sequence(0, if(ring > 0, coalesce(parts[ring - 1], 0), 0)), q -> struct(ring - 1 as inner, ring as outer, cast(q - 1 as bigint) as a, p as b))")
     own = F.expr("transform(sequence(0, if(ring > 0, parts[ring], 0)), q -> struct(ring as inner, ring as outer, least(p, q - 1) as a, greatest(p, q - 1) as b))")
@@ -428,8 +429,7 @@ def keep_first(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10
     Of rows that repeat that id one stays, if their component is the same.
     """
     rows = with_rid(docs)
-    kept = jaccard_components(rows, k, threshold).where("rid = first_rid").select("rid", "doc_id")
-    return of_rows(rows, kept, "left_semi").select(*docs.columns)
+    return without(rows, jaccard_components(rows, k, threshold).where("rid <> first_rid")).select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

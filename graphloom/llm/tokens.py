@@ -28,7 +28,7 @@ from . import textkernel as tk
 from .common import documents, spread, whole_text
 
 #: Bytes of a window and of one call of the library; units that a worker remembers, about 30 bytes each.
-WINDOW_BYTES, CALL_BYTES, MEMO_UNITS = 2 << 20, 1 << 18, 2_000_000
+WINDOW_BYTES, CALL_BYTES, MEMO_UNITS = 2 << 20, 1 << 18, 1_000_000
 #: Longer units are not remembered: they hardly recur.
 MEMO_UNIT_BYTES = 48
 #: Units longer than this are cut within words' runs too.

@@ -718,3 +718,34 @@ def test_bitmap_holds_every_row_number(spark, monkeypatch):
     monkeypatch.setattr(common, "BITMAP_BITS", 6)  # a full bitmap spares nothing and loses nothing
     assert set(rids[:300]) <= {r.rid for r in common.may_be_in(rows, ids).collect()}
     assert common.may_be_in(rows, ids.limit(0)).collect() == []
+
+
+def test_row_numbers_do_not_depend_on_splits(spark, docs):
+    numbers = lambda: {r.doc_id: r[common.RID] for r in common.with_rid(docs).select("doc_id", common.RID).collect()}
+    before, was = numbers(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        assert numbers() == before
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert len(set(before.values())) == len(before) == docs.count()
+    own = docs.select("doc_id").withColumn(common.RID, F.col("doc_id") * 10)
+    assert {r[common.RID] for r in common.with_rid(own).collect()} == {10 * i for i in before}
+
+
+def test_without_keeps_all_others(spark, docs, monkeypatch):
+    rows = common.with_rid(docs)
+    gone = rows.where("doc_id % 3 = 0").select(F.col(common.RID).alias("rid"), "doc_id")
+    want = {r.doc_id for r in docs.collect() if r.doc_id % 3}
+    for bits in (25, 6):
+        monkeypatch.setattr(common, "BITMAP_BITS", bits)
+        kept = common.without(rows, gone)
+        assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def test_settings_come_back(spark):
+    before = {k: spark.conf.get(k, None) for k in common.BOUNDED}
+    with pytest.raises(ZeroDivisionError), common.bounded(spark, {"spark.sql.shuffle.partitions": "7"}):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "7"
+        raise ZeroDivisionError
+    assert {k: spark.conf.get(k, None) for k in common.BOUNDED} == before and spark.conf.get("spark.sql.shuffle.partitions") == "4"
