@@ -83,12 +83,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:8]}"
 
 
-#: Settings under which tables are written here: Arrow batches of a bounded size; no broadcast but those asked for, whose size is
-#: bounded, so that plans are alike at every size; hash joins where each partition of a side is small (others sort and can spill).
-BOUNDED = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
-    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
-}
+#: Settings under which tables are written here: Arrow batches of a bounded size, and hash joins where each partition of a side is small (others sort and can spill).
+BOUNDED = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
 
 
 @contextmanager
@@ -208,7 +204,14 @@ SPREAD_BYTES = 24 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt to all cores, for work in Python that follows; a large one is left as it is split."""
+    """A small table dealt to all cores, for work in Python that follows; a large one is left as it is split.
+
+    What follows may run long after this call, so Arrow batches are bounded for the session, unless it has a bound of its own.
+    """
+    spark = df.sparkSession
+    for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, BOUNDED[k])
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(cores) if cores > 1 and int(str(size)) < SPREAD_BYTES else df

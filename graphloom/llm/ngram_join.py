@@ -386,18 +386,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     blocks = materialize(blocks.select("token", "band", "leader"), "blocks")
     live = entries.join(blocks, ["token", "band"])
     stars = live.where("node <> leader").select("leader", "node").distinct()
+    # bits and texts are joined in one way whatever the sizes, so that what they need grows with the input
     own_bits = heads.select(F.col("rid").alias("node"), "n", F.col("bits").alias("b"))
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(own_bits, "node")
-        return bounds(one.join(own_bits.select(F.col("node").alias("leader"), F.col("n").alias("nl"), F.col("b").alias("bl")), "leader"))
+        one = own_bits.hint("merge").join(pairs, "node")
+        return bounds(one.hint("merge").join(own_bits.select(F.col("node").alias("leader"), F.col("n").alias("nl"), F.col("b").alias("bl")), "leader"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs whose bound is enough, by their texts."""
         ids = materialize(pairs.select(F.col("leader").alias("rid")).union(pairs.select(F.col("node").alias("rid"))).distinct(), "ids")
-        texts = materialize(packed(may_be_in(rows, ids)).join(ids, "rid"), "texts")
-        one = pairs.select("leader", "node").join(texts.select(F.col("rid").alias("node"), "z"), "node")
-        two = one.join(texts.select(F.col("rid").alias("leader"), F.col("z").alias("zl")), "leader").sortWithinPartitions("leader")
+        texts = materialize(packed(may_be_in(rows, ids)).hint("merge").join(ids, "rid"), "texts")
+        one = texts.select(F.col("rid").alias("node"), "z").hint("merge").join(pairs.select("leader", "node"), "node")
+        two = one.hint("merge").join(texts.select(F.col("rid").alias("leader"), F.col("z").alias("zl")), "leader").sortWithinPartitions("leader")
         return materialize(differences(two, k), "differences")
 
     stars = materialize(bounded(stars), "stars")
