@@ -352,7 +352,7 @@ def _derived(found: DataFrame, t: Fraction) -> DataFrame:
     # a leader's few members are one cell; of many, a ring with the one outside it, and every ring but the innermost with itself
     few = F.col("all") == 1
     around = around.where("outermost > 0").select("leader", few.alias("few"), F.when(few, F.create_map(F.lit(1), F.lit(1))).otherwise(F.col("parts")).alias("parts"))
-    cells = kept.join(around, "leader").withColumn("ring", F.when(F.col("few"), 1).otherwise(F.col("ring"))).withColumn("p", F.expr("pmod(xxhash64(node), parts[ring])"))
+    cells = kept.hint("merge").join(around, "leader").withColumn("ring", F.when(F.col("few"), 1).otherwise(F.col("ring"))).withColumn("p", F.expr("pmod(xxhash64(node), parts[ring])"))
     outside = F.expr("transform(sequence(0, coalesce(parts[ring + 1], 0)), q -> struct(ring as inner, ring + 1 as outer, p as a, cast(q - 1 as bigint) as b))")
     inside = F.expr("transform(sequence(0, if(ring > 0, coalesce(parts[ring - 1], 0), 0)), q -> struct(ring - 1 as inner, ring as outer, cast(q - 1 as bigint) as a, p as b))")
     own = F.expr("transform(sequence(0, if(ring > 0, parts[ring], 0)), q -> struct(ring as inner, ring as outer, least(p, q - 1) as a, greatest(p, q - 1) as b))")
