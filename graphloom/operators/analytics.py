@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import round3
 from .build import last_wins, outgoing, top_per_group
+from .propagation import propagated
 
 ALPHA, EPSILON, MAX_ITERATIONS, MAX_SWEEPS = 0.85, 1e-6, 100, 50
 #: Adjacency rows up to which one grouped task iterates in memory; larger graphs iterate by joins.
 LOCAL_ROWS = 2_000_000
 #: Decimals of a rank that order rows: beyond them it depends on the order of a sum, and ord decides.
 RANK_DECIMALS = 12
-#: Adjacency rows up to which communities are found exactly, in one task.
-EXACT_ROWS = 20_000_000
 
 
 def degrees(nodes: DataFrame, adj: DataFrame) -> DataFrame:
@@ -117,53 +116,18 @@ def centrality(nodes: DataFrame, adj: DataFrame, alpha: float = ALPHA, epsilon:
     return nodes.drop("centrality").join(ranks, "id").withColumn("centrality", round3(F.col("rank"))).select(*nodes.columns)
 
 
-def propagate(n: int, neighbours: list[list[int]], sweeps: int = MAX_SWEEPS) -> list[int]:
-    """Asynchronous label propagation: each node in turn takes the most frequent *other* label among its neighbours.
-
-    Its own label's count plays no part, ties go to the label met first in neighbour order, and changes show at once.
-    """
-    label = list(range(n))
-    for _ in range(sweeps):
-        moved = False
-        for v in range(n):
-            votes: dict[int, int] = {}
-            for u in neighbours[v]:
-                votes[label[u]] = votes.get(label[u], 0) + 1
-            best, most = label[v], 0
-            for c, k in votes.items():
-                if k > most and c != label[v]:
-                    best, most = c, k
-            if best != label[v]:
-                label[v], moved = best, True
-        if not moved:
-            break
-    return label
-
-
-def _communities_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    nodes = pdf[pdf["dst"].isna()].sort_values("nbr_ord")
-    ids = nodes["src"].tolist()
-    place = {v: i for i, v in enumerate(ids)}
-    out: list[list[int]] = [[] for _ in ids]
-    for src, dst in pdf[pdf["dst"].notna()].sort_values("nbr_ord")[["src", "dst"]].itertuples(index=False):
-        out[place[src]].append(place[dst])
-    return pd.DataFrame({"id": ids, "community": propagate(len(ids), out)})
-
-
 def communities(nodes: DataFrame, adj: DataFrame) -> DataFrame:
-    """nodes with communities, exactly: sequential by definition, so one task holds the adjacency.
+    """nodes with communities, exactly, by asynchronous label propagation: each node in turn takes the most frequent *other* label among its neighbours.
 
-    Without edges the communities stay null. A graph of more than EXACT_ROWS adjacency rows is refused: communities_parallel() is
-    another operator, for graphs beyond one task.
+    Its own label's count plays no part, ties go to the label met first in neighbour order, and changes show at once. This is sequential by
+    definition, so one task votes (see propagation). Ends of adj are ids, or the nodes' ord. Without edges the communities stay null.
     """
-    size = adj.count()
-    if size > EXACT_ROWS:
-        raise ValueError(f"{size} adjacency rows are too many for one task; use communities_parallel()")
-    if size == 0:
+    if adj.isEmpty():
         return nodes
-    rows = nodes.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("ord").alias("nbr_ord")).unionByName(adj.select("src", "dst", "nbr_ord"))
-    found = rows.groupBy(F.lit(0).alias("one")).applyInPandas(_communities_group, "id string, community int")
-    return nodes.drop("community").join(found, "id").select(*nodes.columns)
+    if dict(adj.dtypes)["src"] == "string":
+        a, b = (nodes.select(F.col("id").alias(end), F.col("ord").alias(f"{end}_ord")) for end in ("src", "dst"))
+        adj = adj.join(a, "src").join(b, "dst").select(F.col("src_ord").alias("src"), F.col("dst_ord").alias("dst"), "nbr_ord")
+    return nodes.drop("community").join(propagated(nodes, adj, MAX_SWEEPS), "ord").select(*nodes.columns)
 
 
 def communities_parallel(nodes: DataFrame, adj: DataFrame, rounds: int = 10) -> DataFrame:

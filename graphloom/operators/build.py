@@ -12,6 +12,27 @@ def _by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> Data
     return df.withColumn("_rn", number).where(F.col("_rn") <= n).drop("_rn")
 
 
+#: Bytes of input to a shuffle partition where Spark's own number would make larger ones. Tables are compressed and rows in memory are not.
+PARTITION_BYTES, MOST_PARTITIONS = 4 << 20, 8192
+
+
+def partitions_for(*frames: DataFrame) -> int:
+    """Shuffle partitions by the size of what is read, so that a task's share doesn't grow with it; never fewer than the session's."""
+    known = 0
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+        known += sum(x for x in sizes if x < 1 << 60)  # else unknown
+    own = int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(own, min(MOST_PARTITIONS, -(-known // PARTITION_BYTES)))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many partitions as their input needs; left to the next operator where the session's number will do."""
+    n = partitions_for(df)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _by(df, keys, [F.col(c).asc() for c in order])
 
@@ -60,10 +81,18 @@ def merge(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_edges:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Distinct symmetric neighbour pairs; nbr_ord is the order in which neighbours were first met."""
-    ends = [("source", "target", F.col("ord") * 2), ("target", "source", F.col("ord") * 2 + 1)]
-    both = F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), o.alias("nbr_ord")) for a, b, o in ends])
-    return edges.select(F.inline(both)).groupBy("src", "dst").agg(F.min("nbr_ord").alias("nbr_ord"))
+    """Distinct symmetric neighbour pairs; nbr_ord is the order in which neighbours were first met.
+
+    An unordered pair is one row until both its directions are known. The ends may be ids or numbers.
+    """
+    source, target, there, back = F.col("source"), F.col("target"), F.col("ord") * 2, F.col("ord") * 2 + 1
+    ahead = F.coalesce(source <= target, source.isNull())  # a null end counts as the least
+    side = lambda x, y, name: F.when(ahead, x).otherwise(y).alias(name)
+    pairs = edges.select(side(source, target, "a"), side(target, source, "b"), side(there, back, "ab"), side(back, there, "ba"))
+    met = dealt(pairs, "a", "b").groupBy("a", "b").agg(F.min("ab").alias("ab"), F.min("ba").alias("ba"))
+    way = lambda src, dst, order: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(order).alias("nbr_ord"))
+    both = F.when(F.col("a").eqNullSafe(F.col("b")), F.array(way("a", "b", "ab"))).otherwise(F.array(way("a", "b", "ab"), way("b", "a", "ba")))
+    return met.select(F.inline(both))
 
 
 def outgoing(edges: DataFrame) -> DataFrame:

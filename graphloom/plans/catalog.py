@@ -54,7 +54,7 @@ def register(sql: str | None = None):
 
 def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes, edges = star.star_nodes(spark, d), star.star_edges(spark, d)
-    return nodes, edges, gb.adjacency(edges)
+    return nodes, edges, star.star_adjacency(spark, d)
 
 
 # ---- building
@@ -98,7 +98,7 @@ def build_edges(spark, d):
 
 @register(f"with {EDGES_SQL}, {ADJ_SQL} select src, dst, nbr_ord from adj")
 def adjacency(spark, d):
-    return gb.adjacency(star.star_edges(spark, d))
+    return star.star_adjacency(spark, d)
 
 
 @register(f"with {NODES_SQL}, {EDGES_SQL} select (select count(*) from nodes) as node_count, (select count(distinct source_file) from nodes where type in ('nation', 'customer')) as community_count, (select count(*) from edges) as edge_count, round(2.0 * (select count(*) from edges) / (select count(*) from nodes), 1)::double as avg_degree")
@@ -259,8 +259,7 @@ def map_skips(spark, d):
 
 @register()
 def communities(spark, d):
-    nodes, edges = star.star_nodes(spark, d), star.star_edges(spark, d)
-    return an.communities(nodes, gb.adjacency(edges)).select("id", "community")
+    return an.communities(star.star_nodes(spark, d), star.star_adjacency(spark, d, "ord")).select("id", "community")
 
 
 #: A row a node looked at: the labels of all, whether one moved in this sweep, and the sweep; the vote goes to the label met most, then first.

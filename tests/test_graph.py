@@ -96,6 +96,81 @@ def test_communities_against_a_plain_loop(spark):
     assert {r["id"]: r["community"] for r in an.communities(n, gb.adjacency(e)).collect()} == label
 
 
+def plain_labels(near, sweeps):
+    label = list(range(len(near)))
+    for _ in range(sweeps):
+        moved = False
+        for v, us in enumerate(near):
+            seen = [label[u] for u in us]
+            best, top = label[v], 0
+            for c in dict.fromkeys(seen):
+                if c != label[v] and seen.count(c) > top:
+                    best, top = c, seen.count(c)
+            moved |= best != label[v]
+            label[v] = best
+        if not moved:
+            break
+    return label
+
+
+@pytest.mark.parametrize("sweeps", [1, 2, 7, 50])
+def test_labels_by_blocks_equal_a_plain_loop(sweeps):
+    import numpy as np
+
+    from graphloom.operators.propagation import Block, settle
+
+    for seed in range(30):
+        rng = random.Random(seed)
+        n = rng.choice([2, 9, 40, 300])
+        sides = rng.random() < 0.5  # two sides without links within: many vote at once
+        near = [[] for _ in range(n)]
+        for _ in range(rng.choice([n // 2, 2 * n, 8 * n])):
+            a, b = (rng.randrange(n // 2), rng.randrange(n // 2, n)) if sides else (rng.randrange(n), rng.randrange(n))
+            near[a] += [] if b in near[a] else [b]
+            near[b] += [] if a in near[b] else [a]
+        size = rng.choice([1, 7, n])
+        groups = [[v for v in range(k, min(k + size, n)) if near[v]] for k in range(0, n, size)]
+        blocks = [Block(*(np.array(x, dtype=np.int32) for x in (g, [len(near[v]) for v in g], [u for v in g for u in near[v]]))) for g in groups if g]
+        rng.shuffle(blocks)
+        assert settle(n, blocks, sweeps).tolist() == plain_labels(near, sweeps), seed
+
+
+def test_communities_have_no_limit_of_rows_and_cut_blocks_at_nodes(spark):
+    """They refused graphs beyond a number of rows; blocks smaller than a node's neighbours must not part them."""
+    from graphloom.operators.propagation import propagated
+
+    rng = random.Random(8)
+    n, links = 60, {(rng.choice([0, rng.randrange(60)]), rng.randrange(60)) for _ in range(150)}
+    near = [[] for _ in range(n)]
+    for a, b in sorted(links):
+        near[a] += [] if b in near[a] else [b]
+        near[b] += [] if a in near[b] else [a]
+    ords = [7 * (v // 10) * 10 + v for v in range(n)]  # with gaps
+    nodes = spark.createDataFrame([(o,) for o in ords], "ord long")
+    adj = spark.createDataFrame([(ords[v], ords[u], k) for v in range(n) for k, u in enumerate(near[v])], "src long, dst long, nbr_ord long").repartition(3)
+    assert not hasattr(an, "EXACT_ROWS")
+    for block_rows in (1, 16, 1 << 20):
+        assert [r["community"] for r in propagated(nodes, adj, 50, block_rows).orderBy("ord").collect()] == plain_labels(near, 50)
+
+
+def test_adjacency_with_null_ends_loops_and_numbers(spark):
+    rows = [(0, 1, 2), (1, 2, 1), (2, None, 1), (3, 1, None), (4, 3, 3), (5, None, None), (6, 3, 3)]
+    e = spark.createDataFrame(rows, "ord long, source long, target long")
+    want = {}
+    for o, a, b in rows:
+        for k, pair in enumerate(((a, b), (b, a))):
+            want[pair] = min(want.get(pair, 99), 2 * o + k)
+    assert sorted((r["src"] or 0, r["dst"] or 0, r["nbr_ord"]) for r in gb.adjacency(e).collect()) == sorted((a or 0, b or 0, o) for (a, b), o in want.items())
+
+
+def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
+    spark.range(10_000).selectExpr("id as ord", "id % 97 as source", "id % 89 as target").write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    assert gb.partitions_for(e) == 4 and gb.adjacency(e).count() == len({x for i in range(10_000) for x in ((i % 97, i % 89), (i % 89, i % 97))})
+    monkeypatch.setattr(gb, "PARTITION_BYTES", 1000)
+    assert gb.partitions_for(e) > 20 and gb.adjacency(e).rdd.getNumPartitions() == gb.partitions_for(e)
+
+
 def test_degrees_selfloops_and_parallel_edges(spark, five):
     n, e = five
     assert in_order(an.degrees(n, gb.adjacency(e)), "degree") == [2, 3, 2, 1, 2]
