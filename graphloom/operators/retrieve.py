@@ -24,37 +24,43 @@ def tokens_of(text: str) -> list[str]:
     return [w.lower() for w in re.split("[^a-zA-Z0-9]+", split) if len(w) > 1]
 
 
+def _times(term: str):
+    return F.size(F.filter("tokens", lambda x: x == term))
+
+
 @dataclass
 class TextIndex:
-    """Question-independent statistics, built once: tokens (ord, id, tokens), terms (ord, term, tf), idf (term, df, idf), norms (ord, norm), texts (ord, id, joined)."""
+    """Question-independent statistics, built once: texts (ord, id, tokens) and idf (term, df, idf), over counts (term, df) that are kept."""
 
-    tokens: DataFrame
-    terms: DataFrame
-    idf: DataFrame
-    norms: DataFrame
     texts: DataFrame
+    counts: DataFrame
+    idf: DataFrame
 
     @classmethod
     def build(cls, nodes: DataFrame) -> TextIndex:
-        """Tokens are cut once; all later steps read what is kept of them (memory, then disk; recomputed if lost)."""
-        keep = StorageLevel.MEMORY_AND_DISK
-        texts = nodes.select("ord", "id", tokenize(node_text()).alias("tokens")).where("size(tokens) > 0").persist(keep)
-        terms = texts.select("ord", F.explode("tokens").alias("term")).groupBy("ord", "term").agg(F.count(F.lit(1)).alias("tf")).persist(keep)
-        df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        n = texts.agg(F.count(F.lit(1)).alias("n_docs"))
-        idf = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")).persist(keep)  # one row
-        norms = terms.join(idf, "term").groupBy("ord").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
-        return cls(texts, terms, idf, norms, texts.select("ord", "id", F.concat_ws(" ", "tokens").alias("joined")))
+        """A text's terms are made distinct in its row, so that only counts travel. A null term counts the nodes without tokens."""
+        tokens = tokenize(node_text())
+        counts = nodes.select(F.explode_outer(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).persist(StorageLevel.MEMORY_AND_DISK)
+        without = counts.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("without"))
+        n = nodes.agg(F.count(F.lit(1)).alias("every")).crossJoin(without).select((F.col("every") - F.col("without")).alias("n_docs"))  # one row
+        idf = counts.where("term is not null").crossJoin(F.broadcast(n)).select("term", "df", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+        texts = nodes.select("ord", "id", F.explode(F.array(tokens)).alias("tokens")).where("size(tokens) > 0")  # through explode tokens are cut once, not for the filter too
+        return cls(texts, counts, idf)
 
     def close(self) -> None:
         """Give up what is kept."""
-        for frame in (self.tokens, self.terms, self.idf):
-            frame.unpersist()
+        self.counts.unpersist()
+
+    def norms(self, texts: DataFrame) -> DataFrame:
+        """(ord, norm) of some of the texts."""
+        terms = texts.select("ord", F.explode("tokens").alias("term")).groupBy("ord", "term").agg(F.count(F.lit(1)).alias("tf"))
+        return terms.join(self.idf, "term").groupBy("ord").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
 
     def scores(self, question: str) -> DataFrame:
         """(ord, id, score) of every node with tokens: cosine plus 0.3 for each query token found in its text, at most 1.
 
-        Repeated query tokens count in the query's norm and in the bonus, once in the product.
+        Repeated query tokens count in the query's norm and in the bonus, once in the product. The norm, which needs the weights of
+        all terms of a text, is found for texts whose score depends on it: those with a query term and a bonus below 1.
         """
         asked = tokens_of(question)
         if not asked:
@@ -62,12 +68,13 @@ class TextIndex:
         distinct = list(dict.fromkeys(asked))
         known = {r["term"]: r["idf"] for r in self.idf.where(F.col("term").isin(distinct)).collect()}  # a row a query token
         norm = sum(known.get(t, UNKNOWN_IDF) ** 2 for t in asked) ** 0.5
-        weight = self.idf.where(F.col("term").isin(distinct))
-        dot = self.terms.where(F.col("term").isin(distinct)).join(F.broadcast(weight), "term").groupBy("ord").agg(F.sum(F.col("tf") * F.col("idf") * F.col("idf")).alias("dot"))
+        joined = F.concat_ws(" ", "tokens")
         bonus = sum((F.when(F.contains("joined", F.lit(t)), BONUS).otherwise(0.0) for t in asked), F.lit(0.0))
-        scored = self.texts.join(dot, "ord", "left").join(self.norms, "ord", "left")
+        dot = sum((_times(t) * F.lit(w * w) for t, w in known.items()), F.lit(0.0))
+        found = self.texts.select("ord", "id", "tokens", joined.alias("joined")).select("ord", "id", "tokens", bonus.alias("bonus"), dot.alias("dot"))
+        norms = self.norms(found.where("dot > 0 and bonus < 1"))
         cosine = F.coalesce(F.col("dot") / (F.lit(norm) * F.col("norm")), F.lit(0.0))
-        return scored.select("ord", "id", F.least(F.lit(1.0), cosine + bonus).alias("score"))
+        return found.drop("tokens").join(norms, "ord", "left").select("ord", "id", F.least(F.lit(1.0), cosine + F.col("bonus")).alias("score"))
 
 
 def candidate_sequence(ranked: DataFrame, adj: DataFrame, min_score: float) -> DataFrame:
@@ -188,7 +195,7 @@ def query(nodes: DataFrame, edges: DataFrame, adj: DataFrame, question: str, bud
         return Result(question, mode, none, edges.limit(0), 0, budget, 0.0)
     own = None if index else TextIndex.build(nodes)
     index = index or own
-    ranked = index.scores(question).where(F.col("score") >= min_score)
+    ranked = index.scores(question).where(F.col("score") >= min_score).persist(StorageLevel.MEMORY_AND_DISK)
     costs = nodes.select("id", node_cost().alias("cost"))
     used = header_cost(question, budget)
     if mode == "bfs":
@@ -196,6 +203,7 @@ def query(nodes: DataFrame, edges: DataFrame, adj: DataFrame, question: str, bud
     else:
         best = ranked.orderBy(F.desc("score"), "ord").first()
         used, ids = (used, []) if best is None else _dfs(adj, ranked.select("id", "score"), costs, best["id"], used, budget)
+    ranked.unpersist()
     if own:
         own.close()  # what follows reads the graph only
     chosen = spark.createDataFrame([(v, i) for i, v in enumerate(ids)], "id string, pos int")  # bounded by the budget

@@ -171,6 +171,26 @@ def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
     assert gb.partitions_for(e) > 20 and gb.adjacency(e).rdd.getNumPartitions() == gb.partitions_for(e)
 
 
+def test_index_counts_terms_in_their_rows(spark):
+    """No row a text and term travels; nodes without tokens don't count as texts; a long text with all query tokens needs no norm."""
+    import math
+
+    n = spark.createDataFrame([(0, "a", "red ring red", "t"), (1, "b", "", ""), (2, "c", None, "x y"), (3, "d", "Ring of redWine", "")], "ord long, id string, label string, type string")
+    n = n.withColumn("description", F.lit(None).cast("string"))
+    index = rt.TextIndex.build(n)
+    plan = index.counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" in plan and "ord#" not in "".join(x for x in plan.splitlines() if "Aggregate" in x)
+    idf = {t: math.log(3 / (f + 1)) + 1 for t, f in {"red": 2, "ring": 2, "of": 1, "wine": 1}.items()}
+    assert {r["term"]: r["idf"] for r in index.idf.collect()} == pytest.approx(idf)
+    got = {r["id"]: r["score"] for r in index.scores("wine red").collect()}
+    q = math.sqrt(idf["wine"] ** 2 + idf["red"] ** 2)
+    a = 2 * idf["red"] ** 2 / (q * math.sqrt(4 * idf["red"] ** 2 + idf["ring"] ** 2)) + 0.3
+    d = (idf["red"] ** 2 + idf["wine"] ** 2) / (q * math.sqrt(sum(w * w for w in idf.values()))) + 0.6
+    assert got == pytest.approx({"a": min(1, a), "d": min(1, d)})
+    assert {r["score"] for r in index.scores("red ring of wine red").where("id = 'd'").collect()} == {1.0}
+    index.close()
+
+
 def test_degrees_selfloops_and_parallel_edges(spark, five):
     n, e = five
     assert in_order(an.degrees(n, gb.adjacency(e)), "degree") == [2, 3, 2, 1, 2]
