@@ -69,6 +69,8 @@ def extract_source(path: str, content: str, exists: set[str] | None = None, comp
     raise ValueError(f"no extractor for {path}")
 
 
+#: Extracted rows that a worker holds before it passes them on, besides one file's.
+RAW_ROWS = 5000
 RAW = "file string, hash string, file_ord int, kind string, local_ord int, id string, label string, type string, location string, description string, source string, target string, relation string, confidence string, score double"
 
 
@@ -116,8 +118,12 @@ def extract_table(contents: DataFrame, paths: set[str] | DataFrame | None = None
                     continue
                 rows += [(path, h, o, "node", k, *n, None, None, None, None, None) for k, n in enumerate(f.nodes)]
                 rows += [(path, h, o, "edge", k, None, None, None, None, None, *e) for k, e in enumerate(f.edges)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
+                if len(rows) >= most:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
+    most, columns = RAW_ROWS, [c.split()[0] for c in RAW.split(", ")]
     joined = isinstance(paths, DataFrame)
     return contents.select("ord", "path", "hash", "content", "targets", "found").mapInPandas(run, RAW)
 

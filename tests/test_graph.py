@@ -191,6 +191,15 @@ def test_index_counts_terms_in_their_rows(spark):
     index.close()
 
 
+def test_extracted_rows_are_passed_on_in_parts(spark, monkeypatch):
+    from graphloom.extract import run
+
+    contents = spark.createDataFrame([(i, f"d{i}.json", "", '{"a": 1, "b": 2, "c": 3}') for i in range(40)], "ord int, path string, hash string, content string")
+    want = sorted(map(repr, run.extract_table(contents).collect()))
+    monkeypatch.setattr(run, "RAW_ROWS", 3)
+    assert sorted(map(repr, run.extract_table(contents).collect())) == want and len(want) > 200
+
+
 def test_degrees_selfloops_and_parallel_edges(spark, five):
     n, e = five
     assert in_order(an.degrees(n, gb.adjacency(e)), "degree") == [2, 3, 2, 1, 2]
