@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import round3
+from .blocks import Grid
 from .build import last_wins, outgoing, top_per_group
 from .propagation import propagated
 
@@ -45,40 +46,26 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _weighted(links: DataFrame) -> DataFrame:
-    """Links with their source's degree, kept, so that iterations move ranks only. Degrees sum map side; a hub is split where the join is skewed."""
-    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    return links.join(degree, "src").persist()
-
-
 def pagerank_iterations(ids: DataFrame, links: DataFrame, iterations: int, alpha: float = ALPHA) -> DataFrame:
-    """A fixed number of power iterations by joins. ids: (id); links: distinct (src, dst). Nodes without links leak."""
-    n = ids.count()
-    weighted = _weighted(links)
-    ranks = ids.withColumn("rank", F.lit(1.0 / n if n else 0.0))
-    for k in range(iterations):
-        given = weighted.join(ranks.hint("shuffle_hash"), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.lit(alpha) * F.col("rank") / F.col("deg")).alias("given"))
-        ranks = ids.join(given, F.col("id") == F.col("dst"), "left").select("id", (F.lit((1 - alpha) / n) + F.coalesce("given", F.lit(0.0))).alias("rank"))
-        if k % 2 == 1 and k + 1 < iterations:
-            ranks = _checkpointed(ranks)
-    return ranks
+    """A fixed number of power iterations on a grid of links. ids: (id); links: distinct (src, dst). Nodes without links leak."""
+    grid = Grid(ids, links, alpha)
+    ranks = grid.start()
+    for _ in range(iterations):
+        ranks = grid.step(ranks)
+    return grid.ranks(ranks)
 
 
 def pagerank_joined(ids: DataFrame, links: DataFrame, alpha: float = ALPHA, epsilon: float = EPSILON, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
     """Iterate until the L1 change is below N * epsilon; for graphs beyond one task."""
-    n = ids.count()
-    weighted = _weighted(links)
-    ranks = ids.withColumn("rank", F.lit(1.0 / n if n else 0.0))
+    grid = Grid(ids, links, alpha)
+    ranks = _checkpointed(grid.start())
     for _ in range(max_iterations):
-        given = weighted.join(ranks.hint("shuffle_hash"), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.lit(alpha) * F.col("rank") / F.col("deg")).alias("given"))
-        both = ranks.join(given, F.col("id") == F.col("dst"), "left").select("id", F.col("rank").alias("was"), (F.lit((1 - alpha) / n) + F.coalesce("given", F.lit(0.0))).alias("rank"))
-        both = _checkpointed(both)
-        change = both.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
-        ranks = both.select("id", "rank")
-        if change < n * epsilon:
+        was, ranks = ranks, _checkpointed(grid.step(ranks))
+        if grid.change(was, ranks) < grid.n * epsilon:
             break
-    weighted.unpersist()
-    return ranks
+    out = _checkpointed(grid.ranks(ranks))
+    grid.close()
+    return out
 
 
 def _pagerank_group(alpha: float, epsilon: float, max_iterations: int):

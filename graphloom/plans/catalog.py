@@ -182,9 +182,8 @@ def _pagerank_sql(ids: str, links: str, steps: int) -> str:
 
 @register("with recursive " + _pagerank_sql("select 'supplier_' || s_suppkey as id from supplier union all select 'part_' || p_partkey from part", "select distinct 'supplier_' || l_suppkey as src, 'part_' || l_partkey as dst from lineitem union select distinct 'part_' || l_partkey, 'supplier_' || l_suppkey from lineitem", 10) + " select id, round(rank, 9) as rank from pr where k = 10")
 def pagerank_10(spark, d):
-    ids = star.star_nodes(spark, d, ("supplier", "part")).select("id")
-    links = gb.adjacency(star.calls_edges(spark, d)).select("src", "dst")
-    return an.pagerank_iterations(ids, links, 10).select("id", F.round("rank", 9).alias("rank"))
+    links = gb.adjacency(star.calls_links(spark, d)).select("src", "dst")
+    return an.pagerank_iterations(star.numbers_of(spark, d, ("supplier", "part")), links, 10).select(star.id_of("id").alias("id"), F.round("rank", 9).alias("rank"))
 
 
 _FLOW_SQL = """flow as (select c_nationkey as a, s_nationkey as b, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey group by 1, 2),

@@ -59,6 +59,29 @@ def test_joined_pagerank_equals_grouped(five):
     assert sum(a.values()) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_pagerank_moves_vectors(spark, monkeypatch, kind):
+    """On many blocks: a hub, nodes without links, links that leave the nodes; a step returns a row a bucket, not a row a node or link."""
+    from graphloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "partitions_for", lambda *_: 50)
+    rnd, nodes = random.Random(7), range(60)
+    links = {(a, b) for a in nodes for b in (0, *rnd.sample(range(70), 4)) if a != b and a % 10} | {(0, b) for b in range(1, 60)}
+    ids, pairs = spark.createDataFrame([(v,) for v in nodes], "id long"), spark.createDataFrame(sorted(links), "src long, dst long")
+    ids, pairs = ids.select(F.col("id").cast(kind)), pairs.select(F.col("src").cast(kind), F.col("dst").cast(kind))
+    grid = blocks.Grid(ids, pairs, 0.85)
+    assert grid.step(grid.start()).count() == grid.nodes.count() == 5 and grid.blocks.count() == 25
+    grid.close()
+    out = {v: sum(a == v for a, _ in links) for v in nodes}
+    rank = dict.fromkeys(nodes, 1 / 60)
+    for _ in range(3):
+        rank = {v: 0.15 / 60 + sum(0.85 * rank[a] / out[a] for a, b in links if b == v) for v in nodes}
+    got = {int(r["id"]): r["rank"] for r in an.pagerank_iterations(ids, pairs, 3).collect()}
+    assert got == pytest.approx(rank, abs=1e-12)
+    none = an.pagerank_iterations(ids.where("false"), pairs.where("false"), 2)
+    assert none.dtypes == [("id", "string" if kind == "string" else "bigint"), ("rank", "double")] and none.count() == 0
+
+
 def test_isolated_nodes_leak(spark):
     n, e = make(spark, [node("a"), node("b"), node("c")], [edge("a", "b")])
     assert in_order(an.centrality(n, gb.adjacency(e)), "centrality") == [0.333, 0.333, 0.05]
