@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import round3
 from .blocks import Grid
-from .build import last_wins, outgoing, top_per_group
+from .build import hashed, last_wins, outgoing, top_per_group
 from .propagation import propagated
 
 ALPHA, EPSILON, MAX_ITERATIONS, MAX_SWEEPS = 0.85, 1e-6, 100, 50
@@ -21,7 +21,7 @@ RANK_DECIMALS = 12
 def degrees(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """Every node with its number of distinct neighbours (a self-loop is one)."""
     d = adj.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    return nodes.join(d, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
+    return nodes.join(hashed(d), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
 
 
 def top_nodes(nodes: DataFrame, adj: DataFrame, limit: int = 10) -> DataFrame:

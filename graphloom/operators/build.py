@@ -33,6 +33,16 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+#: Estimated bytes up to which the side of a join may be broadcast. Estimates are of compressed files: ten times the ids are in memory.
+SMALL_BYTES = 256 << 10
+
+
+def hashed(df: DataFrame) -> DataFrame:
+    """The side of a join with one row a node: held by key in each task, so that the links it meets need no sort. A small one is left to Spark, to be broadcast."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size <= SMALL_BYTES else df.hint("shuffle_hash")
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _by(df, keys, [F.col(c).asc() for c in order])
 
@@ -47,7 +57,7 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
 
 def drop_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are nodes."""
-    ids = nodes.select("id")
+    ids = hashed(dealt(nodes.select("id"), "id"))
     return edges.join(ids, edges["source"] == ids["id"], "left_semi").join(ids, edges["target"] == ids["id"], "left_semi")
 
 
@@ -70,12 +80,13 @@ def merge(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_edges:
     a repeated update of unchanged input would double.
     """
     top_n, top_e = nodes.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("_top")), edges.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("_top"))
-    fresh = first_wins(more_nodes.join(nodes.select("id"), "id", "left_anti"), ["id"], ["ord"])
+    fresh = first_wins(more_nodes.join(hashed(dealt(nodes.select("id"), "id")), "id", "left_anti"), ["id"], ["ord"])
     fresh = fresh.join(F.broadcast(top_n)).withColumn("ord", F.col("ord") + F.col("_top") + 1).select(*nodes.columns)
     all_nodes = nodes.unionByName(fresh)
     added = drop_dangling(more_edges, all_nodes)
     if dedup_edges:
-        added = added.join(edges.select("source", "target", "relation"), ["source", "target", "relation"], "left_anti")
+        there = ["source", "target", "relation"]
+        added = added.join(hashed(dealt(edges.select(*there), *there)), there, "left_anti")
     added = added.join(F.broadcast(top_e)).withColumn("ord", F.col("ord") + F.col("_top") + 1).select(*edges.columns)
     return all_nodes, edges.unionByName(added)
 

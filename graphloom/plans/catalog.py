@@ -128,7 +128,8 @@ def merge_duplicates_edges(spark, d):
     nodes, edges, _ = graph(spark, d)
     again = edges.where("target not like 'part\\_%' or source < 'supplier_5'")
     merged = gb.merge(nodes, edges.where("relation = 'contains'"), nodes.limit(0), again)[1]
-    return merged.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.concat("source", "target")).alias("pairs"))
+    pairs = gb.dealt(merged.select("relation", F.concat("source", "target").alias("pair")), "relation", "pair").groupBy("relation", "pair").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("relation").agg(F.sum("n").alias("n"), F.count("pair").alias("pairs"))
 
 
 @register(f"""with {NODES_SQL}, {EDGES_SQL}, base as (select * from edges where relation = 'contains')

@@ -401,3 +401,20 @@ def test_format_and_explain(six):
     about = rt.explain(n, e, adj, "AUTHENTICATEuser")
     assert about.startswith("## authenticateUser (function)") and "#### calls (4)" in about and "- ← **src/auth.ts** (file) _EXTRACTED_" in about
     assert "No entity" in rt.explain(n, e, adj, "100%")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nodes_are_held_and_edges_not_sorted(spark):
+    """Joins of edges with many nodes: neither a sort of all edges nor a broadcast of all ids."""
+    nodes = spark.range(100_000).select(F.col("id").alias("ord"), F.concat(F.lit("v"), "id").alias("id"))
+    edges = spark.range(1000).select(F.col("id").alias("ord"), F.concat(F.lit("v"), "id").alias("source"), F.concat(F.lit("v"), F.col("id") + 99_500).alias("target"), F.lit("calls").alias("relation"))
+    kept = gb.drop_dangling(edges, nodes)
+    assert kept.count() == 500 and "ShuffledHashJoin" in _plan(kept) and "SortMergeJoin" not in _plan(kept) and "BroadcastHashJoin" not in _plan(kept)
+    few = gb.induced(edges, nodes.limit(3))
+    assert "BroadcastHashJoin" in _plan(few)  # a small choice is broadcast
+    merged = gb.merge(nodes.limit(0), kept, nodes, edges, dedup_edges=True)[1]
+    assert merged.count() == 500
+    assert "SortMergeJoin" not in _plan(an.degrees(nodes, gb.adjacency(edges)))
