@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import node_cost, node_display, node_text, plural_title, tokenize
-from .build import first_edge_per_pair, induced, top_per_group
+from .build import dealt, first_edge_per_pair, hashed, induced, top_per_group
 
 #: Characters of the result's header besides the question and the budget: they are charged first.
 HEADER_CHARS = 43
@@ -77,16 +77,18 @@ class TextIndex:
         return found.drop("tokens").join(norms, "ord", "left").select("ord", "id", F.least(F.lit(1.0), cosine + F.col("bonus")).alias("score"))
 
 
-def candidate_sequence(ranked: DataFrame, adj: DataFrame, min_score: float) -> DataFrame:
+def candidate_sequence(ranked: DataFrame, adj: DataFrame, min_score: float, best: DataFrame | None = None) -> DataFrame:
     """The order in which nodes are offered to the budget: each ranked node, then its neighbours that are good enough.
 
     ranked: (ord, id, score) above the threshold. Each node is kept at its first place, since a refused one stays refused.
+    best: the first rows of ranked; what they and their neighbours make is the beginning of the sequence.
     """
-    own = ranked.select("id", (-F.col("score")).alias("k1"), F.col("ord").alias("k2"), F.lit(0).alias("k3"), F.lit(0).cast("long").alias("k4"))
+    best = ranked if best is None else best
+    own = best.select("id", (-F.col("score")).alias("k1"), F.col("ord").alias("k2"), F.lit(0).alias("k3"), F.lit(0).cast("long").alias("k4"))
     other = ranked.where(F.col("score") >= min_score * 0.5).select(F.col("id").alias("nid"))
-    near = ranked.join(adj, F.col("id") == F.col("src")).join(other, F.col("dst") == F.col("nid"))
+    near = adj.join(hashed(best), F.col("id") == F.col("src")).join(hashed(other), F.col("dst") == F.col("nid"))
     near = near.select(F.col("nid").alias("id"), (-F.col("score")).alias("k1"), F.col("ord").alias("k2"), F.lit(1).alias("k3"), F.col("nbr_ord").alias("k4"))
-    return own.unionByName(near).groupBy("id").agg(F.min(F.struct("k1", "k2", "k3", "k4")).alias("place"))
+    return dealt(own.unionByName(near), "id").groupBy("id").agg(F.min(F.struct("k1", "k2", "k3", "k4")).alias("place"))
 
 
 #: The greedy fold: an item that would pass 95% of the budget is refused, and at 90% the rest is not looked at.
@@ -101,6 +103,10 @@ def pack_expression(items: str, start: str, budget: str, kind: str = "string") -
     return PACK.format(items=items, start=start, budget=budget, kind=kind)
 
 
+def full(used: float, budget: int) -> bool:
+    return used >= budget * 0.9
+
+
 def header_cost(question: str, budget: int) -> int:
     return -(-(HEADER_CHARS + len(question.encode("utf-16-le")) // 2 + len(str(budget))) // 4)
 
@@ -116,13 +122,24 @@ def pack(sequence: DataFrame, costs: DataFrame, start: int, budget: int, first:
             best = rows.orderBy("place").limit(first)
             items = best.agg(F.array_sort(F.collect_list(F.struct("place", F.col("id").alias("key"), "cost"))).alias("items"))
             r = items.select(F.size("items").alias("n"), F.expr(pack_expression("items", str(start), str(budget))).alias("s")).first()
-            if r["n"] < first or r["s"]["used"] >= budget * 0.9:
+            if r["n"] < first or full(r["s"]["used"], budget):
                 return int(r["s"]["used"]), list(r["s"]["taken"])
             first *= 4
     finally:
         rows.unpersist()
 
 
+def _bfs(ranked: DataFrame, adj: DataFrame, costs: DataFrame, start: int, budget: int, min_score: float, first: int = 4096) -> tuple[int, list[str]]:
+    """Tokens used and ids in order. The best nodes come first with all their neighbours: while they don't fill the budget, more of them are taken, up to all."""
+    every = ranked.count()
+    while True:
+        best = ranked if first >= every else ranked.orderBy(F.desc("score"), "ord").limit(first)
+        used, ids = pack(candidate_sequence(ranked, adj, min_score, best), costs, start, budget)
+        if first >= every or full(used, budget):
+            return used, ids
+        first *= 16
+
+
 @dataclass
 class Result:
     question: str
@@ -151,8 +168,8 @@ def _dfs(adj: DataFrame, scores: DataFrame, costs: DataFrame, start: str, used:
     """
     chosen: list[str] = []
     visited: set[str] = set()
-    near = adj.join(scores, F.col("dst") == F.col("id"), "left").join(costs.select(F.col("id").alias("cid"), "cost"), F.col("dst") == F.col("cid"))
-    near = near.select("src", "dst", "nbr_ord", F.coalesce("score", F.lit(0.0)).alias("score"), "cost").persist()
+    links = adj.select("src", "dst", "nbr_ord").persist(StorageLevel.MEMORY_AND_DISK)
+    known = costs.join(hashed(scores), "id", "left").select(F.col("id").alias("dst"), F.coalesce("score", F.lit(0.0)).alias("score"), "cost").persist(StorageLevel.MEMORY_AND_DISK)
     cost = {start: costs.where(F.col("id") == start).first()["cost"]}
     best: dict[str, list[str]] = {}
 
@@ -160,7 +177,8 @@ def _dfs(adj: DataFrame, scores: DataFrame, costs: DataFrame, start: str, used:
         if v not in best:
             soon = [u for found in best.values() for u in [x for x in found if x not in visited][: 2 * FAN] if u not in best]
             wanted = [v, *list(dict.fromkeys(soon))[:WALK]]
-            top = top_per_group(near.where(F.col("src").isin(wanted)), ["src"], [F.desc("score"), F.asc("nbr_ord")], WALK + FAN)
+            near = links.where(F.col("src").isin(wanted)).join(known, "dst")
+            top = top_per_group(near, ["src"], [F.desc("score"), F.asc("nbr_ord")], WALK + FAN)
             best.update((u, []) for u in wanted)
             for r in top.orderBy("src", F.desc("score"), "nbr_ord").collect():
                 best[r["src"]].append(r["dst"])
@@ -180,7 +198,8 @@ def _dfs(adj: DataFrame, scores: DataFrame, costs: DataFrame, start: str, used:
                 visit(u, depth + 1)
 
     visit(start, 0)
-    near.unpersist()
+    links.unpersist()
+    known.unpersist()
     return used, chosen
 
 
@@ -199,7 +218,7 @@ def query(nodes: DataFrame, edges: DataFrame, adj: DataFrame, question: str, bud
     costs = nodes.select("id", node_cost().alias("cost"))
     used = header_cost(question, budget)
     if mode == "bfs":
-        used, ids = (used, []) if used >= budget * 0.9 else pack(candidate_sequence(ranked, adj, min_score), costs, used, budget)
+        used, ids = (used, []) if full(used, budget) else _bfs(ranked, adj, costs, used, budget, min_score)
     else:
         best = ranked.orderBy(F.desc("score"), "ord").first()
         used, ids = (used, []) if best is None else _dfs(adj, ranked.select("id", "score"), costs, best["id"], used, budget)

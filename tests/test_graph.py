@@ -418,3 +418,15 @@ def test_nodes_are_held_and_edges_not_sorted(spark):
     merged = gb.merge(nodes.limit(0), kept, nodes, edges, dedup_edges=True)[1]
     assert merged.count() == 500
     assert "SortMergeJoin" not in _plan(an.degrees(nodes, gb.adjacency(edges)))
+
+
+@pytest.mark.parametrize("budget", [60, 150, 400, 5000])
+def test_best_nodes_first_equals_all(spark, budget):
+    """The sequence is made of the best nodes first; with ever more of them the result is that of the whole sequence."""
+    rnd = random.Random(budget)
+    ranked = spark.createDataFrame([(i, f"v{i}", rnd.choice([0.2, 0.4, 0.4, 0.9])) for i in range(90)], "ord long, id string, score double")
+    pairs = sorted({(rnd.randrange(100), rnd.randrange(100)) for _ in range(300)})
+    adj = gb.adjacency(spark.createDataFrame([(k, f"v{a}", f"v{b}") for k, (a, b) in enumerate(pairs)], "ord long, source string, target string"))
+    costs = spark.createDataFrame([(f"v{i}", rnd.randrange(1, 30)) for i in range(100)], "id string, cost int")
+    whole = rt.pack(rt.candidate_sequence(ranked, adj, 0.15), costs, 20, budget)
+    assert rt._bfs(ranked, adj, costs, 20, budget, 0.15, first=2) == rt._bfs(ranked, adj, costs, 20, budget, 0.15) == whole and whole[1]
