@@ -14,23 +14,34 @@ def _by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> Data
 
 #: Bytes of input to a shuffle partition where Spark's own number would make larger ones. Tables are compressed and rows in memory are not.
 PARTITION_BYTES, MOST_PARTITIONS = 4 << 20, 8192
+#: Bytes of input up to which Spark may gather rows where they are read and merge its partitions.
+LEFT_BYTES = 64 << 20
 
 
-def partitions_for(*frames: DataFrame) -> int:
-    """Shuffle partitions by the size of what is read, so that a task's share doesn't grow with it; never fewer than the session's."""
+def input_bytes(*frames: DataFrame) -> int:
+    """The size of what is read, as far as it is known."""
     known = 0
     for df in frames:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
         known += sum(x for x in sizes if x < 1 << 60)  # else unknown
+    return known
+
+
+def partitions_for(*frames: DataFrame) -> int:
+    """Shuffle partitions by the size of what is read, so that a task's share doesn't grow with it; never fewer than the session's."""
     own = int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(own, min(MOST_PARTITIONS, -(-known // PARTITION_BYTES)))
+    return max(own, min(MOST_PARTITIONS, -(-input_bytes(*frames) // PARTITION_BYTES)))
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt by keys to as many partitions as their input needs; left to the next operator where the session's number will do."""
+    """Rows dealt by keys to as many partitions as their input needs; small tables are left to the next operator.
+
+    A larger table is dealt even if the session's number would do: else its rows are gathered where they are read, and adaptive execution merges the partitions.
+    """
     n = partitions_for(df)
-    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    small = input_bytes(df) <= LEFT_BYTES and n <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if small else df.repartition(n, *keys)
 
 
 #: Estimated bytes up to which the side of a join may be broadcast. Estimates are of compressed files: ten times the ids are in memory.
@@ -96,11 +107,12 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
     An unordered pair is one row until both its directions are known. The ends may be ids or numbers.
     """
-    source, target, there, back = F.col("source"), F.col("target"), F.col("ord") * 2, F.col("ord") * 2 + 1
+    source, target, there = F.col("source"), F.col("target"), F.col("ord") * 2
     ahead = F.coalesce(source <= target, source.isNull())  # a null end counts as the least
     side = lambda x, y, name: F.when(ahead, x).otherwise(y).alias(name)
-    pairs = edges.select(side(source, target, "a"), side(target, source, "b"), side(there, back, "ab"), side(back, there, "ba"))
-    met = dealt(pairs, "a", "b").groupBy("a", "b").agg(F.min("ab").alias("ab"), F.min("ba").alias("ba"))
+    pairs = edges.select(side(source, target, "a"), side(target, source, "b"), side(there, there + 1, "ab"))
+    back = F.col("ab").bitwiseXOR(F.lit(1))  # 2 ord and 2 ord + 1 differ in the last bit, so one of them travels
+    met = dealt(pairs, "a", "b").groupBy("a", "b").agg(F.min("ab").alias("ab"), F.min(back).alias("ba"))
     way = lambda src, dst, order: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(order).alias("nbr_ord"))
     both = F.when(F.col("a").eqNullSafe(F.col("b")), F.array(way("a", "b", "ab"))).otherwise(F.array(way("a", "b", "ab"), way("b", "a", "ba")))
     return met.select(F.inline(both))

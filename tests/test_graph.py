@@ -194,6 +194,27 @@ def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
     assert gb.partitions_for(e) > 20 and gb.adjacency(e).rdd.getNumPartitions() == gb.partitions_for(e)
 
 
+def test_large_tables_are_dealt_whatever_the_session_has(spark, tmp_path, monkeypatch):
+    """With more partitions in the session than needed, rows were gathered where they are read and partitions merged; of the two orders of a pair one travels."""
+    spark.range(10_000).selectExpr("id as ord", "id % 97 as source", "id % 89 as target").write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    want = {}
+    for i in range(10_000):
+        for pair, o in (((i % 97, i % 89), 2 * i), ((i % 89, i % 97), 2 * i + 1)):
+            want[pair] = min(want.get(pair, o), o)
+    monkeypatch.setattr(gb, "LEFT_BYTES", 1000)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        adj = gb.adjacency(e)
+        plan = adj._jdf.queryExecution().executedPlan().toString()  # as planned, before it runs
+        assert plan.count("hashpartitioning(") == 1 and "REPARTITION_BY_NUM" in plan and "ba#" not in plan[plan.index("REPARTITION_BY_NUM") :]
+        assert gb.partitions_for(e) == 64 and adj.rdd.getNumPartitions() == 64
+        assert {(r["src"], r["dst"]): r["nbr_ord"] for r in adj.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_index_counts_terms_in_their_rows(spark):
     """No row a text and term travels; nodes without tokens don't count as texts; a long text with all query tokens needs no norm."""
     import math
