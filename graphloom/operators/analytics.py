@@ -19,9 +19,10 @@ RANK_DECIMALS = 12
 
 
 def degrees(nodes: DataFrame, adj: DataFrame) -> DataFrame:
-    """Every node with its number of distinct neighbours (a self-loop is one)."""
-    d = adj.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    return nodes.join(hashed(d), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
+    """Every node with its number of distinct neighbours (a self-loop is one). Ends of adj are ids, or the nodes' numbers where nodes have these."""
+    key = "number" if "number" in nodes.columns else "id"
+    d = adj.groupBy(F.col("src").alias(key)).agg(F.count(F.lit(1)).alias("degree"))
+    return nodes.join(hashed(d), key, "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
 
 
 def top_nodes(nodes: DataFrame, adj: DataFrame, limit: int = 10) -> DataFrame:

@@ -57,11 +57,16 @@ def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     return nodes, edges, star.star_adjacency(spark, d)
 
 
+def numbered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes with numbers, and their adjacency by numbers: what degrees need."""
+    return star.numbered_nodes(spark, d), star.star_adjacency(spark, d, "number")
+
+
 # ---- building
 
 @register(f"with {GRAPH_SQL}, d as (select src, count(*) as degree from adj group by 1) select id, label, coalesce(degree, 0)::bigint as degree from nodes left join d on src = id order by degree desc, ord limit 10")
 def degree_topk(spark, d):
-    nodes, _, adj = graph(spark, d)
+    nodes, adj = numbered(spark, d)
     return an.top_nodes(nodes, adj, 10).select("id", "label", "degree")
 
 

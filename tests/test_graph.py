@@ -215,6 +215,27 @@ def test_large_tables_are_dealt_whatever_the_session_has(spark, tmp_path, monkey
         spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
+def test_degrees_are_counted_by_numbers(spark, tmp_path):
+    """Ids are not shuffled; keys may be negative, null, repeated, or as large as the step between the tables' ord."""
+    from graphloom.plans import catalog
+
+    far = 2 * 10**12  # a customer with the ord of part 0
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "R")]), "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0), (1, "M", 0)]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int", [(-3, "c", 0), (far, "far", 1), (None, "none", 1), (5, "twice", 0), (5, "twice", 0)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey int", [(0, "s", 1), (7, "t", None)]), "part": ("p_partkey long, p_name string", [(0, "p"), (1, "alone"), (-3, "q")]),
+        "lineitem": ("l_suppkey long, l_partkey long", [(0, 0), (0, 0), (7, 0), (0, -3), (7, None), (9, 0)]),
+    }
+    for name, (columns, rows) in tables.items():
+        spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    (nodes, _, by_id), (numbered, by_number) = catalog.graph(spark, str(tmp_path)), catalog.numbered(spark, str(tmp_path))
+    every = lambda df: sorted((str(r["id"]), r["label"], r["degree"]) for r in df.collect())
+    got = an.degrees(numbered, by_number)
+    assert every(got) == every(an.degrees(nodes, by_id)) and ("customer_2000000000000", "far", 1) in every(got) and ("part_0", "p", 3) in every(got) and ("None", "none", 0) in every(got)
+    plan = catalog.degree_topk(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(src" in plan and "& 7)" not in plan  # no number is written as an id
+
+
 def test_index_counts_terms_in_their_rows(spark):
     """No row a text and term travels; nodes without tokens don't count as texts; a long text with all query tokens needs no norm."""
     import math
