@@ -40,7 +40,7 @@ def suggested_questions(nodes: DataFrame, edges: DataFrame, adj: DataFrame) -> l
 
 def connected_table(nodes: DataFrame, adj: DataFrame, limit: int = 5) -> DataFrame:
     """(ord, id, label, degree, type, source_file) of the best connected nodes, best first."""
-    return top_nodes(nodes, adj, limit).join(nodes.select("id", "type", "source_file"), "id", "left").orderBy(F.desc("degree"), "ord")
+    return degrees(nodes, adj).orderBy(F.desc("degree"), "ord").limit(limit).select("ord", "id", "label", "degree", "type", "source_file")
 
 
 def report(nodes: DataFrame, edges: DataFrame, adj: DataFrame, root: str, files: DataFrame | None = None, faithful_labels: bool = True) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import analytics as an
 from graphloom.operators import build as gb
 from graphloom.operators import retrieve as rt
-from graphloom.report import html_page, report, repository_map, suggested_questions
+from graphloom.report import connected_table, html_page, report, repository_map, suggested_questions
 from graphloom.schema import EDGES, NODES
 
 
@@ -236,6 +236,15 @@ def test_degrees_are_counted_by_numbers(spark, tmp_path):
     assert "hashpartitioning(src" in plan and "& 7)" not in plan  # no number is written as an id
 
 
+def test_connected_table_joins_nodes_once(spark):
+    """The best nodes were joined with all nodes again, in one task where Spark thought these few; rows of one id were multiplied."""
+    n, e = make(spark, [node("a", "first"), node("b", file="src/y.ts"), node("a", "again", "class"), node("c")], [edge("a", "b"), edge("c", "a")])
+    table = connected_table(n, gb.adjacency(e), 3)
+    assert [(r["ord"], r["id"], r["label"], r["degree"], r["type"], r["source_file"]) for r in table.collect()] == [
+        (0, "a", "first", 2, "function", "src/x.ts"), (2, "a", "again", 2, "class", "src/x.ts"), (1, "b", "b", 1, "function", "src/y.ts")]
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_index_counts_terms_in_their_rows(spark):
     """No row a text and term travels; nodes without tokens don't count as texts; a long text with all query tokens needs no norm."""
     import math
