@@ -232,8 +232,9 @@ def test_degrees_are_counted_by_numbers(spark, tmp_path):
     every = lambda df: sorted((str(r["id"]), r["label"], r["degree"]) for r in df.collect())
     got = an.degrees(numbered, by_number)
     assert every(got) == every(an.degrees(nodes, by_id)) and ("customer_2000000000000", "far", 1) in every(got) and ("part_0", "p", 3) in every(got) and ("None", "none", 0) in every(got)
-    plan = catalog.degree_topk(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(src" in plan and "& 7)" not in plan  # no number is written as an id
+    for query in (catalog.degree_topk, catalog.most_connected, catalog.viz_communities, catalog.viz_top_nodes, catalog.viz_links):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(src" in plan and "& 7)" not in plan  # no number is written as an id
 
 
 def test_connected_table_joins_nodes_once(spark):
