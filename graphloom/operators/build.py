@@ -48,10 +48,13 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
 SMALL_BYTES = 256 << 10
 
 
+def is_small(df: DataFrame) -> bool:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+
+
 def hashed(df: DataFrame) -> DataFrame:
     """The side of a join with one row a node: held by key in each task, so that the links it meets need no sort. A small one is left to Spark, to be broadcast."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if size <= SMALL_BYTES else df.hint("shuffle_hash")
+    return df if is_small(df) else df.hint("shuffle_hash")
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -68,7 +71,9 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
 
 def drop_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are nodes."""
-    ids = hashed(dealt(nodes.select("id"), "id"))
+    ids = nodes.select("id")
+    if not is_small(ids):  # a few chosen ones aren't dealt, whatever they were chosen from
+        ids = hashed(dealt(ids, "id"))
     return edges.join(ids, edges["source"] == ids["id"], "left_semi").join(ids, edges["target"] == ids["id"], "left_semi")
 
 

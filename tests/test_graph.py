@@ -246,6 +246,17 @@ def test_connected_table_joins_nodes_once(spark):
     assert table._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
 
 
+def test_few_chosen_nodes_are_not_dealt(spark, tmp_path, monkeypatch):
+    """A limit's rows were dealt to as many partitions as the table needs that they were chosen from, and the edges met them by a shuffle."""
+    spark.range(10_000).selectExpr("id as ord", "cast(id as string) as id").write.parquet(str(tmp_path / "n"))
+    monkeypatch.setattr(gb, "PARTITION_BYTES", 1000)
+    chosen = spark.read.parquet(str(tmp_path / "n")).orderBy("ord").limit(5)
+    e = spark.createDataFrame([(k, str(k % 7), str(k % 11)) for k in range(77)], "ord long, source string, target string")
+    kept = gb.induced(e, chosen)
+    assert "REPARTITION_BY_NUM" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["ord"] for r in kept.collect()) == [k for k in range(77) if k % 7 < 5 and k % 11 < 5]
+
+
 def test_index_counts_terms_in_their_rows(spark):
     """No row a text and term travels; nodes without tokens don't count as texts; a long text with all query tokens needs no norm."""
     import math
